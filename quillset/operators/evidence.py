@@ -44,7 +44,8 @@ def with_evidence(df: DataFrame, chunk: str = "chunk_text", answer: str = "outpu
         F.col("__anchor"),
         F.when(F.col("__best.share") >= MIN_WINDOW_SHARE, -F.col("__best.key") + WINDOW_CHARS // 2),
     )
-    start = F.greatest(F.lit(0), F.least(size - WINDOW_CHARS, anchor - LEAD_CHARS))
+    # greatest and least skip nulls, so a missing anchor is kept apart.
+    start = F.when(anchor.isNotNull(), F.greatest(F.lit(0), F.least(size - WINDOW_CHARS, anchor - LEAD_CHARS)))
     staged = staged.withColumn("__start", F.when(size > WINDOW_CHARS, start).otherwise(F.lit(0)))
     found = F.col("__start").isNotNull()
     end = F.when(found & (size > WINDOW_CHARS), F.least(size, F.col("__start") + WINDOW_CHARS)).otherwise(size)

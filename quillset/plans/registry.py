@@ -191,13 +191,13 @@ def promote_unscored(spark, sf_dir):
 
 
 def _twice(spark, sf_dir):
-    """Every pair twice, the copy shouting and with a longer or shorter answer."""
+    """Every pair twice, the copy in lower case with other punctuation and with a longer or shorter answer."""
     pairs = r.conv_qa(spark, sf_dir).withColumn("book", F.floor(F.col("conv_id") / 16))
     copy = pairs.select(
         "conv_id",
         "turn",
         (F.col("pos") + 500_000_000).alias("pos"),
-        F.concat(F.upper("instruction"), F.lit("!!")).alias("instruction"),
+        F.concat(F.lower("instruction"), F.lit("!!")).alias("instruction"),
         "input",
         F.when(F.col("conv_id") % 2 == 0, F.concat("output", F.lit(" and more"))).otherwise(F.expr("substr(output, 1, length(output) - 2)")).alias("output"),
         "book",
