@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillset.functions.text import bigram_set, chars, grams, jaccard, trigram_norm
+from quillset.functions.text import bigram_set, chars, codes, grams, jaccard, trigram_norm
 
 # Weights and cut-offs of the record similarity and of the older item similarity.
 QUESTION_WEIGHT, ANSWER_WEIGHT, SAME_DOCUMENT_BONUS, QUESTION_FLOOR = 0.78, 0.22, 0.03, 0.34
@@ -13,7 +13,8 @@ ITEM_QUESTION_WEIGHT, ITEM_ANSWER_WEIGHT, ITEM_QUESTION_FLOOR = 0.7, 0.3, 0.3
 
 
 def lexical_sets(canonical: Column) -> Column:
-    return F.struct(canonical.alias("canonical"), chars(canonical).alias("chars"), bigram_set(canonical).alias("pairs"))
+    """Struct of the canonical form with its character and bigram sets (as integer codes)."""
+    return F.struct(canonical.alias("canonical"), codes(chars(canonical)).alias("chars"), codes(bigram_set(canonical)).alias("pairs"))
 
 
 def lexical_similarity(a: Column, b: Column) -> Column:
@@ -33,7 +34,7 @@ def record_similarity(question: Column, answer: Column, same_document: Column) -
 def trigram_sets(text: Column) -> Column:
     """Struct of the normalised text and its distinct 3-grams (none for texts shorter than three)."""
     norm = trigram_norm(text)
-    return F.struct(norm.alias("norm"), grams(norm, 3).alias("grams"))
+    return F.struct(norm.alias("norm"), codes(grams(norm, 3)).alias("grams"))
 
 
 def trigram_similarity(a: Column, b: Column) -> Column:

@@ -7,9 +7,12 @@ into one value has a fixed size.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, LongType
 
 from quillset.functions.similarity import (
     ANSWER_WEIGHT,
@@ -86,24 +89,41 @@ def drop_known(
     with_sets = lambda df: df.select(
         *keys, F.col("__norm").alias("__key"), trigram_sets(F.col("__norm")).alias("s")
     ).filter(F.size("s.grams") > 0)
-    left, right = with_sets(unequal), with_sets(known_texts)
+    # Read by the frequencies, the prefixes and the comparison: built once.
+    left, right = checkpointed(with_sets(unequal)), checkpointed(with_sets(known_texts))
     freq = _gram_frequencies(right, keys)
     left_prefix, right_prefix = _prefix(left, freq, keys, threshold), _prefix(right, freq, keys, threshold)
     return _anti_similar(fresh, left, left_prefix, right, right_prefix, known_texts, keys, threshold).select(*new.columns)
 
 
 def _anti_similar(fresh, left, left_prefix, right, right_prefix, known_texts, keys, threshold) -> DataFrame:
-    probe = left.join(left_prefix, [*keys, "__key"]).select(*keys, F.col("__key").alias("lk"), F.col("s.grams").alias("lg"), F.explode("prefix").alias("gram"))
-    build = right.join(right_prefix, [*keys, "__key"]).select(*keys, F.col("s.grams").alias("rg"), F.explode("prefix").alias("gram"))
-    a, b = probe.alias("a"), build.alias("b")
+    probe = _exploded(left, left_prefix, keys).alias("a")
+    build = _exploded(right, right_prefix, keys).alias("b")
+    condition = _may_reach(keys, threshold) & (jaccard(F.col("a.grams"), F.col("b.grams")) >= threshold)
+    similar = probe.join(build, condition, "left_semi").select(*keys, F.col("key").alias("__norm")).distinct()
+    dropped = similar.unionByName(known_texts).distinct()
+    return fresh.join(dropped, [*keys, "__norm"], "left_anti")
+
+
+def _exploded(sets: DataFrame, prefix: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per prefix gram: (key, grams, n, at, gram)."""
+    joined = sets.join(prefix, [*keys, "__key"])
+    return joined.select(
+        *keys, F.col("__key").alias("key"), F.col("s.grams").alias("grams"), F.size("s.grams").alias("n"), F.posexplode("prefix").alias("at", "gram")
+    )
+
+
+def _may_reach(keys: list[str], threshold: float) -> Column:
+    """Rows of sides a and b that share a prefix gram and whose sizes and positions still allow ``threshold``.
+
+    Seen from the first gram two sets share, at most what follows it on either side is shared too; a pair failing the
+    bound at a later gram has been judged at an earlier one.
+    """
     condition = F.col("a.gram") == F.col("b.gram")
     for key in keys:
         condition = condition & (F.col(f"a.{key}") == F.col(f"b.{key}"))
-    lg, rg = F.col("a.lg"), F.col("b.rg")
-    close_sizes = F.least(F.size(lg), F.size(rg)) >= F.greatest(F.size(lg), F.size(rg)) * threshold - 1e-9
-    similar = a.join(b, condition & close_sizes & (jaccard(lg, rg) >= threshold), "left_semi").select(*keys, F.col("lk").alias("__norm")).distinct()
-    dropped = similar.unionByName(known_texts).distinct()
-    return fresh.join(dropped, [*keys, "__norm"], "left_anti")
+    most = 1 + F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) - 1
+    return condition & (most >= (F.col("a.n") + F.col("b.n")) * (threshold / (1 + threshold)) - 1e-6)
 
 
 def average_similarity(new: DataFrame, previous: DataFrame, *scope: str) -> DataFrame:
@@ -183,7 +203,7 @@ def near_duplicates(
     match a new leader; a round costs one anti join against at most ``block`` leaders per scope.
     """
     keys = list(scope)
-    ranked = records.withColumn("__pos", F.col(position)).select(
+    slim = records.withColumn("__pos", F.col(position)).select(
         *keys,
         F.col("__pos").alias("pos"),
         _rank_key().alias("rank"),
@@ -191,6 +211,7 @@ def near_duplicates(
         dedup_canonical(F.col("instruction")).alias("q"),
         dedup_canonical(F.col("output")).alias("a"),
     )
+    ranked = checkpointed(slim)
     class_keys = [*keys, "document_id", "q", "a"]
     best = ranked.groupBy(*class_keys).agg(F.min("rank").alias("rank"))
     classes = checkpointed(
@@ -353,23 +374,23 @@ def longer_answer_wins(items: DataFrame, *scope: str, position: str = "pos", thr
         F.length("output").alias("len"),
     )
     classed = classed.withColumn("cls", F.xxhash64("q", "a", "len"))
-    classes = checkpointed(classed.groupBy(*keys, "cls").agg(F.first("q").alias("q"), F.first("a").alias("a"), F.count("*").alias("copies")))
+    folded = classed.groupBy(*keys, "cls").agg(F.first("q").alias("q"), F.first("a").alias("a"), F.count("*").alias("copies"))
+    classes = checkpointed(folded.withColumn("a", trigram_sets(F.col("a"))))
     edges = checkpointed(_class_edges(classes, keys, threshold))
-    labels = _components(classes.select(*keys, "cls"), edges, keys)
-    linked = labels.join(edges.select(*keys, "cls").distinct(), [*keys, "cls"], "left_semi").unionByName(
-        labels.join(classes.filter("copies > 1").select(*keys, "cls"), [*keys, "cls"], "left_semi")
-    ).distinct()
-    turns = classed.select(*keys, "cls", "pos", "len").join(linked, [*keys, "cls"])
-    # Fresh column ids: both sides of the cogroup come from the same relations.
-    wires = edges.join(linked, [*keys, "cls"]).select(*[F.col(c).alias(f"w_{c}") for c in [*keys, "component", "cls", "other"]])
+    # Copies that resemble nothing else: the first removes the rest, whatever their number.
+    alone = classes.filter("copies > 1").select(*keys, "cls").join(edges, [*keys, "cls"], "left_anti")
+    copies = classed.join(alone, [*keys, "cls"], "left_semi")
+    first = copies.groupBy(*keys, "cls").agg(F.min("pos").alias("first"))
+    extra = copies.join(first, [*keys, "cls"]).filter(F.col("pos") > F.col("first")).select(*keys, "pos")
+    # Everything else is replayed per component, many components to a batch.
+    labels = _components(edges.select(*keys, "cls").distinct(), edges, keys)
     group = [*keys, "component"]
-    removed = (
-        turns.groupBy(*group)
-        .cogroup(wires.groupBy(*[f"w_{c}" for c in group]))
-        .applyInPandas(_replay(keys), turns.select(*keys, "pos").schema)
-        .withColumnRenamed("pos", position)
-    )
-    return items.join(removed, [*keys, position], "left_anti")
+    turns = classed.select(*keys, "cls", "pos", "len").join(labels, [*keys, "cls"])
+    packed = turns.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("pos", "cls", "len"))).alias("turns"))
+    wires = edges.join(labels, [*keys, "cls"]).groupBy(*group).agg(F.collect_list(F.struct("cls", "other")).alias("wires"))
+    lost = packed.join(wires, group).withColumn("lost", _replay_udf()("turns", "wires"))
+    removed = extra.unionByName(lost.select(*keys, F.explode_outer("lost").alias("pos")).filter("pos IS NOT NULL"))
+    return items.join(removed.withColumnRenamed("pos", position), [*keys, position], "left_anti")
 
 
 def _class_edges(classes: DataFrame, keys: list[str], threshold: float) -> DataFrame:
@@ -378,22 +399,18 @@ def _class_edges(classes: DataFrame, keys: list[str], threshold: float) -> DataF
         ITEM_QUESTION_FLOOR, (threshold - ITEM_ANSWER_WEIGHT) / ITEM_QUESTION_WEIGHT
     )
     questions = classes.select(*keys, F.col("q").alias("__key")).distinct()
-    sets = questions.withColumn("s", trigram_sets(F.col("__key")))
+    sets = checkpointed(questions.withColumn("s", trigram_sets(F.col("__key"))))
     prefix = _prefix(sets.filter(F.size("s.grams") > 0), _gram_frequencies(sets, keys), keys, least)
-    grams = sets.join(prefix, [*keys, "__key"]).select(*keys, "__key", F.col("s.grams").alias("g"), "prefix", F.explode("prefix").alias("gram"))
-    a, b = grams.alias("a"), grams.alias("b")
-    condition = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.__key") < F.col("b.__key"))
-    for key in keys:
-        condition = condition & (F.col(f"a.{key}") == F.col(f"b.{key}"))
-    ga, gb = F.col("a.g"), F.col("b.g")
-    condition = condition & (F.least(F.size(ga), F.size(gb)) >= F.greatest(F.size(ga), F.size(gb)) * least - 1e-9)
-    # A pair meets once per shared prefix gram; only its first one counts.
-    first = F.try_element_at(F.array_intersect(F.col("a.prefix"), F.col("b.prefix")), F.lit(1)) == F.col("a.gram")
-    near = a.join(b, condition & first & (jaccard(ga, gb) >= least - 1e-9)).select(
-        *[F.col(f"a.{key}") for key in keys], F.col("a.__key").alias("q1"), F.col("b.__key").alias("q2"), jaccard(ga, gb).alias("qs")
+    a, b = _exploded(sets, prefix, keys).alias("a"), _exploded(sets, prefix, keys).alias("b")
+    close = jaccard(F.col("a.grams"), F.col("b.grams"))
+    near = (
+        a.join(b, _may_reach(keys, least) & (F.col("a.key") < F.col("b.key")) & (close >= least - 1e-9))
+        .select(*[F.col(f"a.{key}") for key in keys], F.col("a.key").alias("q1"), F.col("b.key").alias("q2"), close.alias("qs"))
+        # A pair may meet at several grams.
+        .distinct()
     )
     side = lambda n: classes.select(*keys, F.col("q").alias(f"q{n}"), F.col("cls").alias(f"c{n}"), F.col("a").alias(f"a{n}"))
-    answer = trigram_similarity(trigram_sets(F.col("a1")), trigram_sets(F.col("a2")))
+    answer = trigram_similarity(F.col("a1"), F.col("a2"))
     different = near.join(side(1), [*keys, "q1"]).join(side(2), [*keys, "q2"]).filter(item_similarity(F.col("qs"), answer) >= threshold)
     same = side(1).join(side(2).withColumnRenamed("q2", "q1"), [*keys, "q1"]).filter("c1 < c2")
     same = same.filter(item_similarity(F.lit(1.0), answer) >= threshold)
@@ -422,32 +439,29 @@ def _components(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFram
             return labels
 
 
-def _replay(keys: list[str]):
-    """The turns of one component; returns the removed positions."""
-
-    def replay(turns, wires):
-        import pandas as pd
-
-        near = {c: {c} for c in turns["cls"].unique()}
-        for c, other in zip(wires["w_cls"], wires["w_other"]):
-            near[c].add(other)
-        rows = sorted(zip(turns["pos"], turns["cls"], turns["len"]))
-        where: dict = {}
-        for at, (_, c, _) in enumerate(rows):
-            where.setdefault(c, []).append(at)
-        dead = set()
-        for at, (_, c, length) in enumerate(rows):
-            if at in dead:
-                continue
-            later = sorted(n for other in near[c] for n in where[other] if n > at and n not in dead)
-            for n in later:
-                if rows[n][2] > length:
-                    dead.add(at)
-                    break
-                dead.add(n)
-        out = pd.DataFrame({"pos": [rows[n][0] for n in sorted(dead)]})
-        for key in keys:
-            out[key] = turns[key].iloc[0] if len(turns) else None
-        return out[[*keys, "pos"]]
+def _replay(turns: list, wires: list) -> list:
+    """Positions removed by the turns of one component."""
+    near: dict = {}
+    for wire in wires:
+        near.setdefault(wire["cls"], {wire["cls"]}).add(wire["other"])
+    where: dict = {}
+    for at, turn in enumerate(turns):
+        where.setdefault(turn["cls"], []).append(at)
+    dead: set = set()
+    for at, turn in enumerate(turns):
+        if at in dead:
+            continue
+        for n in sorted(n for c in near[turn["cls"]] for n in where[c] if n > at and n not in dead):
+            if turns[n]["len"] > turn["len"]:
+                dead.add(at)
+                break
+            dead.add(n)
+    return [turns[at]["pos"] for at in sorted(dead)]
+
+
+def _replay_udf():
+    @pandas_udf(ArrayType(LongType()))
+    def replay(turns: pd.Series, wires: pd.Series) -> pd.Series:
+        return pd.Series([_replay(t, w) for t, w in zip(turns, wires)], dtype=object)
 
     return replay
