@@ -623,3 +623,55 @@ ORACLES: dict[str, str] = {
     "pending_sessions": f"WITH {RUNS} SELECT run_id, status FROM runs WHERE status <> 'completed'",
     "progress_latest": """SELECT user_id AS run_id, count(*) AS events, floor(arg_max(value, event_id))::BIGINT AS done, 1000::BIGINT AS total, arg_max(event_id % 7, event_id) AS total_items FROM events GROUP BY 1""",
 }
+
+
+# --- whole runs with the rule-based generator ------------------------------------------------------------------------
+
+
+def generated(relation: str, out: str) -> str:
+    """CTE adding the rule-based question (heading or first sentence) and answer (longest sentence) to rows with ``text``."""
+    # The generator strips with the host language's own white space class, which also covers the separators 1C-1F and NEL.
+    strip = lambda e: f"regexp_replace({e}, '^[\\s\\x{{1C}}-\\x{{1F}}\\x{{85}}\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{3000}}]+|[\\s\\x{{1C}}-\\x{{1F}}\\x{{85}}\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{3000}}]+$', '', 'g')"
+    return f"""{out}_s AS (
+  SELECT *, list_filter(list_transform(regexp_split_to_array(text, '[.!?。！？\\n]'), lambda x: {strip('x')}), lambda x: x <> '') AS s FROM {relation}),
+{out} AS (
+  SELECT *, CASE WHEN regexp_replace(s[1], '^#+\\s*', '') <> '' THEN regexp_replace(s[1], '^#+\\s*', '') ELSE s[1] END AS instruction,
+    list_sort(list_transform(s, lambda x, i: {{'k': -length(x), 'i': i, 's': x}}))[1].s AS output FROM {out}_s WHERE len(s) > 0)"""
+
+
+PAGE_DOCS = f"""{PAGES_TEXT}, page_docs AS (
+  SELECT page_id, 'page_' || page_id || '.html' AS source_name, text,
+    'doc_' || {base36_hash("'page_' || page_id || '.html|html|' || length(text) || '|' || substr(text, 1, 512)")} AS document_id FROM pages_text WHERE {trim('text')} <> '')"""
+
+PAGE_RECORDS = f"""{PAGE_DOCS}, {sections_of('page_docs', 'page_id')}, {chunks_of('page_id', 6000, 240)}, {generated('chunk', 'gen')},
+gen_doc AS (SELECT g.page_id, g.chunk_id, g.chunk_index, g.heading, g.start_offset, g.text AS chunk_text, g.instruction, g.output, '' AS input, d.document_id, d.source_name
+  FROM gen g JOIN page_docs d USING (page_id)),
+{evidence_of('gen_doc', 'gen_ev')},
+gen_trim AS (SELECT * REPLACE ({trim('instruction')} AS instruction, {trim('output')} AS output) FROM gen_ev),
+{quality_of('gen_trim', 'gen_q')},
+recs AS (SELECT *, 'qa_' || {base36_hash("document_id || '|' || chunk_id || '|' || instruction || '|' || output")} AS id, {TASK} AS task_type,
+  chunk_index * 10000000 + 1000001 AS pos FROM gen_q),
+{greedy('document_id', 0.78)}"""
+
+ORACLES["best_page_records"] = f"""WITH RECURSIVE {PAGE_RECORDS}
+  SELECT id, instruction, output, source_name AS file_name, heading, start_offset + e_start AS start_offset, start_offset + e_end AS end_offset, overall, task_type
+  FROM kept ORDER BY overall DESC, id, pos LIMIT 20"""
+ORACLES["deep_rounds"] = f"""WITH {PAGE_DOCS}, {generated('page_docs', 'gen')}
+  SELECT source_name AS session_id, 1 AS round, 1::BIGINT AS valid_count, 'stop' AS finish_reason, 0.0::DOUBLE AS avg_similarity FROM gen"""
+
+_ESCAPED = lambda e: f"length(replace(replace({e}, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)))"
+_USER_LENGTH = (
+    "length('Document: ' || source_name || ' Part: ' || chunk_index || '/' || chunk_total || ' Heading: ' || coalesce(nullif(heading, ''), '未识别')) "
+    f"+ {len(chr(10) * 2 + '<source>' + chr(10))} + length(text) + {len(chr(10) + '</source>')}"
+)
+_RAW_LENGTH = f"""{len('{"items": [{"instruction": "", "input": "", "output": ""}]}')} + {_ESCAPED('instruction')} + {_ESCAPED('output')}"""
+ORACLES["run_totals"] = f"""WITH RECURSIVE {PAGE_RECORDS},
+  tokens AS (SELECT d.document_id, sum(({_USER_LENGTH}) // 4)::BIGINT AS prompt_tokens, sum(({_RAW_LENGTH}) // 4)::BIGINT AS completion_tokens, count(*) AS total_chunks
+    FROM (SELECT c.*, g.instruction, g.output, p.source_name, p.document_id FROM chunk c JOIN gen g USING (page_id, chunk_id) JOIN page_docs p USING (page_id)) d GROUP BY 1),
+  before AS (SELECT document_id, count(*) AS total_before_dedup FROM recs GROUP BY 1),
+  after AS (SELECT document_id, count(*) AS total_after_dedup FROM kept GROUP BY 1)
+  SELECT document_id, total_chunks, total_before_dedup, total_after_dedup, 0::BIGINT AS failed_chunks, 0::BIGINT AS parse_warnings, prompt_tokens, completion_tokens,
+    total_before_dedup - total_after_dedup AS dedup_removed FROM tokens JOIN before USING (document_id) JOIN after USING (document_id)"""
+ORACLES["legacy_extraction"] = f"""WITH RECURSIVE {PAGE_DOCS}, {short_chunks_of('page_docs', 'page_id', 6000, 200)}, {generated('chunk', 'gen')},
+  twice AS (SELECT d.document_id AS book, d.document_id, g.chunk_id, g.chunk_index AS pos, g.instruction, g.output FROM gen g JOIN page_docs d USING (page_id)),
+  {pairwise_replay(0.88)} SELECT document_id, chunk_id, instruction, output FROM survivors"""
