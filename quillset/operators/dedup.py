@@ -7,6 +7,8 @@ into one value has a fixed size.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,10 +37,11 @@ from quillset.session import checkpointed
 # Default thresholds.
 RECORD_THRESHOLD, ITEM_THRESHOLD, ROUND_THRESHOLD = 0.78, 0.88, 0.9
 
-# Leaders settled per scope and round. Bounds every collected array and the right side of the round's join.
-BLOCK = 128
-# Leader tables up to this many rows are broadcast; larger ones are shuffled (their size is counted, not guessed).
-BROADCAST_LEADERS = 20_000
+# Leaders settled per scope in the first round; rounds double it up to the most for which Spark still limits a ranked
+# window before its shuffle. Bounds every collected array and the right side of the round's join.
+BLOCK, MAX_BLOCK = 128, 1000
+# Leader tables up to this many bytes (measured) are broadcast; larger ones are joined by a shuffle on the scope.
+BROADCAST_BYTES = 64 << 20
 
 
 def first_by_question(items: DataFrame, position: str, *scope: str) -> DataFrame:
@@ -169,9 +172,9 @@ def _rank_key() -> Column:
     )
 
 
-def _pair_similarity(a: Column, b: Column) -> Column:
-    same = a["document_id"] == b["document_id"]
-    return record_similarity(lexical_similarity(a["q"], b["q"]), lexical_similarity(a["a"], b["a"]), same)
+def _pair_similarity(a: Column, b: Column, question: Column | None = None) -> Column:
+    question = lexical_similarity(a["q"], b["q"]) if question is None else question
+    return record_similarity(question, lexical_similarity(a["a"], b["a"]), a["document_id"] == b["document_id"])
 
 
 def _reaches(a: Column, b: Column, threshold: float) -> Column:
@@ -186,7 +189,8 @@ def _reaches(a: Column, b: Column, threshold: float) -> Column:
     ratio = lambda x, y: F.least(F.size(x), F.size(y)) >= F.greatest(F.size(x), F.size(y)) * least
     q, p = a["q"], b["q"]
     possible = (q["canonical"] == p["canonical"]) | ratio(q["chars"], p["chars"]) | ratio(q["pairs"], p["pairs"])
-    return possible & (lexical_similarity(q, p) >= least) & (_pair_similarity(a, b) >= threshold)
+    question = lexical_similarity(q, p)
+    return possible & (question >= least) & (_pair_similarity(a, b, question) >= threshold)
 
 
 def near_duplicates(
@@ -221,12 +225,12 @@ def near_duplicates(
             F.struct("rank", "document_id", lexical_sets(F.col("q")).alias("q"), lexical_sets(F.col("a")).alias("a")).alias("c"),
         )
     )
-    leaders = _settle(classes, keys, threshold, block)
+    rounds = _settle(classes, keys, threshold, block)
 
     # Who captured whom: each class against the kept ones above the threshold, best similarity first.
-    matches = _matches(classes, leaders, keys, threshold)
+    matches = _matches(classes, rounds, keys, threshold)
     member_of = ranked.join(best.select(*class_keys, F.col("rank.p").alias("leader")), class_keys)
-    kept = leaders.select(*keys, F.col("c.rank.p").alias("pos"))
+    kept = _union(rounds).select(*keys, F.col("c.rank.p").alias("pos"))
     others = member_of.join(kept, [*keys, "pos"], "left_anti")
     earlier = F.filter("kept", lambda k: k["rank"] < F.col("rank"))
     choice = F.array_max(
@@ -248,15 +252,27 @@ def near_duplicates(
     return kept, captured
 
 
-def _settle(classes: DataFrame, keys: list[str], threshold: float, block: int) -> DataFrame:
-    undecided, settled = classes, None
+def _settle(classes: DataFrame, keys: list[str], threshold: float, block: int) -> list[DataFrame]:
+    """The leaders found by each round."""
+    undecided, rounds = classes, []
     while True:
-        top = _top_block(undecided, keys, block)
-        fresh = checkpointed(_greedy(top, keys, threshold))
-        settled = fresh if settled is None else settled.unionByName(fresh)
+        fresh = checkpointed(_greedy(_top_block(undecided, keys, block), keys, threshold))
+        rounds.append(fresh)
         undecided = checkpointed(_without_matches(undecided, fresh, keys, threshold))
         if undecided.isEmpty():
-            return settled
+            return rounds
+        block = min(2 * block, MAX_BLOCK)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _fits_broadcast(leaders: DataFrame) -> bool:
+    texts = F.length("c.q.canonical") + F.length("c.a.canonical")
+    units = F.size("c.q.chars") + F.size("c.q.pairs") + F.size("c.a.chars") + F.size("c.a.pairs")
+    used = leaders.agg(F.sum(200 + 3 * texts + 8 * units).alias("bytes")).first()["bytes"]
+    return (used or 0) <= BROADCAST_BYTES
 
 
 def _top_block(classes: DataFrame, keys: list[str], block: int) -> DataFrame:
@@ -281,34 +297,41 @@ def _greedy(top: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     return unpacked.select(*keys, F.col("c.rank.p").alias("leader"), "c")
 
 
-def _without_matches(undecided: DataFrame, leaders: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    """Undecided classes that are neither a leader nor similar to one (a leader matches itself)."""
+def _meet(classes: DataFrame, leaders: DataFrame, keys: list[str], condition: Column, how: str) -> DataFrame:
+    """Join classes ``a`` with leaders ``b`` of the same scope under ``condition``."""
     right = leaders.select(*keys, F.col("c").alias("k"))
-    if leaders.count() <= BROADCAST_LEADERS:
+    if _fits_broadcast(leaders):
         right = F.broadcast(right)
-    a, b = undecided.alias("a"), right.alias("b")
-    condition = (F.col("b.k.rank.p") == F.col("a.leader")) | _reaches(F.col("b.k"), F.col("a.c"), threshold)
     for key in keys:
         condition = condition & F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}"))
-    return a.join(b, condition, "left_anti").select("a.*")
+    return classes.alias("a").join(right.alias("b"), condition, how)
 
 
-def _matches(classes: DataFrame, leaders: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    """Per class, the kept records that reach the threshold with it (kept records are mutually dissimilar, so few)."""
-    right = leaders.select(*keys, F.col("c").alias("k"))
-    if leaders.count() <= BROADCAST_LEADERS:
-        right = F.broadcast(right)
-    a, b = classes.alias("a"), right.alias("b")
+def _without_matches(undecided: DataFrame, leaders: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """Undecided classes that are neither a leader nor similar to one."""
+    itself = F.col("b.k.rank.p") == F.col("a.leader")
+    return _meet(undecided, leaders, keys, itself | _reaches(F.col("b.k"), F.col("a.c"), threshold), "left_anti").select("a.*")
+
+
+def _matches(classes: DataFrame, rounds: list[DataFrame], keys: list[str], threshold: float) -> DataFrame:
+    """Per class, the kept records that reach the threshold with it (kept records are mutually dissimilar, so few).
+
+    Without a scope there is nothing to shuffle on, so leaders too many to broadcast at once are met round by round.
+    """
+    together = _union(rounds)
+    groups = [together] if keys or _fits_broadcast(together) else rounds
     similarity = _pair_similarity(F.col("b.k"), F.col("a.c"))
     condition = _reaches(F.col("b.k"), F.col("a.c"), threshold)
-    for key in keys:
-        condition = condition & F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}"))
-    pairs = a.join(b, condition).select(
-        *[F.col(f"a.{key}") for key in keys],
-        F.col("a.leader").alias("leader"),
-        F.struct(F.col("b.k.rank").alias("rank"), similarity.alias("similarity")).alias("kept"),
-    )
-    return pairs.groupBy(*keys, "leader").agg(F.collect_list("kept").alias("kept"))
+
+    def pairs(leaders: DataFrame) -> DataFrame:
+        found = _meet(classes, leaders, keys, condition, "inner").select(
+            *[F.col(f"a.{key}") for key in keys],
+            F.col("a.leader").alias("leader"),
+            F.struct(F.col("b.k.rank").alias("rank"), similarity.alias("similarity")).alias("kept"),
+        )
+        return found if len(groups) == 1 else checkpointed(found)
+
+    return _union([pairs(leaders) for leaders in groups]).groupBy(*keys, "leader").agg(F.collect_list("kept").alias("kept"))
 
 
 def deduplicate_records(

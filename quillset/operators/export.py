@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 def exportable(records: DataFrame, *scope: str) -> DataFrame:
     """Accepted rows where the set is under review (some row has a status), all rows otherwise.
 
-    The decision is per ``scope`` (e.g. per file) or for the whole set; it joins back one flag per scope.
+    The decision is per ``scope`` (e.g. per file) or one scalar for the whole set.
     """
     if "review_status" not in records.columns:
         return records
-    managed = records.groupBy(*scope).agg(F.bool_or(F.col("review_status").isNotNull()).alias("__managed"))
-    # One row per scope; without a scope it is exactly one row.
-    flagged = records.join(managed, list(scope)) if scope else records.join(F.broadcast(managed), F.lit(True))
-    return flagged.filter(~F.col("__managed") | (F.col("review_status") == "accepted")).drop("__managed")
+    under_review = F.bool_or(F.col("review_status").isNotNull())
+    accepted = F.col("review_status") == "accepted"
+    if not scope:
+        return records.filter(accepted | ~F.coalesce(records.agg(under_review).scalar(), F.lit(False)))
+    managed = records.groupBy(*scope).agg(under_review.alias("__managed"))
+    return records.join(managed, list(scope)).filter(~F.col("__managed") | accepted).drop("__managed")
 
 
 def to_alpaca(records: DataFrame, *keep: str) -> DataFrame:

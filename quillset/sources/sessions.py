@@ -118,5 +118,5 @@ def read_stored(spark: SparkSession, path: str, record_schema: StructType) -> Da
     complete = F.col("source").isNotNull() & F.col("quality").isNotNull()
     complete = complete & (F.coalesce("id", F.lit("")) != "") & (F.coalesce("review_status", F.lit("")) != "")
     stored = rows.filter(complete)
-    promoted = promote_stored(rows.filter(~complete).select("pos", "instruction", "input", "output"), F.col("pos"))
+    promoted = promote_stored(rows.filter(~F.coalesce(complete, F.lit(False))).select("pos", "instruction", "input", "output"), F.col("pos"))
     return stored.unionByName(promoted, allowMissingColumns=True)

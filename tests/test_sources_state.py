@@ -92,11 +92,12 @@ def test_append_rounds_and_sessions(spark, tmp_path):
 
 def test_stored_lists_are_promoted(rows, tmp_path):
     records = make_records(rows, [{"instruction": "q", "output": "a"}])
-    stored = records.select("id", "instruction", "input", "output", "review_status", "quality", "source").first().asDict(recursive=True)
-    (tmp_path / "list.json").write_text(json.dumps([{"instruction": "old", "input": "", "output": "x"}, stored]))
-    schema = records.select("id", "instruction", "input", "output", "review_status", "quality", "source").schema
-    plain = sessions.promote_stored(records.select("pos", "instruction", "input", "output"), F.col("pos")).first()
-    assert plain["source"]["chunk_id"] == "legacy_001" and plain["created_at"] == 0
+    kept = records.select("id", "instruction", "input", "output", "review_status", "quality", "source")
+    complete = kept.first().asDict(recursive=True)
+    (tmp_path / "list.json").write_text(json.dumps([complete, {"instruction": " old ", "output": "x"}, {**complete, "id": ""}]))
+    stored = sessions.read_stored(records.sparkSession, str(tmp_path / "list.json"), kept.schema).orderBy("pos").collect()
+    assert [r["source"]["chunk_id"] for r in stored] == ["r0", "legacy_002", "legacy_003"]
+    assert stored[0]["quality"]["overall"] == 0.9 and stored[1]["instruction"] == "old" and stored[1]["created_at"] == 0
 
 
 def test_resume_needs_the_exact_fingerprint(spark, tmp_path):
