@@ -163,6 +163,8 @@ def extract_records(
     chunks = chunk_documents(docs, *keys, max_chars=max_chars, overlap_chars=overlap_chars)
     if completed is not None:
         chunks = chunks.join(completed.select(*KEYS), list(KEYS), "left_anti")
+    # Read by the calls, their continuations and the evidence join: cut once.
+    chunks = checkpointed(chunks)
     run = generate_for_chunks(chunks, generator)
     placed = order_items(run.items, chunks)
     bound = bind_to_chunks(placed, chunks.drop("chunk_index", "chunk_total"), *KEYS)
@@ -255,7 +257,7 @@ def deep_rounds(
 def extract_items_by_paragraph(docs: DataFrame, generator: Generator, max_chars: int = 6000, overlap_chars: int = 200, threshold: float = dedup.ITEM_THRESHOLD) -> DataFrame:
     """The older run: paragraph chunks, one call each, any failed call fails the run, longer answers win."""
     keys = ("document_id", "source_name", "file_type", "char_count")
-    chunks = chunk_documents_by_paragraph(docs, *keys, max_chars=max_chars, overlap_chars=overlap_chars)
+    chunks = checkpointed(chunk_documents_by_paragraph(docs, *keys, max_chars=max_chars, overlap_chars=overlap_chars))
     answered = checkpointed(run_generator(requests.paragraph_chunk_requests(chunks), generator, *KEYS))
     broken = answered.filter("error IS NOT NULL").select("error").first()
     if broken:

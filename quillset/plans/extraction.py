@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillset.operators import dedup, generation
 from quillset.plans.relations import pages_text
+from quillset.session import checkpointed
 from quillset.sources.files import reject_empty, with_document_columns
 
 
@@ -24,7 +25,8 @@ def page_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     records, run = generation.extract_records(
         page_documents(spark, sf_dir), generation.rule_based_generator, created_at=F.lit(0)
     )
-    records = records.withColumn("document", F.col("source.document_id"))
+    # Scored once for deduplication and totals; a long-running job would write its records table here.
+    records = checkpointed(records.withColumn("document", F.col("source.document_id")))
     kept, _ = dedup.deduplicate_records(records, "document")
     return records, kept, run
 
