@@ -1,4 +1,4 @@
-"""Headline queries at ``$BENCH_SF_DIR`` on ``local[$BENCH_CPUS]``: one warm-up, then the median of three runs each."""
+"""Headline queries at ``$BENCH_SF_DIR`` on ``local[$BENCH_CPUS]``: one warm-up, then the median of ``$BENCH_REPEATS`` runs each (1 unless set)."""
 
 from __future__ import annotations
 
@@ -35,7 +35,7 @@ HEADLINE = (
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    repeats = int(os.environ.get("BENCH_REPEATS", "3"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "1"))
     names = [n for n in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if n]
     settings = {"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "12g"}
     spark = build_session(f"local[{cpus}]", **settings)
