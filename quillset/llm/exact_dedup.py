@@ -100,7 +100,8 @@ def exact_duplicates(docs: DataFrame, **options: int) -> DataFrame:
     named = scratch.store(name_documents(docs, scratch, **options), "named")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best")
     groups = named.groupBy("n_blocks", "name").agg(F.count("*").alias("group_size"), best).filter("group_size > 1")
-    rows = named.join(groups, ["n_blocks", "name"], "left")
+    # Stored, so that both sides of the join are plain exchanges, which Spark splits where they are skewed.
+    rows = named.join(scratch.store(groups, "groups"), ["n_blocks", "name"], "left")
     return rows.select(
         "doc_id",
         F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
