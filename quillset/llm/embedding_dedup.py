@@ -29,7 +29,7 @@ def fit_rotations(sample: np.ndarray, count: int, rounds: int = 30, seed: int =
     """Mean and ``count`` projections: principal axes, rotated from different starts until codes fit the projected vectors."""
     mean = sample.mean(axis=0)
     centred = sample - mean
-    _, _, axes = np.linalg.svd(centred, full_matrices=True)
+    axes = np.linalg.eigh(centred.T @ centred)[1].T[::-1]  # of the small square matrix: the sample's own would be rows x rows
     projected, rng, out = centred @ axes.T, np.random.default_rng(seed), []
     for _ in range(count):
         rotation = np.linalg.qr(rng.standard_normal((axes.shape[0],) * 2))[0]
