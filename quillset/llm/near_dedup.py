@@ -6,8 +6,8 @@ far selects the coordinate whose minwise token chooses the next node. Two sets o
 probability s, so few unrelated sets share a node after some steps, while near copies do.
 
 Copies are folded first (one class per distinct set). A node of at most ``node_size`` classes is compared in full; a larger one is first linked in a
-star to the member that agrees most with the node's most frequent tokens, then branched on; what is still large at the last
-level and not yet one component is compared in blocks, so nothing is capped. Estimates only choose what to compare: every link is
+star to the member that agrees most with the node's most frequent tokens, then branched on unless all its members look linked to that one. Large
+nodes that are not branched on and, links confirmed, are not one component are compared in blocks, so nothing is capped. Estimates only choose what to compare: every link is
 confirmed on full sets.
 
 Defined results: fewer than five words make one shingle of all of them; null and empty texts have no set (0 shingles) and link with nothing;
@@ -129,7 +129,7 @@ def _compare(groups: DataFrame, least: float) -> DataFrame:
 
 
 def _stars(large: DataFrame, sample_size: int, least: float) -> DataFrame:
-    """a, b, estimate: every member of each large node with the member that agrees most with the node's most frequent tokens.
+    """node, a, b, estimate: every member of each large node with the member that agrees most with the node's most frequent tokens.
 
     The most frequent tokens come from a sample of about ``sample_size`` members dealt by hash; the agreement is taken over all members. Both
     are aggregated before anything is joined back.
@@ -153,8 +153,8 @@ def _stars(large: DataFrame, sample_size: int, least: float) -> DataFrame:
     joined = large.join(centres, "node").filter(F.col("rep") != F.col("centre.id"))
     same = F.aggregate(F.arrays_zip("tokens", F.col("centre.tokens").alias("other")), F.lit(0), lambda n, p: n + (p["tokens"] == p["other"]).cast("int")) / COORDINATES
     close = 100 * F.least("n", "centre.n") >= 85 * F.greatest("n", "centre.n")
-    pairs = joined.filter(close).select(F.least("rep", "centre.id").alias("a"), F.greatest("rep", "centre.id").alias("b"), same.alias("estimate"))
-    return pairs.filter(F.col("estimate") >= least).distinct()
+    pairs = joined.filter(close).select("node", F.least("rep", "centre.id").alias("a"), F.greatest("rep", "centre.id").alias("b"), same.alias("estimate"))
+    return pairs.filter(F.col("estimate") >= least)
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -168,7 +168,9 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 sets = [shingle_set(t or b"", hashes) for t in part.column("text").cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "set"])
 
-    return _texts(docs).join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(work, "id bigint, set binary")
+    # Always by shuffle: how many texts are needed grows with the corpus, so their ids have no size bound to broadcast on.
+    needed = ids.select(F.col("id").alias("doc_id")).hint("merge")
+    return _texts(docs).join(needed, "doc_id", "left_semi").mapInArrow(work, "id bigint, set binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -190,11 +192,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(right, "b").join(left, "a").mapInArrow(work, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, node_size: int = 48, levels: int = 6, least: float = 0.67) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, node_size: int = 20, levels: int = 6, least: float = 0.67, linked: float = 0.75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row.
 
     ``least``: estimated similarity (over 64 tokens) from which a pair is compared in full; at 85 % the estimate's deviation is 4.5 points, so
-    0.67 lies four deviations below.
+    0.67 lies four deviations below. ``linked``: a large node all of whose members reach it with their centre is not branched on.
     """
     scratch = Scratch(docs.sparkSession, "near")
     store = scratch.store
@@ -207,7 +209,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, node_si
 
     first = F.array(*[F.xxhash64(F.lit(t), F.element_at("tokens", t * COORDINATES // trees + 1)) for t in range(trees)])
     frontier = reps.select("rep", F.explode(first).alias("node"))
-    small, stars = [], []
+    small, stars, ends = [], [], []
     for level in range(1, levels + 1):
         sizes = frontier.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
         shared = store(frontier.join(sizes, "node"), f"shared-{level}")
@@ -215,13 +217,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, node_si
         small.append(fits.select("ids"))
         larger = shared.filter(F.col("size") > node_size)
         if larger.limit(1).count() == 0:
-            large = None
             break
         large = store(larger.join(reps, "rep"), f"large-{level}")
-        if level in (1, 3):
-            stars.append(store(_stars(large, 64, least), f"stars-{level}"))
+        star = store(_stars(large, 64, least), f"stars-{level}")
+        stars.append(star)
+        done = star.filter(F.col("estimate") >= linked).groupBy("node").agg(F.count("*").alias("linked"))
+        judged = large.join(done, "node", "left")
+        whole = (F.coalesce("linked", F.lit(0)) + 1 >= F.col("size")) | F.lit(level == levels)
+        ends.append(store(judged.filter(whole).drop("linked"), f"ends-{level}"))
         step = 1 / (percent / 100) - 1
-        frontier = large.select("rep", F.explode(_children(F.col("node"), F.col("tokens"), step)).alias("node")).distinct()
+        frontier = judged.filter(~whole).select("rep", F.explode(_children(F.col("node"), F.col("tokens"), step)).alias("node")).distinct()
 
     # The same members meet in many trees: each distinct node is compared once.
     nodes = small[0]
@@ -241,12 +246,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, node_si
     named = begin.select("a").unionAll(near.select("a")).unionAll(begin.select("b")).unionAll(near.select("b")).distinct().withColumnRenamed("a", "id")
     sets = store(_sets(docs, named).dropDuplicates(["id"]), "sets")
     links = store(_confirmed(begin, sets, percent), "links-1")
-    scratch.forget("nodes", *[f"stars-{k}" for k in range(1, levels + 1)], *[f"shared-{k}" for k in range(1, levels + 1)], *[f"large-{k}" for k in range(1, levels)])
+    scratch.forget("nodes", *[f"stars-{k}" for k in range(1, levels + 1)], *[f"shared-{k}" for k in range(1, levels + 1)], *[f"large-{k}" for k in range(1, levels + 1)])
 
     # Pairs whose ends are one component already need no comparison; all others get one.
     known = components(scratch, links, "first").withColumnRenamed("vertex", "rep")
     apart = _apart(near.select("a", "b").join(begin, ["a", "b"], "left_anti"), known)
-    if large is not None:
+    if ends:
+        large = ends[0]
+        for more in ends[1:]:
+            large = large.unionAll(more)
         split = large.join(known, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
         rest = split.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("node")
         found = store(_blocks(split.join(rest, "node"), least), "rest")
@@ -256,7 +264,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, node_si
     more = store(_confirmed(apart, sets, percent), "links-2")
     if more.limit(1).count():
         known = components(scratch, links.select("a", "b").unionAll(more.select("a", "b")), "second").withColumnRenamed("vertex", "rep")
-    scratch.forget("sets", "sets-2", "near", "begin", "reps", f"large-{levels}")
+    scratch.forget("sets", "sets-2", "near", "begin", "reps", *[f"ends-{k}" for k in range(1, levels + 1)])
 
     copied = classes.filter("copies > 1").select("k1", "k2", F.col("rep").alias("first"))
     placed = rows.select("doc_id", "n_shingles", "k1", "k2").join(copied, ["k1", "k2"], "left")
