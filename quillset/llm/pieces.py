@@ -66,7 +66,7 @@ class ChunkTable:
                 digits = list(map(str, ids))
                 self.ids.update((w, ",".join(digits[a:b])) for w, a, b in zip(plain, cuts, [*cuts[1:], len(ids)], strict=True))
         for word in odd:
-            ids = self.model.encode(word)
+            ids = self.model.encode(word) if word else [self.model.piece_to_id(MARK)]  # a marker with nothing behind it
             # Decoded behind another word, a chunk keeps the space that its own marker stands for.
             text = self.model.decode([*self.model.encode("a"), *ids])[2:]
             self.ids[word] = ",".join(map(str, ids))
