@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # What the fingerprint covers besides the text.
 SCHEMA_VERSION, CHUNK_OVERLAP = 1, 240
 
+CHUNK_KEY = ["session_id", "fingerprint", "chunk_id"]
+
 
 def run_fingerprint(max_chars: int = 6000) -> Column:
     """SHA-256 over the text followed by the JSON of the run's settings."""
@@ -29,12 +31,12 @@ def compatible(checkpoints: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def pending_chunks(chunks: DataFrame, completed: DataFrame) -> DataFrame:
-    """Chunks of the run not completed under the same fingerprint."""
-    return chunks.join(completed.select("fingerprint", "chunk_id"), ["fingerprint", "chunk_id"], "left_anti")
+    """Chunks not completed by their own session under the same fingerprint; another session's progress on an equal text does not count."""
+    return chunks.join(completed.select(*CHUNK_KEY), CHUNK_KEY, "left_anti")
 
 
 def save_completed(spark: SparkSession, path: str, finished: DataFrame, records: DataFrame) -> None:
-    """Append newly completed chunks and their raw records, both keyed by fingerprint and chunk.
+    """Append newly completed chunks and their raw records, both keyed by session, fingerprint and chunk.
 
     Records are written first: a chunk counts as completed only once its marker exists, so an interrupted save is repeated
     and :func:`load_completed` reads each chunk's records by the batch its marker names.
@@ -43,13 +45,13 @@ def save_completed(spark: SparkSession, path: str, finished: DataFrame, records:
     new = finished
     known = _read(spark, f"{path}/completed")
     if known is not None:
-        new = finished.join(known.select("fingerprint", "chunk_id"), ["fingerprint", "chunk_id"], "left_anti")
+        new = finished.join(known.select(*CHUNK_KEY), CHUNK_KEY, "left_anti")
     token = spark.range(1).select(batch.alias("b")).first()["b"]
-    new = new.withColumns({"batch": F.lit(token), "updated_at": F.unix_millis(F.current_timestamp())})
+    new = new.withColumns({"batch": F.lit(token), "schema_version": F.lit(SCHEMA_VERSION), "updated_at": F.unix_millis(F.current_timestamp())})
     from quillset.session import checkpointed
 
     new = checkpointed(new)
-    rows = records.join(new.select("fingerprint", "chunk_id"), ["fingerprint", "chunk_id"], "left_semi")
+    rows = records.join(new.select(*CHUNK_KEY), CHUNK_KEY, "left_semi")
     rows.withColumn("batch", F.lit(token)).write.mode("append").parquet(f"{path}/records")
     new.write.mode("append").parquet(f"{path}/completed")
 
@@ -59,10 +61,10 @@ def load_completed(spark: SparkSession, path: str, runs: DataFrame) -> tuple[Dat
     markers, records = _read(spark, f"{path}/completed"), _read(spark, f"{path}/records")
     if markers is None:
         return None, None
-    usable = markers.join(runs.select("fingerprint"), "fingerprint", "left_semi")
+    usable = compatible(markers, runs)
     if records is None:
         return usable, None
-    return usable, records.join(usable.select("fingerprint", "chunk_id", "batch"), ["fingerprint", "chunk_id", "batch"], "left_semi")
+    return usable, records.join(usable.select(*CHUNK_KEY, "batch"), [*CHUNK_KEY, "batch"], "left_semi")
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame | None:

@@ -11,31 +11,29 @@ SINGLE_TEXT_CHARS = 80_000
 SINGLE_TEMPERATURE, CHUNK_TEMPERATURE = 0.3, 0.2
 CHUNK_MAX_TOKENS, CONTINUATION_MAX_TOKENS = 16_384, 8_192
 CONTINUATION_QUESTIONS = 80
-NO_HEADING = "未识别"
+NO_HEADING = "(none)"
 FILE_TYPE_NAMES = {
-    "pdf": "PDF 文档",
-    "docx": "Word 文档",
-    "pptx": "PowerPoint 演示文稿",
-    "txt": "纯文本文档",
-    "md": "Markdown 文档",
-    "html": "HTML 文档",
+    "pdf": "PDF",
+    "docx": "word processor",
+    "pptx": "slides",
+    "txt": "plain text",
+    "md": "Markdown",
+    "html": "web page",
 }
 
 OUTPUT_SHAPE = '{"items": [{"instruction": "...", "input": "", "output": "..."}]}'
 CHUNK_SYSTEM = (
-    "Turn the given passage into question and answer pairs for fine-tuning. Reply with one JSON object shaped like "
-    f"{OUTPUT_SHAPE} and nothing else. Use only facts stated in the passage, keep numbers, units, conditions and negations, "
-    "make each question understandable without the passage, leave input empty unless the task is reading comprehension, "
-    "do not rephrase one question several times, and return no items when the passage states no facts."
+    "You are given one part of a longer text. Imagine a reader who has not seen it: what could they ask that this part answers on its own? "
+    f"Write those exchanges as {OUTPUT_SHAPE}; the reply is parsed by a program. An answer that this part does not support is worse than none, "
+    "so an empty list is fine."
 )
 CONTINUE_SYSTEM = (
-    f"Continue with the same passage. Reply with one JSON object shaped like {OUTPUT_SHAPE}. "
-    "Cover only what the listed questions leave out and never complete text that was cut off."
+    f"The part below was already asked about; the earlier questions follow it. Look for answers they did not reach and reply with {OUTPUT_SHAPE}. "
+    "Reply with an empty list if they reached all."
 )
 DOCUMENT_SYSTEM = (
-    f"Turn the given document into fine-tuning data. Reply with one JSON object shaped like {OUTPUT_SHAPE} and nothing else. "
-    "Vary the tasks (summary, extraction, analysis, comparison, questions, rewriting), stay with the document's content and "
-    "language, and give complete, specific answers."
+    f"Read the whole text and write training exchanges about it as {OUTPUT_SHAPE}, in the text's own language. Mix short and long answers and "
+    "choose whatever requests suit this text; each must be answerable by someone who has only the text."
 )
 EXHAUSTIVE_SYSTEM = (
     f"List every fact of the passage as an instruction and its answer. Reply with one JSON object shaped like {OUTPUT_SHAPE}."

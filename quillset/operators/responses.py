@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from quillset.functions.text import explode_positions, is_blank, js_trim
+from quillset.functions.text import WS, explode_positions, is_blank, js_trim
 
 # Where an item array may sit, the patterns of the repair steps, and the messages reported.
 ARRAY_KEYS = ("items", "data", "alpaca_data", "alpacaData", "dataset", "records")
@@ -18,9 +18,9 @@ FENCED_BLOCK = "(?s)```(?:json)?\\s*(.*?)```"
 OUTER_BRACES = "(?s)\\{.*\\}"
 REPAIRS = (
     ("'", '"'),
-    (",\\s*\\}", "}"),
-    (",\\s*\\]", "]"),
-    ("([{,]\\s*)(\\w+)(\\s*:)", '$1"$2"$3'),
+    (f",{WS}*\\}}", "}"),
+    (f",{WS}*\\]", "]"),
+    (f"([{{,]{WS}*)(\\w+)({WS}*:)", '$1"$2"$3'),
 )
 EMPTY_RESPONSE = "LLM 返回了空内容，无法解析。"
 BAD_BLOCK = "从代码块中提取到的内容不是有效 JSON。"
@@ -96,7 +96,7 @@ def with_parsed(responses: DataFrame, content: str = "raw_content") -> DataFrame
         .when(F.col("__mended").isNotNull(), "repaired")
         .otherwise("none")
     )
-    root = F.parse_json(F.coalesce("__direct", "__fenced", "__mended"))
+    root = F.try_parse_json(F.coalesce("__direct", "__fenced", "__mended"))
     staged = staged.withColumns({"strategy": strategy, "__root": root})
     # Expressions on a variant re-read it, so the root is a column of its own before it is looked into.
     kind = F.schema_of_variant("__root")

@@ -67,19 +67,27 @@ def batch_summary(breakdown: DataFrame) -> DataFrame:
     return totals.withColumn("success_rate", percent(F.col("success_files"), F.col("total_files")))
 
 
-def set_status(records: DataFrame, updates: DataFrame) -> DataFrame:
-    """Apply (id, review_status) updates by id; records without one keep theirs."""
-    changed = updates.select("id", F.col("review_status").alias("__status"))
+def last_updates(updates: DataFrame, sequence: str = "sequence") -> DataFrame:
+    """The last row per id: by ``sequence`` where updates carry that column, in input order otherwise."""
+    at = F.col(sequence) if sequence in updates.columns else F.monotonically_increasing_id()
+    names = [c for c in updates.columns if c not in ("id", sequence)]
+    return updates.select("id", at.alias("__at"), *names).groupBy("id").agg(F.max_by(F.struct(*names), "__at").alias("__last")).select("id", "__last.*")
+
+
+def set_status(records: DataFrame, updates: DataFrame, sequence: str = "sequence") -> DataFrame:
+    """Apply (id, review_status) updates by id, the last one if there are several; records without one keep theirs."""
+    changed = last_updates(updates, sequence).select("id", F.col("review_status").alias("__status"))
     joined = records.join(changed, "id", "left")
     return joined.withColumn("review_status", F.coalesce("__status", "review_status")).select(*records.columns)
 
 
-def apply_edits(records: DataFrame, edits: DataFrame) -> DataFrame:
+def apply_edits(records: DataFrame, edits: DataFrame, sequence: str = "sequence") -> DataFrame:
     """Replace fields given in (id, instruction, input, output, review_status) and score edited records again.
 
-    Null means unchanged. Only edited rows are rescored; id and task type never change.
+    Null means unchanged; of several edits of one record the last counts. Only edited rows are rescored; id and task type never change.
     """
     fields = ("instruction", "input", "output", "review_status")
+    edits = last_updates(edits, sequence)
     changes = edits.select("id", *[F.col(f).alias(f"__{f}") for f in fields])
     trimmed = lambda f: js_trim(F.col(f"__{f}")) if f != "review_status" else F.col(f"__{f}")
     edited = records.join(changes, "id").withColumns({f: F.coalesce(trimmed(f), F.col(f)) for f in fields})

@@ -116,16 +116,22 @@ def search_many(records: DataFrame, queries: Sequence[tuple[str, str, str]], lim
     """Top ``limit`` per query for a list of (query_id, text, mode) given by the caller, in one pass over the records.
 
     The queries are a literal array on the plan; each record is scored against them in turn and only hits leave the row.
-    The window's row limit is also applied map-side, so at most ``limit`` rows per query and task are shuffled.
+    A blank query returns the records by quality. The window's row limit is also applied map-side, so at most ``limit`` rows per query and task are shuffled.
     """
     params = F.array(
         *[F.struct(F.lit(i).alias("query_id"), F.lit(text).alias("query"), F.lit(mode).alias("mode")) for i, text, mode in queries]
     )
     indexed = records if "index" in records.columns else search_index(records)
+    scores_of = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("quality.overall"), F.asc(position))
     asked = indexed.withColumn("__p", F.explode(params)).select("*", "__p.*").withColumn("q", _query_struct(F.col("query")))
     scored = _scored(asked.filter(F.col("q.text") != ""), F.col("mode")).drop("q", "index", "__p")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("quality.overall"), F.asc(position))
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    found = scored.withColumn("rank", F.row_number().over(scores_of)).filter(F.col("rank") <= limit)
+    # A query without words browses, as a single one does.
+    browsed = asked.filter(F.col("q.text") == "").drop("q", "index", "__p")
+    browsed = browsed.withColumns({"score": F.col("quality.overall"), "matched_fields": F.array().cast("array<string>")})
+    newest = Window.partitionBy("query_id").orderBy(F.desc("quality.overall"), F.desc("created_at"), F.asc(position))
+    browsed = browsed.withColumn("rank", F.row_number().over(newest)).filter(F.col("rank") <= limit)
+    return found.unionByName(browsed, allowMissingColumns=True)
 
 
 def page(ordered: DataFrame, number: int, size: int = 50) -> DataFrame:

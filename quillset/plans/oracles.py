@@ -104,9 +104,9 @@ CONV_QA = """conv_qa AS (
 
 HAN_QA = f"""{CONV_QA}, han_qa AS (
   SELECT conv_id, turn, pos,
-    {pick(rel.HAN_PREFIXES, 'conv_id + turn')} || substr(instruction, 1, 24) AS instruction,
-    CASE WHEN conv_id % 11 = 0 THEN substr(output, 1, 30) ELSE '' END AS input,
-    {pick(rel.HAN_ANSWERS, 'conv_id + turn')} || substr(output, 1, 40) AS output
+    {pick(rel.HAN_PREFIXES, 'conv_id + turn')} || instruction AS instruction,
+    CASE WHEN conv_id % 11 = 0 THEN output ELSE '' END AS input,
+    {pick(rel.HAN_ANSWERS, 'conv_id + turn')} || output AS output
   FROM conv_qa)"""
 
 PAGES_TEXT_EXPR = "html"
@@ -563,7 +563,8 @@ ORACLES: dict[str, str] = {
     "search_hybrid": "WITH " + search_of("han_qa", [("a", HAN_SEARCH_TEXT, "hybrid")], "review_status IN ('accepted', 'pending')") + " SELECT pos, score, matched_fields FROM ranked WHERE rank <= 50",
     "search_many": "WITH "
     + search_of("han_qa", [("a", SEARCH_TEXT, "hybrid"), ("b", HAN_SEARCH_TEXT, "hybrid"), ("c", "导出格式", "keyword"), ("d", "  ", "fuzzy")])
-    + " SELECT query_id, rank::INT AS rank, pos, score FROM ranked WHERE rank <= 20",
+    + """, browsed AS (SELECT 'd' AS query_id, row_number() OVER (ORDER BY overall DESC, created_at DESC, pos)::INT AS rank, pos, overall AS score FROM recs)
+        SELECT query_id, rank::INT AS rank, pos, score FROM ranked WHERE rank <= 20 UNION ALL SELECT * FROM browsed WHERE rank <= 20""",
     "browse_top": f"WITH {conv_records()} SELECT pos, overall AS score FROM recs ORDER BY overall DESC, created_at DESC, pos LIMIT 25",
     "facet_filter": f"WITH {DOC_RECORDS} SELECT doc_id, review_status, overall FROM drecs WHERE review_status IN ('accepted', 'pending') AND task_type = 'closed_book_qa' AND overall BETWEEN 0.5 AND 0.9",
     "quality_bands": f"WITH {DOC_RECORDS} SELECT doc_id, CASE WHEN overall >= 0.8 THEN 'strong' WHEN overall >= 0.65 THEN 'medium' ELSE 'attention' END AS tone FROM drecs",
@@ -594,12 +595,12 @@ ORACLES: dict[str, str] = {
             coalesce(skipped, []::VARCHAR[])), lambda m: m IS NOT NULL), '|') AS parse_errors
         FROM resp_items r LEFT JOIN per USING (conv_id, turn)""",
     "chunk_requests": f"""WITH RECURSIVE {DOC_SEC}, {chunks_of('doc_id', 6000, 240)} SELECT c.doc_id, c.chunk_id, {lit(rq.CHUNK_SYSTEM)} AS system,
-          'Document: ' || d.source_name || chr(10) || 'Part: ' || chunk_index || '/' || chunk_total || chr(10) || 'Heading: ' || coalesce(nullif(heading, ''), '未识别') || {lit(chr(10) * 2 + '<source>' + chr(10))} || c.text || {lit(chr(10) + '</source>')} AS user,
+          'Document: ' || d.source_name || chr(10) || 'Part: ' || chunk_index || '/' || chunk_total || chr(10) || 'Heading: ' || coalesce(nullif(heading, ''), '(none)') || {lit(chr(10) * 2 + '<source>' + chr(10))} || c.text || {lit(chr(10) + '</source>')} AS user,
           16384::BIGINT AS max_tokens FROM chunk c JOIN doc_txt d USING (doc_id)""",
     "continuations": f"""WITH RECURSIVE {DOC_QA}, {sections_of('doc_txt', 'doc_id')}, {chunks_of('doc_id', 6000, 240)},
         asked AS (SELECT doc_id, regexp_split_to_array(chunk_text, '[.!?\\n]') AS a FROM doc_qa)
         SELECT c.doc_id, c.chunk_id, {lit(rq.CONTINUE_SYSTEM)} AS system,
-          'Document: ' || d.source_name || chr(10) || 'Heading: ' || coalesce(nullif(heading, ''), '未识别') || chr(10) || 'Questions so far:' || chr(10) ||
+          'Document: ' || d.source_name || chr(10) || 'Heading: ' || coalesce(nullif(heading, ''), '(none)') || chr(10) || 'Questions so far:' || chr(10) ||
           array_to_string(a[greatest(1, len(a) - 79):], chr(10)) || {lit(chr(10) * 2 + '<source>' + chr(10))} || c.text || {lit(chr(10) + '</source>')} AS user,
           8192::BIGINT AS max_tokens FROM chunk c JOIN doc_txt d USING (doc_id) JOIN asked USING (doc_id) WHERE chunk_id = 'chunk_001'""",
     "single_requests": f"WITH {DOC_TXT} SELECT doc_id, {lit(rq.SUMMARY_SYSTEM)} AS system, {document_user(lit('Build the dataset from this document.' + chr(10)))} AS user, NULL::BIGINT AS max_tokens FROM doc_txt",
@@ -613,7 +614,7 @@ ORACLES: dict[str, str] = {
     "size_routing": "SELECT doc_id, CASE WHEN length(text) > 6000 THEN 'chunked' ELSE 'single' END AS route FROM documents",
     "fingerprints": f"SELECT doc_id, {fingerprint()} AS fingerprint FROM documents",
     "resume_pending": f"""WITH RECURSIVE {DOC_SEC}, {chunks_of('doc_id', 1500, 240)}, parts AS (SELECT c.doc_id, c.chunk_id, c.chunk_index, {fingerprint().replace('text', 'd.text')} AS fp FROM chunk c JOIN doc_txt d USING (doc_id))
-        SELECT doc_id, chunk_id FROM parts p WHERE NOT EXISTS (SELECT 1 FROM parts x WHERE x.fp = p.fp AND x.chunk_id = p.chunk_id AND (x.doc_id + x.chunk_index) % 2 = 0)""",
+        SELECT doc_id, chunk_id FROM parts p WHERE NOT EXISTS (SELECT 1 FROM parts x WHERE x.doc_id = p.doc_id AND x.fp = p.fp AND x.chunk_id = p.chunk_id AND (x.doc_id + x.chunk_index) % 2 = 0)""",
     "checkpoint_match": "SELECT doc_id AS session_id, 1::BIGINT AS schema_version FROM documents WHERE doc_id % 3 = 1",
     "valid_round_prefix": f"WITH {ROUND_LINES} SELECT session_id, line_no, (line::JSON->>'round')::BIGINT AS round, json_array_length(line::JSON, '$.items')::BIGINT AS item_count, truncated FROM good",
     "session_progress": f"WITH {ROUND_LINES} SELECT session_id, count(*) AS total_rounds, sum(json_array_length(line::JSON, '$.items'))::BIGINT AS total_items, arg_max(line::JSON->>'finishReason', (line::JSON->>'round')::BIGINT) AS last_finish_reason FROM good GROUP BY 1",
@@ -661,7 +662,7 @@ ORACLES["deep_rounds"] = f"""WITH {PAGE_DOCS}, {generated('page_docs', 'gen')}
 
 _ESCAPED = lambda e: f"length(replace(replace({e}, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)))"
 _USER_LENGTH = (
-    "length('Document: ' || source_name || ' Part: ' || chunk_index || '/' || chunk_total || ' Heading: ' || coalesce(nullif(heading, ''), '未识别')) "
+    "length('Document: ' || source_name || ' Part: ' || chunk_index || '/' || chunk_total || ' Heading: ' || coalesce(nullif(heading, ''), '(none)')) "
     f"+ {len(chr(10) * 2 + '<source>' + chr(10))} + length(text) + {len(chr(10) + '</source>')}"
 )
 _RAW_LENGTH = f"""{len('{"items": [{"instruction": "", "input": "", "output": ""}]}')} + {_ESCAPED('instruction')} + {_ESCAPED('output')}"""

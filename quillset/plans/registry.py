@@ -294,7 +294,7 @@ def _hits(results):
 
 
 SEARCH_TEXT = "the thing was only ing"
-HAN_SEARCH_TEXT = "模型设置步骤"
+HAN_SEARCH_TEXT = "流程如何设定"
 
 
 @query
@@ -489,8 +489,8 @@ def fingerprints(spark, sf_dir):
 @query
 def resume_pending(spark, sf_dir):
     docs = r.doc_txt(spark, sf_dir).withColumn("fingerprint", checkpoints.run_fingerprint())
-    parts = chunk_documents(docs, "doc_id", "fingerprint", max_chars=1500)
-    done = parts.filter((F.col("doc_id") + F.col("chunk_index")) % 2 == 0).select("fingerprint", "chunk_id")
+    parts = chunk_documents(docs, "doc_id", "fingerprint", max_chars=1500).withColumn("session_id", F.col("doc_id"))
+    done = parts.filter((F.col("doc_id") + F.col("chunk_index")) % 2 == 0).select("session_id", "fingerprint", "chunk_id")
     return checkpoints.pending_chunks(parts, done).select("doc_id", "chunk_id")
 
 

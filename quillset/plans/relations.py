@@ -60,15 +60,15 @@ def _pick(words: tuple[str, ...], index: Column) -> Column:
 
 
 def han_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conv_qa with Chinese wording in front: the question of every row keeps 24 of its own characters, the answer 40."""
+    """conv_qa with Chinese wording in front of whole questions and answers; every eleventh conversation has an input too."""
     index = F.col("conv_id") + F.col("turn")
     return conv_qa(spark, sf_dir).select(
         "conv_id",
         "turn",
         "pos",
-        F.concat(_pick(HAN_PREFIXES, index), F.substring("instruction", 1, 24)).alias("instruction"),
-        F.when(F.col("conv_id") % 11 == 0, F.substring("output", 1, 30)).otherwise(F.lit("")).alias("input"),
-        F.concat(_pick(HAN_ANSWERS, index), F.substring("output", 1, 40)).alias("output"),
+        F.concat(_pick(HAN_PREFIXES, index), F.col("instruction")).alias("instruction"),
+        F.when(F.col("conv_id") % 11 == 0, F.col("output")).otherwise(F.lit("")).alias("input"),
+        F.concat(_pick(HAN_ANSWERS, index), F.col("output")).alias("output"),
     )
 
 

@@ -33,12 +33,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; executors may be lost at any time, so
     blocks held only by executors are never enough. A folder of our own is used only when none is configured
-    (tests, local runs).
+    (tests, local runs); on any other master that is an error, since executors would not see a machine-local folder.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
     return df.checkpoint(eager=True)
 

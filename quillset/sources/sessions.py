@@ -68,7 +68,7 @@ def valid_rounds(lines: DataFrame) -> DataFrame:
     position per session is aggregated; the lines themselves are never grouped.
     """
     checked = lines.filter(~is_blank(F.col("line"))).withColumn("__json", strict_json(F.col("line")))
-    checked = checked.withColumn("__v", F.parse_json("__json"))
+    checked = checked.withColumn("__v", F.try_parse_json("__json"))
     round_no = F.try_variant_get("__v", "$.round", "variant")
     kinds = F.schema_of_variant(round_no)
     good = (

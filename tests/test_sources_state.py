@@ -106,7 +106,7 @@ def test_resume_needs_the_exact_fingerprint(spark, tmp_path):
     assert [(r["fingerprint"], r["schema_version"]) for r in checkpoints.compatible(stored, run).collect()] == [("fp-a", 1)]
     path = f"{tmp_path}/state"
     assert checkpoints.load_completed(spark, path, run) == (None, None)
-    done = lambda *ids: spark.createDataFrame([("fp-a", i) for i in ids], "fingerprint string, chunk_id string")
+    done = lambda *ids: spark.createDataFrame([("s", "fp-a", i) for i in ids], "session_id string, fingerprint string, chunk_id string")
     recs = lambda *ids: done(*ids).withColumn("instruction", F.concat(F.lit("q"), "chunk_id"))
     checkpoints.save_completed(spark, path, done("c1"), recs("c1"))
     checkpoints.save_completed(spark, path, done("c1", "c2"), recs("c1", "c2"))
@@ -115,6 +115,9 @@ def test_resume_needs_the_exact_fingerprint(spark, tmp_path):
     assert sorted(r["instruction"] for r in records.collect()) == ["qc1", "qc2"]
     left = checkpoints.pending_chunks(done("c1", "c2", "c3"), markers)
     assert [r["chunk_id"] for r in left.collect()] == ["c3"]
+    other = checkpoints.pending_chunks(done("c1").withColumn("session_id", F.lit("t")), markers)
+    assert other.count() == 1
+    assert checkpoints.load_completed(spark, path, run.withColumn("session_id", F.lit("t")))[0].count() == 0
 
 
 def test_running_totals_of_one_big_key(spark):
