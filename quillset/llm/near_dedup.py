@@ -6,9 +6,10 @@ far selects the coordinate whose minwise token chooses the next node. Two sets o
 probability s, so few unrelated sets share a node after some steps, while near copies do.
 
 Copies are folded first (one class per distinct set). A node of at most ``node_size`` classes is compared in full; a larger one is first linked in a
-star to the member that agrees most with the node's most frequent tokens, then branched on unless all its members look linked to that one. Large
-nodes that are not branched on and, links confirmed, are not one component are compared in blocks, so nothing is capped. Estimates only choose what to compare: every link is
-confirmed on full sets.
+star to the member that agrees most with the node's most frequent tokens, then branched on unless nearly all its members look linked to that one
+(near copies stay together on every further step, so branching would not part them). Large nodes that are not branched on and, links confirmed, are
+not one component are compared in blocks, each member with those of other components, so nothing is capped. Estimates only choose what to
+compare: every link is confirmed on full sets.
 
 Defined results: fewer than five words make one shingle of all of them; null and empty texts have no set (0 shingles) and link with nothing;
 rows with one doc_id count as one vertex; a null doc_id links with nothing, has no component and is kept; no rows give no rows; further
@@ -102,22 +103,24 @@ def _children(node: Column, tokens: Column, extra: float) -> Column:
 def _compare(groups: DataFrame, least: float) -> DataFrame:
     """a < b, estimate for the pairs of each row's two lists (members, others) whose estimated similarity reaches ``least``.
 
-    Lists hold at most a block of (id, size, tokens) each; with others null, members are compared among themselves.
+    Lists hold at most a block of (id, root, size, tokens) each; with others null, members are compared among themselves. Members
+    of one root are one component already and are not compared.
     """
 
-    def load(values: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.array([v["id"] for v in values]), np.array([v["n"] for v in values]), np.array([v["tokens"] for v in values], dtype=np.int32).reshape(-1, COORDINATES)
+    def load(values: list) -> tuple[np.ndarray, ...]:
+        ids, roots, sizes = (np.array([v[name] for v in values]) for name in ("id", "root", "n"))
+        return ids, roots, sizes, np.array([v["tokens"] for v in values], dtype=np.int32).reshape(-1, COORDINATES)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for mine, yours in zip(batch.column("members"), batch.column("others"), strict=True):
                 mine, yours = mine.as_py(), yours.as_py()
-                ids, sizes, tokens = load(mine)
-                ids2, sizes2, tokens2 = (ids, sizes, tokens) if yours is None else load(yours)
+                ids, roots, sizes, tokens = load(mine)
+                ids2, roots2, sizes2, tokens2 = (ids, roots, sizes, tokens) if yours is None else load(yours)
                 out: list[tuple] = []
                 for i in range(len(ids)):
-                    near = (100 * np.minimum(sizes[i], sizes2) >= 85 * np.maximum(sizes[i], sizes2)) & (ids2 > ids[i] if yours is None else ids2 != ids[i])
-                    near = np.flatnonzero(near)
+                    near = np.flatnonzero((roots2 != roots[i]) & (100 * np.minimum(sizes[i], sizes2) >= 85 * np.maximum(sizes[i], sizes2)))
+                    near = near[ids2[near] > ids[i]] if yours is None else near
                     if len(near):
                         same = (tokens2[near] == tokens[i]).mean(axis=1)
                         out += [(min(ids[i], ids2[j]), max(ids[i], ids2[j]), s) for j, s in zip(near.tolist(), same.tolist(), strict=True) if s >= least]
@@ -192,11 +195,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(right, "b").join(left, "a").mapInArrow(work, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, node_size: int = 20, levels: int = 6, least: float = 0.67, linked: float = 0.75) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, node_size: int = 20, levels: int = 6, least: float = 0.67, linked: float = 0.75, covered: float = 0.9) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row.
 
     ``least``: estimated similarity (over 64 tokens) from which a pair is compared in full; at 85 % the estimate's deviation is 4.5 points, so
-    0.67 lies four deviations below. ``linked``: a large node all of whose members reach it with their centre is not branched on.
+    0.67 lies four deviations below. ``linked``: a large node of which ``covered`` of the members reach it with their centre is not branched on.
     """
     scratch = Scratch(docs.sparkSession, "near")
     store = scratch.store
@@ -223,7 +226,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, node_si
         stars.append(star)
         done = star.filter(F.col("estimate") >= linked).groupBy("node").agg(F.count("*").alias("linked"))
         judged = large.join(done, "node", "left")
-        whole = (F.coalesce("linked", F.lit(0)) + 1 >= F.col("size")) | F.lit(level == levels)
+        whole = (F.coalesce("linked", F.lit(0)) + 1 >= covered * F.col("size")) | F.lit(level == levels)
         ends.append(store(judged.filter(whole).drop("linked"), f"ends-{level}"))
         step = 1 / (percent / 100) - 1
         frontier = judged.filter(~whole).select("rep", F.explode(_children(F.col("node"), F.col("tokens"), step)).alias("node")).distinct()
@@ -234,7 +237,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, node_si
         nodes = nodes.unionAll(more)
     nodes = store(nodes.distinct().select(F.monotonically_increasing_id().alias("nid"), "ids"), "nodes")
     members = nodes.select("nid", F.explode("ids").alias("rep")).join(reps, "rep")
-    groups = members.groupBy("nid").agg(F.collect_list(F.struct(F.col("rep").alias("id"), "n", "tokens")).alias("members"))
+    groups = members.groupBy("nid").agg(F.collect_list(F.struct(F.col("rep").alias("id"), F.col("rep").alias("root"), "n", "tokens")).alias("members"))
     near = store(_compare(groups.withColumn("others", F.lit(None).cast(groups.schema["members"].dataType)), least).distinct(), "near")
 
     both = near.select("a", "b", "estimate").unionAll(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "estimate"))
@@ -283,8 +286,8 @@ def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def _blocks(members: DataFrame, least: float, block: int = 256) -> DataFrame:
-    """Pairs near by estimate in large nodes: members in blocks, every two blocks of a node compared by one task at a time."""
-    item = F.struct(F.col("rep").alias("id"), "n", "tokens")
+    """Pairs near by estimate and apart in components in large nodes: members in blocks, every two blocks of a node compared by one task at a time."""
+    item = F.struct(F.col("rep").alias("id"), "root", "n", "tokens")
     blocks = F.ceil(F.col("size") / block).cast("bigint")
     dealt = members.withColumn("block", F.pmod(F.xxhash64("rep"), blocks)).groupBy("node", "block", blocks.alias("blocks")).agg(F.collect_list(item).alias("members"))
     to = dealt.select("node", F.col("block").alias("to"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("block"), F.col("members").alias("others"))
