@@ -7,9 +7,10 @@ probability s, so few unrelated sets share a node after some steps, while near c
 
 Copies are folded first (one class per distinct set). A node of at most ``node_size`` classes is compared in full; a larger one is first linked in a
 star to the member that agrees most with the node's most frequent tokens, then branched on unless nearly all its members look linked to that one
-(near copies stay together on every further step, so branching would not part them). Large nodes that are not branched on and, links confirmed, are
-not one component are compared in blocks, each member with those of other components, so nothing is capped. Estimates only choose what to
-compare: every link is confirmed on full sets.
+or the last step kept nearly all of them (near copies stay together on every further step, so branching would not part them). Large nodes that are not branched on and, links confirmed, are
+not one component are compared in blocks, each member with those of other components, so nothing is capped. In blocks, members bring the
+1,024 smallest hashes of their sets, which is the whole set of most documents, so hardly a pair leaves a block that is no link. Estimates only
+choose what to compare: every link is confirmed on full sets.
 
 Defined results: fewer than five words make one shingle of all of them; null and empty texts have no set (0 shingles) and link with nothing;
 rows with one doc_id count as one vertex; a null doc_id links with nothing, has no component and is kept; no rows give no rows; further
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from quillset.llm.shared import Scratch, components, own_columns
 
-WORDS, COORDINATES, TABLE_WORDS = 5, 64, 300_000
+WORDS, COORDINATES, TABLE_WORDS, SKETCH = 5, 64, 300_000, 1024
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -101,34 +102,85 @@ def _children(node: Column, tokens: Column, extra: float) -> Column:
 
 
 def _compare(groups: DataFrame, least: float) -> DataFrame:
-    """a < b, estimate for the pairs of each row's two lists (members, others) whose estimated similarity reaches ``least``.
-
-    Lists hold at most a block of (id, root, size, tokens) each; with others null, members are compared among themselves. Members
-    of one root are one component already and are not compared.
-    """
-
-    def load(values: list) -> tuple[np.ndarray, ...]:
-        ids, roots, sizes = (np.array([v[name] for v in values]) for name in ("id", "root", "n"))
-        return ids, roots, sizes, np.array([v["tokens"] for v in values], dtype=np.int32).reshape(-1, COORDINATES)
+    """a < b, estimate for the pairs of members of each row's list whose similarity, estimated from minwise tokens, reaches ``least``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for mine, yours in zip(batch.column("members"), batch.column("others"), strict=True):
-                mine, yours = mine.as_py(), yours.as_py()
-                ids, roots, sizes, tokens = load(mine)
-                ids2, roots2, sizes2, tokens2 = (ids, roots, sizes, tokens) if yours is None else load(yours)
+            for members in batch.column("members"):
+                values = members.as_py()
+                ids, sizes = (np.array([v[name] for v in values]) for name in ("id", "n"))
+                tokens = np.array([v["tokens"] for v in values], dtype=np.int32).reshape(-1, COORDINATES)
                 out: list[tuple] = []
                 for i in range(len(ids)):
-                    near = np.flatnonzero((roots2 != roots[i]) & (100 * np.minimum(sizes[i], sizes2) >= 85 * np.maximum(sizes[i], sizes2)))
-                    near = near[ids2[near] > ids[i]] if yours is None else near
+                    near = np.flatnonzero((ids > ids[i]) & (100 * np.minimum(sizes[i], sizes) >= 85 * np.maximum(sizes[i], sizes)))
                     if len(near):
-                        same = (tokens2[near] == tokens[i]).mean(axis=1)
-                        out += [(min(ids[i], ids2[j]), max(ids[i], ids2[j]), s) for j, s in zip(near.tolist(), same.tolist(), strict=True) if s >= least]
+                        same = (tokens[near] == tokens[i]).mean(axis=1)
+                        out += [(ids[i], ids[j], s) for j, s in zip(near.tolist(), same.tolist(), strict=True) if s >= least]
                 if out:
                     a, b, s = zip(*out, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], names=["a", "b", "estimate"])
 
-    return groups.select("members", "others").mapInArrow(work, "a bigint, b bigint, estimate double")
+    return groups.select("members").mapInArrow(work, "a bigint, b bigint, estimate double")
+
+
+def _sketches(sets: DataFrame) -> DataFrame:
+    """rep, sketch: the ``SKETCH`` smallest hashes (32 bits, ascending, as bytes) of each set, the whole of it if it holds no more."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mixed = [(np.frombuffer(s.as_py(), dtype=np.uint64) * MULTIPLY) >> np.uint64(32) for s in batch.column("set")]
+            out = [np.unique(m.astype(np.uint32))[:SKETCH].tobytes() for m in mixed]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], names=["rep", "sketch"])
+
+    return sets.select("id", "set").mapInArrow(work, "rep bigint, sketch binary")
+
+
+def _compare_blocks(pairs: DataFrame, percent: int) -> DataFrame:
+    """a < b for the pairs of each row's two lists (members, others) that may reach ``percent`` by their sketches and are apart in components.
+
+    Lists hold at most a block of (id, root, n, sketch) each; with others null, members are compared among themselves. The similarity is
+    that of the two sets below the lower of the sketches' ends: exact for whole sets, else from 1,024 or more hashes, with a
+    deviation of 1.2 points, of which four are allowed.
+    """
+
+    def load(values: list) -> tuple:
+        ids, roots, sizes = (np.array([v[name] for v in values]) for name in ("id", "root", "n"))
+        return ids, roots, sizes, [np.frombuffer(v["sketch"], dtype=np.uint32) for v in values]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for mine, yours in zip(batch.column("members"), batch.column("others"), strict=True):
+                own = not yours.is_valid
+                ids, roots, sizes, sketches = left = load(mine.as_py())
+                ids2, roots2, sizes2, sketches2 = left if own else load(yours.as_py())
+                # Ranks keep the hashes' order, so a table over them tells what two sketches share.
+                ranks, flat = np.unique(np.concatenate([*sketches, *sketches2]), return_inverse=True)
+                lengths, lengths2 = (np.array([len(x) for x in part]) for part in (sketches, sketches2))
+                starts = np.concatenate([[0], np.cumsum(lengths)])
+                flat, flat2 = flat[: starts[-1]], flat[starts[-1] :]
+                starts2 = np.concatenate([[0], np.cumsum(lengths2)[:-1]])
+                ends2 = np.where(lengths2 < SKETCH, len(ranks), flat2[starts2 + lengths2 - 1])
+                marked, a, b = np.zeros(len(ranks), dtype=bool), [], []
+                for i in range(len(ids)):
+                    apart = (roots2 != roots[i]) & (100 * np.minimum(sizes[i], sizes2) >= percent * np.maximum(sizes[i], sizes2))
+                    apart &= (ids2 > ids[i]) | (not own)
+                    if not apart.any():
+                        continue
+                    these = flat[starts[i] : starts[i + 1]]
+                    marked[these] = True
+                    shared = np.add.reduceat(marked[flat2], starts2, dtype=np.int64)
+                    marked[these] = False
+                    end = np.minimum(ends2, len(ranks) if len(these) < SKETCH else these[-1])
+                    here = np.searchsorted(these, end, side="right")
+                    there = lengths2 if (end == len(ranks)).all() else np.add.reduceat(flat2 <= np.repeat(end, lengths2), starts2, dtype=np.int64)
+                    bound = np.where(end == len(ranks), percent - 0.5, percent - 5)
+                    found = ids2[apart & (100 * shared >= bound * (here + there - shared))]
+                    a += np.minimum(found, ids[i]).tolist()
+                    b += np.maximum(found, ids[i]).tolist()
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return pairs.select("members", "others").mapInArrow(work, "a bigint, b bigint")
 
 
 def _stars(large: DataFrame, sample_size: int, least: float) -> DataFrame:
@@ -195,11 +247,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(right, "b").join(left, "a").mapInArrow(work, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, node_size: int = 20, levels: int = 6, least: float = 0.67, linked: float = 0.75, covered: float = 0.9) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, node_size: int = 20, levels: int = 6, least: float = 0.67, linked: float = 0.75, covered: float = 0.9, together: float = 0.8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row.
 
     ``least``: estimated similarity (over 64 tokens) from which a pair is compared in full; at 85 % the estimate's deviation is 4.5 points, so
-    0.67 lies four deviations below. ``linked``: a large node of which ``covered`` of the members reach it with their centre is not branched on.
+    0.67 lies four deviations below. ``linked``: a large node of which ``covered`` of the members reach it with their centre is not branched on,
+    nor one that kept ``together`` of its parent's members: a step keeps about the mean similarity of a node's members, so further ones would part little.
     """
     scratch = Scratch(docs.sparkSession, "near")
     store = scratch.store
@@ -211,7 +264,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, node_si
     reps = store(heads.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "tokens"), "reps")
 
     first = F.array(*[F.xxhash64(F.lit(t), F.element_at("tokens", t * COORDINATES // trees + 1)) for t in range(trees)])
-    frontier = reps.select("rep", F.explode(first).alias("node"))
+    frontier = reps.select("rep", F.lit(None).cast("bigint").alias("parent"), F.explode(first).alias("node"))
     small, stars, ends = [], [], []
     for level in range(1, levels + 1):
         sizes = frontier.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
@@ -226,10 +279,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, node_si
         stars.append(star)
         done = star.filter(F.col("estimate") >= linked).groupBy("node").agg(F.count("*").alias("linked"))
         judged = large.join(done, "node", "left")
-        whole = (F.coalesce("linked", F.lit(0)) + 1 >= covered * F.col("size")) | F.lit(level == levels)
+        alike = (F.coalesce("linked", F.lit(0)) + 1 >= covered * F.col("size")) | (F.col("size") >= together * F.coalesce("parent", F.lit(2**62)))
+        whole = alike | F.lit(level == levels)
         ends.append(store(judged.filter(whole).drop("linked"), f"ends-{level}"))
         step = 1 / (percent / 100) - 1
-        frontier = judged.filter(~whole).select("rep", F.explode(_children(F.col("node"), F.col("tokens"), step)).alias("node")).distinct()
+        frontier = judged.filter(~whole).select("rep", F.col("size").alias("parent"), F.explode(_children(F.col("node"), F.col("tokens"), step)).alias("node")).distinct()
 
     # The same members meet in many trees: each distinct node is compared once.
     nodes = small[0]
@@ -237,8 +291,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, node_si
         nodes = nodes.unionAll(more)
     nodes = store(nodes.distinct().select(F.monotonically_increasing_id().alias("nid"), "ids"), "nodes")
     members = nodes.select("nid", F.explode("ids").alias("rep")).join(reps, "rep")
-    groups = members.groupBy("nid").agg(F.collect_list(F.struct(F.col("rep").alias("id"), F.col("rep").alias("root"), "n", "tokens")).alias("members"))
-    near = store(_compare(groups.withColumn("others", F.lit(None).cast(groups.schema["members"].dataType)), least).distinct(), "near")
+    groups = members.groupBy("nid").agg(F.collect_list(F.struct(F.col("rep").alias("id"), "n", "tokens")).alias("members"))
+    near = store(_compare(groups, least).distinct(), "near")
 
     both = near.select("a", "b", "estimate").unionAll(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "estimate"))
     nearest = both.groupBy("a").agg(F.max_by("b", F.struct("estimate", "b")).alias("b"))
@@ -258,16 +312,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, node_si
         large = ends[0]
         for more in ends[1:]:
             large = large.unionAll(more)
-        split = large.join(known, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+        split = large.select("node", "size", "rep", "n").join(known, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
         rest = split.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("node")
-        found = store(_blocks(split.join(rest, "node"), least), "rest")
-        apart = apart.unionAll(_apart(found.select("a", "b"), known)).distinct()
-        named = store(apart.select(F.col("a").alias("id")).unionAll(apart.select("b")).distinct(), "named-2")
-        sets = sets.unionAll(store(_sets(docs, named.join(sets.select("id"), "id", "left_anti")).dropDuplicates(["id"]), "sets-2"))
+        split = store(split.join(rest, "node"), "split")
+        missing = split.select(F.col("rep").alias("id")).distinct().join(sets.select("id"), "id", "left_anti")
+        sets = sets.unionAll(store(_sets(docs, missing).dropDuplicates(["id"]), "sets-2"))
+        found = store(_blocks(split, store(_sketches(sets), "sketches"), percent), "rest")
+        apart = apart.unionAll(found).distinct()
     more = store(_confirmed(apart, sets, percent), "links-2")
     if more.limit(1).count():
         known = components(scratch, links.select("a", "b").unionAll(more.select("a", "b")), "second").withColumnRenamed("vertex", "rep")
-    scratch.forget("sets", "sets-2", "near", "begin", "reps", *[f"ends-{k}" for k in range(1, levels + 1)])
+    scratch.forget("sets", "sets-2", "sketches", "split", "near", "begin", "reps", *[f"ends-{k}" for k in range(1, levels + 1)])
 
     copied = classes.filter("copies > 1").select("k1", "k2", F.col("rep").alias("first"))
     placed = rows.select("doc_id", "n_shingles", "k1", "k2").join(copied, ["k1", "k2"], "left")
@@ -285,12 +340,12 @@ def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return right.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").distinct()
 
 
-def _blocks(members: DataFrame, least: float, block: int = 256) -> DataFrame:
-    """Pairs near by estimate and apart in components in large nodes: members in blocks, every two blocks of a node compared by one task at a time."""
-    item = F.struct(F.col("rep").alias("id"), "root", "n", "tokens")
+def _blocks(members: DataFrame, sketches: DataFrame, percent: int, block: int = 256) -> DataFrame:
+    """Pairs near by their sketches and apart in components in large nodes: members in blocks, every two blocks of a node compared by one task at a time."""
+    item = F.struct(F.col("rep").alias("id"), "root", "n", "sketch")
     blocks = F.ceil(F.col("size") / block).cast("bigint")
-    dealt = members.withColumn("block", F.pmod(F.xxhash64("rep"), blocks)).groupBy("node", "block", blocks.alias("blocks")).agg(F.collect_list(item).alias("members"))
+    dealt = members.join(sketches, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), blocks)).groupBy("node", "block").agg(F.collect_list(item).alias("members"))
     to = dealt.select("node", F.col("block").alias("to"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("block"), F.col("members").alias("others"))
     paired = dealt.join(to, ["node", "block"])
     own = F.col("block") == F.col("to")
-    return _compare(paired.select("members", F.when(~own, F.col("others")).alias("others")), least).distinct()
+    return _compare_blocks(paired.select("members", F.when(~own, F.col("others")).alias("others")), percent).distinct()
