@@ -2,7 +2,7 @@
 automaton, exception phrases cancel the matches inside them, and the summed weights are normalised by length.
 
 The lexicon (whole words and word beginnings with weights), exception phrases and the score's scale are learned from labelled rows:
-at most ``per_label`` rows of each label, dealt by a hash of doc_id. That bound is the only one; every text is scored whole.
+at most ``per_label`` rows of each label, dealt by a hash of doc_id, less confirmed copies. That bound is the only one; every text is scored whole.
 
 Defined results: null and empty texts score 0; without usable labels the lexicon is empty and every score is 0; of several labels of one
 document the toxic one counts; a null ``doc_id`` is scored, but never learned from and never held out; repeated rows give repeated rows;
@@ -21,8 +21,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from quillset.llm.near_dedup import near_duplicates
 from quillset.llm.shared import Scratch, own_columns
 
 # Letters of other scripts that look like Latin ones, and digits and signs written for letters. As 1 stands for i and for l,
@@ -124,24 +124,14 @@ def _sample(docs: DataFrame, labels: DataFrame, per_label: int) -> DataFrame:
     return texts.join(F.broadcast(chosen[0].unionAll(chosen[1])), "doc_id")
 
 
-def _distinct_contents(sample: DataFrame, bands: int = 6) -> DataFrame:
-    """Copies would make every word of a copied text look telling: of texts that share a band of two minimum word hashes one is kept."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in batches:
-            keys = []
-            for value in batch.column("text"):
-                words = set(WORD.findall(value.as_py()))
-                lows = [min((xxhash.xxh3_64_intdigest(w, i) for w in words), default=0) for i in range(2 * bands)]
-                keys.append([f"{b}:{lows[2 * b]}:{lows[2 * b + 1]}" for b in range(bands)])
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "toxic", "text")], pa.array(keys, pa.list_(pa.string()))], names=["doc_id", "toxic", "text", "bands"])
-
-    keyed = sample.selectExpr("cast(doc_id as bigint) doc_id", "toxic", "text").mapInArrow(work, "doc_id bigint, toxic int, text string, bands array<string>")
-    each = keyed.select("doc_id", F.explode("bands").alias("band"))
-    first = each.withColumn("least", F.min("doc_id").over(Window.partitionBy("band"))).groupBy("doc_id").agg(F.every(F.col("least") == F.col("doc_id")).alias("alone"))
-    return keyed.join(first.filter("alone").select("doc_id"), "doc_id", "left_semi").drop("bands")
+def _distinct_contents(sample: DataFrame) -> DataFrame:
+    """Copies would make every word of a copied text look telling: of equal texts of one label, and of texts of one label linked by at least
+    85 % of their five-word shingles (confirmed on full sets), the one with the smallest doc_id is kept. All other rows stay."""
+    texts = sample.groupBy("toxic", "text").agg(F.min(F.col("doc_id").cast("bigint")).alias("doc_id"))
+    groups = near_duplicates(texts).select("doc_id", "component_id")
+    labels = texts.select("doc_id", "toxic").join(groups, "doc_id")
+    kept = labels.groupBy("component_id", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic")
+    return texts.join(kept, ["doc_id", "toxic"], "left_semi")
 
 
 def _entry_counts(sample: DataFrame) -> DataFrame:

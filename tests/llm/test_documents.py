@@ -247,3 +247,17 @@ def test_exception_phrases_cancel():
     lexicon = toxicity.Lexicon({" trash ": 2.0}, (toxicity.fold("trash can")[0],))
     find = lambda t: len(toxicity.matches(t, lexicon.automaton())[0])
     assert (find("the trash can is full"), find("you trash"), find("Tr4sh, trash can")) == (0, 1, 1)
+
+
+def test_toxicity_learns_from_all_but_copies(spark):
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("bcdfghjkmnprstuvwxyz", k=5)) for _ in range(60)]  # few words: all texts share most of them
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(80)) for _ in range(300)]
+    near = [t.rsplit(" ", 1)[0] + " changed" for t in texts[:20]]
+    marks = [i % 2 for i in range(300)]
+    rows = [(i, m, t) for i, (m, t) in enumerate(zip(marks, texts, strict=True))]
+    rows += [(1000 + i, marks[i], t) for i, t in enumerate(texts[:30])] + [(2000 + i, marks[i], t) for i, t in enumerate(near)]
+    rows += [(3000 + i, 1 - marks[i], t) for i, t in enumerate(texts[:10])]  # the other label: no copy
+    sample = spark.createDataFrame(rows, "doc_id long, toxic int, text string")
+    kept = {(r.doc_id, r.toxic) for r in toxicity._distinct_contents(sample).collect()}
+    assert kept == {(i, m) for i, m in enumerate(marks)} | {(3000 + i, 1 - marks[i]) for i in range(10)}
