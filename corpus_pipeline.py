@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillset.llm import exact_dedup, near_dedup, packing, secrets, toxicity
 from quillset.llm.shared import Scratch
 
-TOXIC_AT = 0.7
+TOXIC_AT, NEAR_PERCENT = 0.7, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest doc_id."""
-    dropped = near_dedup.near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
+    """One document of each group of near copies (``NEAR_PERCENT`` of their five-word shingles), that with the smallest doc_id."""
+    dropped = near_dedup.near_duplicates(docs, NEAR_PERCENT).filter("NOT kept").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -101,8 +101,9 @@ def _children(node: Column, tokens: Column, extra: float) -> Column:
     return F.when(second, F.array(step("first"), step("second"))).otherwise(F.array(step("first")))
 
 
-def _compare(groups: DataFrame, least: float) -> DataFrame:
-    """a < b, estimate for the pairs of members of each row's list whose similarity, estimated from minwise tokens, reaches ``least``."""
+def _compare(groups: DataFrame, percent: int, least: float) -> DataFrame:
+    """a < b, estimate for the pairs of members of each row's list whose sizes allow ``percent`` and whose similarity, estimated from minwise
+    tokens, reaches ``least``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,7 +113,7 @@ def _compare(groups: DataFrame, least: float) -> DataFrame:
                 tokens = np.array([v["tokens"] for v in values], dtype=np.int32).reshape(-1, COORDINATES)
                 out: list[tuple] = []
                 for i in range(len(ids)):
-                    near = np.flatnonzero((ids > ids[i]) & (100 * np.minimum(sizes[i], sizes) >= 85 * np.maximum(sizes[i], sizes)))
+                    near = np.flatnonzero((ids > ids[i]) & (100 * np.minimum(sizes[i], sizes) >= percent * np.maximum(sizes[i], sizes)))
                     if len(near):
                         same = (tokens[near] == tokens[i]).mean(axis=1)
                         out += [(ids[i], ids[j], s) for j, s in zip(near.tolist(), same.tolist(), strict=True) if s >= least]
@@ -183,7 +184,7 @@ def _compare_blocks(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("members", "others").mapInArrow(work, "a bigint, b bigint")
 
 
-def _stars(large: DataFrame, sample_size: int, least: float) -> DataFrame:
+def _stars(large: DataFrame, sample_size: int, percent: int, least: float) -> DataFrame:
     """node, a, b, estimate: every member of each large node with the member that agrees most with the node's most frequent tokens.
 
     The most frequent tokens come from a sample of about ``sample_size`` members dealt by hash; the agreement is taken over all members. Both
@@ -207,7 +208,7 @@ def _stars(large: DataFrame, sample_size: int, least: float) -> DataFrame:
     centres = judged.groupBy("node").agg(F.max("best").alias("centre"))
     joined = large.join(centres, "node").filter(F.col("rep") != F.col("centre.id"))
     same = F.aggregate(F.arrays_zip("tokens", F.col("centre.tokens").alias("other")), F.lit(0), lambda n, p: n + (p["tokens"] == p["other"]).cast("int")) / COORDINATES
-    close = 100 * F.least("n", "centre.n") >= 85 * F.greatest("n", "centre.n")
+    close = 100 * F.least("n", "centre.n") >= percent * F.greatest("n", "centre.n")
     pairs = joined.filter(close).select("node", F.least("rep", "centre.id").alias("a"), F.greatest("rep", "centre.id").alias("b"), same.alias("estimate"))
     return pairs.filter(F.col("estimate") >= least)
 
@@ -247,13 +248,16 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(right, "b").join(left, "a").mapInArrow(work, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, node_size: int = 20, levels: int = 6, least: float = 0.67, linked: float = 0.75, covered: float = 0.9, together: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, node_size: int = 20, levels: int = 6, least: float | None = None, linked: float | None = None, covered: float = 0.9, together: float = 0.8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row.
 
-    ``least``: estimated similarity (over 64 tokens) from which a pair is compared in full; at 85 % the estimate's deviation is 4.5 points, so
-    0.67 lies four deviations below. ``linked``: a large node of which ``covered`` of the members reach it with their centre is not branched on,
+    ``least``: estimated similarity (over 64 tokens) from which a pair is compared in full, by default four deviations of the estimate below
+    ``percent`` (0.67 at 85 %, 0.60 at 80 %). ``linked`` (default 2.25 deviations below; 0.75 and 0.69): a large node of which ``covered`` of the members reach it with their centre is not branched on,
     nor one that kept ``together`` of its parent's members: a step keeps about the mean similarity of a node's members, so further ones would part little.
     """
+    deviation = (percent / 100 * (1 - percent / 100) / COORDINATES) ** 0.5
+    least = percent / 100 - 4 * deviation if least is None else least
+    linked = percent / 100 - 2.25 * deviation if linked is None else linked
     scratch = Scratch(docs.sparkSession, "near")
     store = scratch.store
     rows = store(signatures(docs), "rows")
@@ -275,7 +279,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, node_si
         if larger.limit(1).count() == 0:
             break
         large = store(larger.join(reps, "rep"), f"large-{level}")
-        star = store(_stars(large, 64, least), f"stars-{level}")
+        star = store(_stars(large, 64, percent, least), f"stars-{level}")
         stars.append(star)
         done = star.filter(F.col("estimate") >= linked).groupBy("node").agg(F.count("*").alias("linked"))
         judged = large.join(done, "node", "left")
@@ -292,7 +296,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, node_si
     nodes = store(nodes.distinct().select(F.monotonically_increasing_id().alias("nid"), "ids"), "nodes")
     members = nodes.select("nid", F.explode("ids").alias("rep")).join(reps, "rep")
     groups = members.groupBy("nid").agg(F.collect_list(F.struct(F.col("rep").alias("id"), "n", "tokens")).alias("members"))
-    near = store(_compare(groups, least).distinct(), "near")
+    near = store(_compare(groups, percent, least).distinct(), "near")
 
     both = near.select("a", "b", "estimate").unionAll(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "estimate"))
     nearest = both.groupBy("a").agg(F.max_by("b", F.struct("estimate", "b")).alias("b"))

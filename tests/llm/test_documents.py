@@ -70,7 +70,7 @@ def test_lines(spark):
     assert line_dedup.without_boilerplate(table(spark, texts).filter("false")).count() == 0
 
 
-def components_by_force(texts):
+def components_by_force(texts, percent=85):
     def words(t):
         low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
         return [w for w in __import__("re").split("[\x20\x09-\x0d]+", low) if w]
@@ -88,7 +88,7 @@ def components_by_force(texts):
 
     for i in range(len(texts)):
         for j in range(i):
-            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     return [len(s) for s in sets], [find(i) for i in range(len(texts))]
@@ -119,6 +119,28 @@ def test_near_duplicates(spark):
     assert [(got[i].n_shingles, got[i].component_id, got[i].kept) for i in range(len(texts))] == [(n, r, r == i) for i, (n, r) in enumerate(zip(sizes, roots, strict=True))]
 
 
+def test_near_duplicates_at_80_percent(spark):
+    import corpus_pipeline
+
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    texts = []
+    for k in range(60):  # similarity just above 0.80 or just below: parts of a text, and one with words replaced
+        base = [word() for _ in range(204)]
+        texts += [" ".join(base), " ".join(base[: 4 + (162 if k % 3 else 158)])]
+        other = [word() for _ in range(204)]
+        changed = list(other)
+        for at in range(10, 10 + 20 * (4 if k % 3 else 6), 20):
+            changed[at] = word()
+        texts += [" ".join(other), " ".join(changed)]
+    sizes, roots = components_by_force(texts, 80)
+    docs = table(spark, texts)
+    got = {r.doc_id: r for r in near_dedup.near_duplicates(docs, 80).collect()}
+    assert 60 < len(set(roots)) < len(texts) and len(set(components_by_force(texts)[1])) > len(set(roots))
+    assert [got[i].component_id for i in range(len(texts))] == roots
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == set(roots)
+
+
 def test_near_duplicates_without_ids_or_rows(spark):
     docs = table(spark, ["a b c d e f"] * 3, [None, 4, 4])
     assert sorted((r.doc_id or -1, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect()) == [(-1, None, True), (4, 4, True), (4, 4, True)]
