@@ -3,7 +3,7 @@ candidates, and the original vectors decide (Gong and Lazebnik, 2011; Norouzi et
 
 Rotations are fitted on a bounded sample of ``sample_size`` vectors; all vectors are coded and compared. A table files a vector under some
 bits of its code; the number of bits follows the number of vectors, so that a bucket of unrelated vectors stays small, and the
-number of tables (and of rotations) follows from the target recall at the threshold. Buckets are compared block by block, whole;
+number of tables (and of rotations) follows from the target recall at the threshold, by the angles of the sample's vectors once centred. Buckets are compared block by block, whole;
 a pair that shares several tables counts in the first only.
 
 Equal vectors are folded first, and their copies count as links of each other. Defined results: vectors that are null, empty, zero or hold null or
@@ -25,9 +25,8 @@ from pyspark.sql import functions as F
 from quillset.llm.shared import Scratch, components, own_columns
 
 
-def fit_rotations(sample: np.ndarray, count: int, rounds: int = 30, seed: int = 7) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Mean and ``count`` projections: principal axes, rotated from different starts until codes fit the projected vectors."""
-    mean = sample.mean(axis=0)
+def fit_rotations(sample: np.ndarray, mean: np.ndarray, count: int, rounds: int = 30, seed: int = 7) -> list[np.ndarray]:
+    """``count`` projections: principal axes, rotated from different starts until codes fit the projected vectors."""
     centred = sample - mean
     axes = np.linalg.eigh(centred.T @ centred)[1].T[::-1]  # of the small square matrix: the sample's own would be rows x rows
     projected, rng, out = centred @ axes.T, np.random.default_rng(seed), []
@@ -37,21 +36,46 @@ def fit_rotations(sample: np.ndarray, count: int, rounds: int = 30, seed: int =
             u, _, v = np.linalg.svd(np.where(projected @ rotation >= 0, 1.0, -1.0).T @ projected)
             rotation = (u @ v).T
         out.append(axes.T @ rotation)
-    return mean, out
-
-
-def plan_tables(rows: int, dims: int, threshold: float, recall: float, bucket: int = 32) -> tuple[int, int, int]:
-    """(bits per table, tables, rotations): about ``bucket`` unrelated vectors share a bucket, and a pair at the threshold misses every table
-    with probability under 1 - recall (a bit differs with probability angle / pi)."""
-    bits = min(dims, 62, max(6, int(math.log2(max(rows, 2) / bucket))))
-    together = (1 - math.acos(threshold) / math.pi) ** bits
-    tables = max(1, math.ceil(math.log(1 - recall) / math.log(1 - together)))
-    per_rotation = max(1, dims // bits)
-    return bits, tables, math.ceil(tables / per_rotation)
+    return out
+
+
+def agreements(unit: np.ndarray, mean: np.ndarray, threshold: float, seed: int = 11) -> list[np.ndarray]:
+    """Chance that a bit agrees, for sample vectors and companions at cosine ``threshold``: by centred angle, as the codes see it. Companions
+    lie in random directions, and in those in which the sample's vectors differ."""
+    rng, out = np.random.default_rng(seed), []
+    for away in (rng.standard_normal(unit.shape), unit[rng.permutation(len(unit))] - unit[rng.permutation(len(unit))] + 1e-9 * rng.standard_normal(unit.shape)):
+        away = away - np.einsum("ij,ij->i", away, unit)[:, None] * unit
+        away /= np.maximum(np.linalg.norm(away, axis=1), 1e-300)[:, None]
+        x, y = unit - mean, threshold * unit + math.sqrt(max(0.0, 1 - threshold**2)) * away - mean
+        lengths = np.maximum(np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1), 1e-300)
+        out.append(1 - np.arccos(np.clip(np.einsum("ij,ij->i", x, y) / lengths, -1, 1)) / math.pi)
+    return out
+
+
+def plan_tables(rows: int, dims: int, agree: list[np.ndarray], recall: float, bucket: int = 32) -> tuple[int, int, int]:
+    """(bits per table, tables, rotations): about ``bucket`` unrelated vectors share a bucket, and the pairs whose bits agree as in any of
+    ``agree`` miss every table with a mean probability under 1 - recall. Fewer bits, down to none (one bucket of all), are taken when
+    the comparisons they add cost less than the tables they save."""
+    most = min(dims, 62, max(6, int(math.log2(max(rows, 2) / bucket))))
+    plans = []
+    for bits in range(most + 1):
+        misses = [1 - a**bits for a in agree]
+        enough = lambda n: all((m**n).mean() < 1 - recall for m in misses)  # noqa: B023, E731
+        limit = max(1, int((rows + bucket) / (bucket + rows / 2**bits)) + 1)  # more tables cost more than comparing all with all
+        if enough(limit):
+            low, high = 0, limit
+            while high - low > 1:
+                middle = (low + high) // 2
+                low, high = (low, middle) if enough(middle) else (middle, high)
+            plans.append((high * (bucket + rows / 2**bits), -bits, high))
+    _, bits, tables = min(plans)
+    return -bits, tables, math.ceil(tables / max(1, dims // -bits)) if bits else 0
 
 
 def _keys(vectors: np.ndarray, mean: np.ndarray, rotations: list[np.ndarray], bits: int, tables: int) -> np.ndarray:
     """One bucket number per vector and table."""
+    if not bits:
+        return np.zeros((len(vectors), 1), dtype=np.int64)
     weights, out = 1 << np.arange(bits, dtype=np.int64), []
     for rotation in rotations:
         code = (vectors - mean) @ rotation >= 0
@@ -105,9 +129,11 @@ def near_vectors(rows: DataFrame, threshold: float = 0.95, recall: float = 0.995
     for dims in lengths:
         part = classes.filter(F.size("vector") == dims)
         total = part.count()
-        bits, tables, turns = plan_tables(total, dims, threshold, recall)
         sample = np.array([r[0] for r in part.select("vector").orderBy(F.xxhash64("rep"), "rep").limit(sample_size).collect()])
-        mean, rotations = fit_rotations(sample / np.linalg.norm(sample, axis=1)[:, None], turns)
+        unit = sample / np.linalg.norm(sample, axis=1)[:, None]
+        mean = unit.mean(axis=0)
+        bits, tables, turns = plan_tables(total, dims, agreements(unit, mean, threshold), recall)
+        rotations = fit_rotations(unit, mean, turns)
         links = scratch.store(_bucket_links(part, mean, rotations, bits, tables, threshold, block, scratch, dims), f"links-{dims}")
         counts.append(links.filter("n > 0").select("id", "n"))
         edges.append(links.filter("root IS NOT NULL").select(F.col("id").alias("a"), F.col("root").alias("b")))

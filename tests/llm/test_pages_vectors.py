@@ -65,6 +65,22 @@ def test_vectors(spark):
     assert embedding_dedup.near_vectors(table.filter("false")).count() == 0
 
 
+def test_vectors_with_a_large_common_component(spark):
+    rng = np.random.default_rng(5)
+    away = lambda n: (v := rng.standard_normal((n, 64))) / np.linalg.norm(v, axis=1)[:, None]
+    base = away(3000) * 0.45 + np.eye(64)[0] * 0.893  # unrelated vectors have a cosine of about 0.8
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    side = away(3000)
+    side -= np.einsum("ij,ij->i", side, base)[:, None] * base
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    vectors = np.concatenate([base, 0.955 * base + np.sqrt(1 - 0.955**2) * side])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    links = int((unit @ unit.T >= 0.95).sum()) - len(vectors)
+    found = sum(r.n_links for r in embedding_dedup.near_vectors(table).collect())
+    assert links >= 6000 and 0.99 * links <= found <= links
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(i, i + 1) for i in range(60)] + [(rng.randrange(100, 300), rng.randrange(100, 300)) for _ in range(120)] + [(400, 400 + i) for i in range(200)]
