@@ -2,7 +2,8 @@
 
 A byte-pair vocabulary spells words with long tokens and random characters with short ones. Candidates of at least ``MIN_CHARS`` characters
 from the alphabets of keys are encoded; below ``RATIO`` characters per token they are reported as ``random``, unless they are known digests
-(hexadecimal of a usual digest length), UUIDs or lie inside a span that a pattern has found.
+(hexadecimal of a usual digest length), UUIDs or lie inside a span that a pattern has found. Candidates that pass as a whole are tested between
+their ``/``, ``-`` and ``_`` too, so words around a key do not hide it.
 
 Defined results: a null text is empty (no spans); offsets count code points, ends are exclusive; spans of one kind never overlap; a null
 ``doc_id`` stays null; repeated rows give repeated rows; no rows give no rows; further columns are ignored.
@@ -32,6 +33,7 @@ MIN_CHARS, RATIO = 20, 2.1
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_CHARS)
 DIGEST_CHARS = (32, 40, 48, 56, 64, 96, 128)
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+STRETCH = re.compile(r"%s(?![^/_-])|[^/_-]+" % UUID.pattern)
 HEX_ONLY = re.compile(r"[0-9A-F]+|[0-9a-f]+")
 
 
@@ -51,14 +53,32 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def random_spans(text: str, base: list[tuple[int, int, int]], encode) -> list[tuple[int, int, int]]:
+    """Candidates that fail the ratio as a whole; of the others, what fails between their separators."""
+    fails = lambda value: not known_identifier(value) and len(value) < RATIO * len(encode(value))
     found = []
     for m in CANDIDATE.finditer(text):
-        value = m[0]
-        if not known_identifier(value) and len(value) < RATIO * len(encode(value)) and not any(s <= m.start() and m.end() <= e for s, _, e in base):
-            found.append((m.start(), 3, m.end()))
+        spans = [m.span()] if fails(m[0]) else [] if known_identifier(m[0]) else _random_parts(m[0], m.start(), fails)
+        found += [(start, 3, end) for start, end in spans if not any(s <= start and end <= e for s, _, e in base)]
     return found
 
 
+def _random_parts(value: str, at: int, fails) -> list[tuple[int, int]]:
+    """Spans inside a candidate: runs of stretches that all fail, separators between them included (keys may hold those too), if the run
+    fails as well, else the stretches of such a run that are long enough alone."""
+    runs: list[list[tuple[int, int]]] = [[]]
+    for m in STRETCH.finditer(value):
+        if fails(m[0]):
+            runs[-1].append(m.span())
+        elif runs[-1]:
+            runs.append([])
+    out = []
+    for run in filter(None, runs):
+        whole = (run[0][0], run[-1][1])
+        long = [whole] if fails(value[slice(*whole)]) else run
+        out += [(at + start, at + end) for start, end in long if end - start >= MIN_CHARS]
+    return out
+
+
 def _encoder(vocabulary: str | None):
     import public_tokenizers
     import tiktoken

@@ -215,6 +215,20 @@ def test_secrets(spark):
     assert cleaned[0] is None and cleaned[8] == "see [SECRET] here" and cleaned[2] == texts[2] and cleaned[12] == "[SECRET]"
 
 
+def test_secrets_behind_words(spark):
+    rng = random.Random(12)
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    around = [("hooks/services/production/", ""), ("users/documents/download/archive/", "/settings"), ("customer-account-notification-service-", "-backup")]
+    texts, keys = [], []
+    for before, after in around * 20:
+        keys.append("".join(rng.choices(alphabet, k=24)))
+        texts.append(f"see {before}{keys[-1]}{after} here")
+    texts += ["see users/documents/download/archive/settings here", "customer-account-notification-service-backup", "customer/account/notification/service/production/settings/download/of/123E4567-E89B-12D3-A456-426614174000"]
+    cleaned = [r.text for r in secrets.redact_documents(table(spark, texts)).orderBy("doc_id").collect()]
+    assert not [k for k, t in zip(keys, cleaned, strict=False) if k in t] and cleaned[60:] == texts[60:]
+    assert cleaned[1] == "see users/documents/download/archive/[SECRET]/settings here"
+
+
 def test_shards(spark):
     texts = [None, ""] + ["é" * (i % 97) for i in range(700)]
     docs = table(spark, texts)
