@@ -17,8 +17,8 @@ SPACE = " \t\n\x0b\x0c\r"
 
 
 def key128(text: Column) -> Column:
-    """128 bits as two integers; equal keys count as equal."""
-    return F.struct(F.xxhash64(text).alias("hi"), F.xxhash64(text, F.lit("second")).alias("lo"))
+    """128 bits as two integers; equal keys count as equal. A later argument is hashed with the hash so far as its seed: the constant comes first."""
+    return F.struct(F.xxhash64(text).alias("hi"), F.xxhash64(F.lit("second"), text).alias("lo"))
 
 
 def _documents(docs: DataFrame, site: str) -> DataFrame:

@@ -70,6 +70,17 @@ def test_lines(spark):
     assert line_dedup.without_boilerplate(table(spark, texts).filter("false")).count() == 0
 
 
+def test_second_half_of_line_keys_is_independent(spark):
+    import xxhash
+
+    signed = lambda v: v - 2**64 if v >= 2**63 else v
+    for text in ("", "a line", "é" * 50):
+        key = spark.range(1).select(line_dedup.key128(F.lit(text)).alias("k")).first().k
+        assert key.hi == signed(xxhash.xxh64_intdigest(text.encode(), 42))
+        assert key.lo == signed(xxhash.xxh64_intdigest(text.encode(), xxhash.xxh64_intdigest(b"second", 42)))
+        assert key.lo != signed(xxhash.xxh64_intdigest(b"second", key.hi % 2**64))
+
+
 def components_by_force(texts, percent=85):
     def words(t):
         low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
