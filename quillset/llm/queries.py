@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillset.llm import embedding_dedup, exact_dedup, line_dedup, near_dedup, packing, pieces, secrets, sharding, toxicity, warc
+from quillset.llm import clusters, divergence, embedding_dedup, exact_dedup, line_dedup, near_dedup, packing, pieces, secrets, sharding, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -61,11 +61,40 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_read(spark, sf_dir, "documents")).drop("rid")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergences(_read(spark, sf_dir, "documents"))
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = clusters.cluster_vectors(_read(spark, sf_dir, "embeddings"))
+    return placed.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join("centroid", ",").cast("binary"), 256).alias("centroid_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_warc, op3_toxicity, op4_near_dedup, op5_packing, op6_pieces, op7_secrets, op8_embedding_dedup, op9_sharding, op10_exact_dedup)
+    for f in (op1_line_dedup, op2_warc, op3_toxicity, op4_near_dedup, op5_packing, op6_pieces, op7_secrets, op8_embedding_dedup, op9_sharding, op10_exact_dedup, op11_source_divergence, op13_clusters)
 }
 
+def _cluster_sql(rounds: int) -> str:
+    """The rounds unrolled: assignments a0, a1, ... under centroids c0, c1, ..."""
+    near = """(SELECT rid, c AS cluster, distance FROM (SELECT rid, c, list_sum([(x[1] - x[2]) * (x[1] - x[2]) FOR x IN list_zip(v, m)])::BIGINT AS distance FROM points, c{k})
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY distance, c) = 1)"""
+    parts = [
+        """points AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = 64)""",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, v AS m FROM points QUALIFY c < 8)",
+    ]
+    for k in range(rounds):
+        parts.append(f"a{k} AS MATERIALIZED {near.format(k=k)}")
+        parts.append(f"""c{k + 1} AS MATERIALIZED (SELECT c, coalesce(moved, m) AS m FROM c{k} LEFT JOIN (
+  SELECT cluster, list(CASE WHEN s < 0 THEN -((n - 1 - s) // n) ELSE s // n END ORDER BY d) AS moved FROM (
+    SELECT cluster, d, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT cluster, unnest(range(64)) AS d, unnest(v) AS x FROM a{k} JOIN points USING (rid)) GROUP BY cluster, d) GROUP BY cluster) ON c = cluster)""")
+    parts.append(f"placed AS {near.format(k=rounds)}")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, cluster::INTEGER AS cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(m, ',')) AS centroid_sha256 FROM placed JOIN points USING (rid) JOIN c{rounds} ON c = cluster"""
+
+
 ORACLES: dict[str, str] = {
     "op1_line_dedup": r"""
 WITH texts AS (SELECT doc_id, coalesce(source, chr(0)) AS site, coalesce(text, '') AS text FROM documents),
@@ -83,4 +112,24 @@ FROM split LEFT JOIN gone USING (rid)""",
 WITH texts AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
 groups AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM texts GROUP BY norm)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM texts JOIN groups USING (norm)""",
+    "op11_source_divergence": r"""
+WITH texts AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+each AS (SELECT rid, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM texts),
+kept AS (SELECT lang, term FROM each GROUP BY ALL HAVING count(DISTINCT rid) >= 3),
+counts AS (SELECT lang, source, term, count(*) AS n FROM each SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+groups AS (SELECT lang, source, coalesce(total, 0) AS total, coalesce(v, 0) AS v FROM (SELECT DISTINCT lang, source FROM texts)
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM counts GROUP BY ALL) USING (lang, source) LEFT JOIN sizes USING (lang)),
+filled AS (SELECT lang, source, term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 1)) // (total + v) AS p
+  FROM groups JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)),
+usual AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 1)) // (any_value(l.total) + any_value(v)) AS q
+  FROM counts JOIN (SELECT lang, sum(n) AS total FROM counts GROUP BY lang) AS l USING (lang) JOIN sizes USING (lang) GROUP BY lang, term),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM groups AS a JOIN groups AS b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS other, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value FROM filled AS x JOIN filled AS y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) AS s
+  ON s.lang = a.lang AND s.source = a.source AND s.other = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM filled JOIN usual USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 200""",
+    "op13_clusters": _cluster_sql(10),
 }
