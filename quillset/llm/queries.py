@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillset.llm import clusters, divergence, embedding_dedup, exact_dedup, line_dedup, near_dedup, packing, pieces, secrets, sharding, toxicity, warc
+from quillset.llm import clusters, divergence, embedding_dedup, exact_dedup, line_dedup, near_dedup, packing, pieces, repeats, secrets, sharding, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -65,6 +65,12 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergences(_read(spark, sf_dir, "documents"))
 
 
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.without_repeats(_read(spark, sf_dir, "documents"), length=200)
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = clusters.cluster_vectors(_read(spark, sf_dir, "embeddings"))
     return placed.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join("centroid", ",").cast("binary"), 256).alias("centroid_sha256"))
@@ -72,7 +78,7 @@ def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_warc, op3_toxicity, op4_near_dedup, op5_packing, op6_pieces, op7_secrets, op8_embedding_dedup, op9_sharding, op10_exact_dedup, op11_source_divergence, op13_clusters)
+    for f in (op1_line_dedup, op2_warc, op3_toxicity, op4_near_dedup, op5_packing, op6_pieces, op7_secrets, op8_embedding_dedup, op9_sharding, op10_exact_dedup, op11_source_divergence, op12_repeats, op13_clusters)
 }
 
 def _cluster_sql(rounds: int) -> str:
@@ -131,5 +137,15 @@ pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.
 terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM filled JOIN usual USING (lang, term) WHERE n > 0 AND p > q),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
 SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 200""",
+    "op12_repeats": r"""
+WITH texts AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+bytes AS MATERIALIZED (SELECT rid, unnest(range(1, octet_length(b) + 1)) AS i, b FROM texts),
+windows AS MATERIALIZED (SELECT rid, i, md5_number(array_slice(b, i, i + 199)) AS w FROM bytes WHERE i + 199 <= octet_length(b)),
+starts AS (SELECT rid, i FROM windows SEMI JOIN (SELECT w FROM windows GROUP BY w HAVING count(*) > 1) USING (w)),
+marked AS (SELECT b.rid, b.i, b.b, coalesce(max(s.i) OVER (PARTITION BY b.rid ORDER BY b.i) > b.i - 200, FALSE) AS gone FROM bytes AS b LEFT JOIN starts AS s ON b.rid = s.rid AND b.i = s.i),
+runs AS (SELECT *, coalesce(lag(gone) OVER (PARTITION BY rid ORDER BY i), FALSE) AS before FROM marked),
+cut AS (SELECT rid, count_if(gone) AS n_removed, count_if(gone AND NOT before) AS n_spans, string_agg(CASE WHEN gone THEN '' ELSE hex(array_slice(b, i, i)) END, '' ORDER BY i) AS kept FROM runs GROUP BY rid)
+SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM texts LEFT JOIN cut USING (rid)""",
     "op13_clusters": _cluster_sql(10),
 }
