@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 from quillset.llm.shared import Scratch, own_columns
 
 BETWEEN_TERMS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-SCALE, SLICE_BYTES, BLOCK_CELLS = 10**9, 16_000_000, 2_000_000
+SCALE, SLICE_BYTES, BLOCK_CELLS = 10**9, 8_000_000, 2_000_000
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -142,7 +142,11 @@ def source_divergences(docs: DataFrame, min_docs: int = 3, top: int = 200, shard
     none = F.lit(None)
     dealt = kept.select("lang", F.pmod(F.xxhash64("term"), F.lit(shards)).cast("int").alias("shard"), "source", "term", "n", *[none.cast("bigint").alias(c) for c in ("group_n", "lang_n", "kept")])
     everywhere = heads.select("lang", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "source", none.cast("string").alias("term"), none.cast("bigint").alias("n"), "group_n", "lang_n", "kept")
-    parts = dealt.unionByName(everywhere).groupBy("lang", "shard").applyInArrow(lambda table: _shard(table, top), "lang string, source string, part string, item string, value bigint")
-    added = parts.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
-    ranked = added.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")))
-    return ranked.filter((F.col("part") == "pair") | (F.col("rank") <= top))
+    form = "lang string, source string, part string, item string, value bigint"
+    parts = scratch.store(dealt.unionByName(everywhere).groupBy("lang", "shard").applyInArrow(lambda table: _shard(table, top), form), "parts")
+    order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
+    rank = F.row_number().over(order)
+    pairs = parts.filter("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value")).withColumn("rank", rank)
+    # The filter on the rank alone lets every task keep its best rows of a group before they meet.
+    terms = parts.filter("part = 'term'").withColumn("rank", rank).filter(F.col("rank") <= top)
+    return pairs.unionByName(terms)
