@@ -36,8 +36,9 @@ from quillset.llm.shared import Scratch, own_columns
 GRAM, EVERY, SLICE_BYTES, BUCKET_BYTES, MOST_BUCKETS = 8, 24, 1 << 20, 8 << 20, 50_000
 MULTIPLY, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 BASES = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
-# A code is position * 2048 plus the number of further strings it stands for, and a mark: a phrase, or strings to be named again.
-PHRASE, AGAIN, FURTHER = 1 << 10, 1 << 9, (1 << 9) - 1
+# A code is position * 4096 plus the number of further strings it stands for, and a mark: a phrase, strings to be named again, or a string without a whole
+# phrase that its text repeats by itself.
+LOCAL, PHRASE, AGAIN, FURTHER = 1 << 11, 1 << 10, 1 << 9, (1 << 9) - 1
 
 
 @dataclass
@@ -67,6 +68,7 @@ class Slice:
         self.gram = gram ^ (gram >> np.uint64(32))
         at = np.flatnonzero(self.gram < np.uint64(2**64 // EVERY))
         self.trigger = at[at + GRAM <= self.end[self.unit(at)]]
+        self.totals: dict[int, np.ndarray] = {}
 
     def unit(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.end, at, side="right")
@@ -87,7 +89,10 @@ class Slice:
         halves = []
         for base in BASES[: 1 + wide]:
             power, inverse = _powers(base, len(self.data))
-            total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(self.gram * power)])
+            if base not in self.totals and len(a):
+                self.totals[base] = np.zeros(len(self.data) + 1, dtype=np.uint64)
+                np.cumsum(np.multiply(self.gram, power, out=self.totals[base][1:]), out=self.totals[base][1:])
+            total = self.totals.get(base, np.zeros(0, dtype=np.uint64))
             value = ((total[b - GRAM + 1] - total[a]) * inverse[a] ^ salt) * MIX
             halves.append((value ^ (value >> np.uint64(31))).view(np.int64))
         return halves[0], halves[1] if wide else np.zeros(len(a), dtype=np.int64)
@@ -95,20 +100,28 @@ class Slice:
     def inside(self, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
         """How many of the stretches from a to b lie in the string of ``length`` bytes that starts at each byte."""
         low = np.maximum(b - length, self.begin[self.unit(a)])
-        n = len(self.data) + 1
-        return np.cumsum(np.bincount(low, minlength=n) - np.bincount(a + 1, minlength=n))[:-1]
+        return self.depth(low, a)
+
+    def depth(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """How many of the ranges low to high, both included, hold each byte."""
+        change = np.zeros(len(self.data) + 1, dtype=np.int32)
+        np.add.at(change, low, 1)
+        np.add.at(change, np.minimum(high, len(self.data) - 1) + 1, -1)
+        return np.cumsum(change, dtype=np.int32, out=change)[:-1]
 
     def starts(self, length: int) -> np.ndarray:
         """Whether a string of ``length`` bytes starts at each byte."""
-        n, some = len(self.data) + 1, self.end - self.begin >= length
-        return np.cumsum(np.bincount(self.begin[some], minlength=n) - np.bincount(self.end[some] - length + 1, minlength=n))[:-1] > 0
+        out = np.ones(len(self.data), dtype=bool)
+        for low, high in zip(np.maximum(self.begin, self.end - length + 1).tolist(), self.end.tolist(), strict=True):
+            out[low:high] = False
+        return out
 
     def located(self, codes: list[np.ndarray | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(unit, position in ``data``, code) of the codes of this slice's rows, less those of other pieces."""
         units = np.arange(len(self.row))
         mine = [codes[r] if codes[r] is not None else np.zeros(0, dtype=np.int64) for r in self.row]
         unit, code = np.repeat(units, [len(c) for c in mine]), np.concatenate([np.zeros(0, dtype=np.int64), *mine])
-        at = (code >> 11) - self.shift[unit] + self.begin[unit]
+        at = (code >> 12) - self.shift[unit] + self.begin[unit]
         here = (at >= self.begin[unit]) & (at < self.end[unit])
         return unit[here], at[here], code[here]
 
@@ -153,7 +166,7 @@ def _lists(column: pa.Array) -> list[np.ndarray | None]:
 def _rows(part: Slice, keys: np.ndarray, at: np.ndarray, code: np.ndarray, names: tuple[np.ndarray, np.ndarray], fold: bool, lead: np.ndarray | None = None) -> pa.RecordBatch | None:
     """One row per name: how often it occurs in the slice, its places (row key and code, 24 bytes each), and its first phrase if given.
 
-    With ``fold``, a name that occurs twice in one whole text is known to be repeated there, so those places stay at home.
+    With ``fold``, a name that occurs twice in one whole text is known to be repeated there, so only the first of those places is sent.
     """
     if not len(at):
         return None
@@ -162,19 +175,21 @@ def _rows(part: Slice, keys: np.ndarray, at: np.ndarray, code: np.ndarray, names
     fresh = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
     start = np.flatnonzero(fresh)
     group = np.cumsum(fresh) - 1
-    sent = np.ones(len(order), dtype=bool)
+    sent, local = np.ones(len(order), dtype=bool), np.zeros(len(order), dtype=bool)
     if fold and part.whole:
         apart = fresh.copy()
         apart[1:] |= unit[1:] != unit[:-1]
         run = np.flatnonzero(apart)
-        sent = (np.diff(np.concatenate([run, [len(order)]])) == 1)[np.cumsum(apart) - 1]
+        sent, local = apart, (np.diff(np.concatenate([run, [len(order)]])) > 1)[np.cumsum(apart) - 1]
     # Rows in the order of their first place: neighbours share their row key, which shuffle files pack well.
     rank = np.empty(len(start), dtype=np.int64)
     by_place = np.argsort(order[start], kind="stable")
     rank[by_place] = np.arange(len(start))
     kept = np.flatnonzero(sent)
     kept = kept[np.argsort(rank[group[kept]], kind="stable")]
-    places = np.concatenate([keys[part.row[unit[kept]]], code[order[kept]][:, None]], axis=1)
+    marked = code[order[kept]]
+    marked += np.where(local[kept] & (marked & PHRASE == 0), LOCAL, 0)
+    places = np.concatenate([keys[part.row[unit[kept]]], marked[:, None]], axis=1)
     ends = np.cumsum(np.bincount(rank[group[kept]], minlength=len(start))) * 24
     binary = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(places.tobytes())])
     counts = np.diff(np.concatenate([start, [len(order)]]))[by_place]
@@ -188,7 +203,7 @@ def _keys(batch: pa.RecordBatch) -> np.ndarray:
 
 def _code(part: Slice, at: np.ndarray, extra: np.ndarray | int) -> np.ndarray:
     unit = part.unit(at)
-    return ((at - part.begin[unit] + part.shift[unit]) << 11) + extra
+    return ((at - part.begin[unit] + part.shift[unit]) << 12) + extra
 
 
 def _bare(part: Slice, length: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -252,13 +267,11 @@ def _stretch_rows(part: Slice, batch_keys: np.ndarray, codes: list, length: int)
 
 
 def _suffix_rows(part: Slice, batch_keys: np.ndarray, codes: list, length: int) -> Iterator[pa.RecordBatch | None]:
-    n = len(part.data) + 1
     _, at, code = part.located(codes)
 
     def under(mark: int) -> np.ndarray:
         those = code & (PHRASE | AGAIN) == mark
-        low, high = at[those], at[those] + (code[those] & FURTHER)
-        return np.cumsum(np.bincount(low, minlength=n) - np.bincount(np.minimum(high, n - 2) + 1, minlength=n))[:-1] > 0
+        return part.depth(at[those], at[those] + (code[those] & FURTHER)) > 0
 
     left = np.flatnonzero((_open(part, codes, length) & ~under(0)) | (under(AGAIN) & part.starts(length)))
     left = left[part.owned(left)] if len(left) else left
@@ -300,18 +313,19 @@ def _repeated(rows: DataFrame, scratch: Scratch, name: str, buckets: int, again:
         open_ = counted.filter("total = 1").select("lead").distinct().withColumn("again", F.lit(True))
         known = counted.filter("total > 1").join(open_.hint("merge"), "lead", "left").select("places", (F.coalesce("again", F.lit(False)) & (F.col("nth") == 1)).alias("again"))
     else:
-        known = counted.filter("total > 1 AND length(places) > 0").select("places", F.lit(False).alias("again"))
+        known = counted.filter("total > 1").select("places", F.lit(False).alias("again"))
     places = known.mapInArrow(unpack, "d bigint, k bigint, code bigint")
     return scratch.store(places.repartition(buckets, "d", "k").groupBy("d", "k").agg(F.collect_set("code").alias("codes")), name)
 
 
-def _with_codes(texts: DataFrame, found: list[DataFrame], buckets: int) -> DataFrame:
+def _with_codes(texts: DataFrame, found: list[DataFrame], buckets: int, every: bool = False) -> DataFrame:
+    """The texts with the places found so far; unless ``every``, only those with a repeated phrase or string, since others cannot gain any later."""
     none = F.array().cast("array<bigint>")
     if not found:
         return texts.withColumn("codes", none)
     joined = texts
     for i, codes in enumerate(found):
-        joined = joined.join(codes.repartition(buckets, "d", "k").withColumnRenamed("codes", f"codes{i}").hint("merge"), ["d", "k"], "left")
+        joined = joined.join(codes.repartition(buckets, "d", "k").withColumnRenamed("codes", f"codes{i}").hint("merge"), ["d", "k"], "left" if i or every else "inner")
     return joined.withColumn("codes", F.concat(*[F.coalesce(f"codes{i}", none) for i in range(len(found))])).drop(*[f"codes{i}" for i in range(len(found))])
 
 
@@ -326,8 +340,9 @@ def _cut(texts: DataFrame, length: int, most: int) -> DataFrame:
             for r, c in enumerate(codes):
                 c = c[c & (PHRASE | AGAIN) == 0]
                 if len(c):
-                    found[r].append(np.stack([c >> 11, (c >> 11) + (c & FURTHER) + length], axis=1))
-            for part in _slices(batch, length, most):
+                    found[r].append(np.stack([c >> 12, (c >> 12) + (c & FURTHER) + length], axis=1))
+            own = np.array([r for r, c in enumerate(codes) if (c & LOCAL).any()], dtype=np.int64)
+            for part in _slices(batch.select(["text"]).take(pa.array(own)), length, most) if len(own) else ():
                 if part.whole:
                     bare = _bare(part, length, *part.phrases(length))
                     bare = bare[_twice(part, bare, part.named(bare, bare + length, 0, True))]
@@ -335,7 +350,7 @@ def _cut(texts: DataFrame, length: int, most: int) -> DataFrame:
                     at = bare - part.begin[unit]
                     for u in np.unique(unit):
                         mine = at[unit == u]
-                        found[part.row[u]].append(np.stack([mine, mine + length], axis=1))
+                        found[own[part.row[u]]].append(np.stack([mine, mine + length], axis=1))
             texts_, out = batch.column("text"), ([], [], [])
             for r, runs in enumerate(found):
                 text = texts_[r].as_py()
@@ -381,4 +396,4 @@ def without_repeats(docs: DataFrame, length: int = 200, slice_bytes: int = SLICE
     found: list[DataFrame] = []
     for name, rows_of in (("phrases", _phrase_rows), ("stretches", _stretch_rows), ("suffixes", _suffix_rows)):
         found.append(_repeated(_step(_with_codes(texts, found, buckets), rows_of, length, slice_bytes), scratch, name, buckets, name == "stretches"))
-    return _cut(_with_codes(texts, found, buckets), length, slice_bytes)
+    return _cut(_with_codes(texts, found, buckets, True), length, slice_bytes)
