@@ -133,7 +133,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of ``base`` and of its inverse, modulo 2^64."""
     if base not in _POWERS or len(_POWERS[base][0]) < n:
         size = max(n, SLICE_BYTES)
-        _POWERS[base] = tuple(np.cumprod(np.array([1] + [b] * (size - 1), dtype=np.uint64)) for b in (base, pow(base, -1, 2**64)))
+        _POWERS[base] = tuple(np.cumprod(np.where(np.arange(size) > 0, np.uint64(b), np.uint64(1))) for b in (base, pow(base, -1, 2**64)))
     power, inverse = _POWERS[base]
     return power[:n], inverse[:n]
 
@@ -394,6 +394,9 @@ def without_repeats(docs: DataFrame, length: int = 200, slice_bytes: int = SLICE
     scratch = Scratch(docs.sparkSession, "repeats")
     texts, buckets = _dealt(docs, scratch)
     found: list[DataFrame] = []
+    scratch.settle()
     for name, rows_of in (("phrases", _phrase_rows), ("stretches", _stretch_rows), ("suffixes", _suffix_rows)):
         found.append(_repeated(_step(_with_codes(texts, found, buckets), rows_of, length, slice_bytes), scratch, name, buckets, name == "stretches"))
+        scratch.settle()
+    scratch.forget("stretches-named")
     return _cut(_with_codes(texts, found, buckets, True), length, slice_bytes)

@@ -40,6 +40,10 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def settle(self) -> None:
+        """Let Spark delete the shuffle files of steps that are stored: it does so once the JVM has collected their plans."""
+        self.spark._jvm.System.gc()
+
     def forget(self, *names: str) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
