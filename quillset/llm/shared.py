@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,7 +42,8 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def settle(self) -> None:
-        """Let Spark delete the shuffle files of steps that are stored: it does so once the JVM has collected their plans."""
+        """Let Spark delete the shuffle files of steps that are stored: it does so once neither Python nor the JVM holds their plans."""
+        gc.collect()
         self.spark._jvm.System.gc()
 
     def forget(self, *names: str) -> None:
