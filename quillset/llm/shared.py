@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,9 +43,14 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def settle(self) -> None:
-        """Let Spark delete the shuffle files of steps that are stored: it does so once neither Python nor the JVM holds their plans."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        """Let Spark delete the shuffle files of steps that are stored: it does so once neither Python nor the JVM holds their plans.
+
+        Python and the listeners give theirs up in the background and one after the other, hence the pauses.
+        """
+        for _ in range(2):
+            gc.collect()
+            time.sleep(1)
+            self.spark._jvm.System.gc()
 
     def forget(self, *names: str) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
