@@ -97,16 +97,16 @@ class Slice:
             halves.append((value ^ (value >> np.uint64(31))).view(np.int64))
         return halves[0], halves[1] if wide else np.zeros(len(a), dtype=np.int64)
 
-    def inside(self, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
-        """How many of the stretches from a to b lie in the string of ``length`` bytes that starts at each byte."""
+    def inside(self, a: np.ndarray, b: np.ndarray, length: int, weight: np.ndarray | int = 1) -> np.ndarray:
+        """Weight of the stretches from a to b that lie in the string of ``length`` bytes that starts at each byte."""
         low = np.maximum(b - length, self.begin[self.unit(a)])
-        return self.depth(low, a)
+        return self.depth(low, a, weight)
 
-    def depth(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """How many of the ranges low to high, both included, hold each byte."""
+    def depth(self, low: np.ndarray, high: np.ndarray, weight: np.ndarray | int = 1) -> np.ndarray:
+        """Weight of the ranges low to high, both included, that hold each byte."""
         change = np.zeros(len(self.data) + 1, dtype=np.int32)
-        np.add.at(change, low, 1)
-        np.add.at(change, np.minimum(high, len(self.data) - 1) + 1, -1)
+        np.add.at(change, low, np.asarray(weight, dtype=np.int32))
+        np.subtract.at(change, np.minimum(high, len(self.data) - 1) + 1, np.asarray(weight, dtype=np.int32))
         return np.cumsum(change, dtype=np.int32, out=change)[:-1]
 
     def starts(self, length: int) -> np.ndarray:
@@ -235,7 +235,9 @@ def _open(part: Slice, codes: list[np.ndarray | None], length: int) -> np.ndarra
     repeated = marked[a]
     if part.whole:
         repeated |= _twice(part, a, part.named(a, b, 1, False))
-    return part.starts(length) & (part.inside(a[repeated], b[repeated], length) > 0) & (part.inside(a[~repeated], b[~repeated], length) == 0)
+    # A string holds fewer than 2^9 phrases, so the other ones count 2^9 each.
+    held = part.inside(a, b, length, np.where(repeated, 1, FURTHER + 1))
+    return part.starts(length) & (held > 0) & (held <= FURTHER)
 
 
 def _phrase_rows(part: Slice, batch_keys: np.ndarray, codes: list, length: int) -> Iterator[pa.RecordBatch | None]:
@@ -323,9 +325,9 @@ def _with_codes(texts: DataFrame, found: list[DataFrame], buckets: int, every: b
     none = F.array().cast("array<bigint>")
     if not found:
         return texts.withColumn("codes", none)
-    joined = texts
+    joined = texts  # never sorted: a bucket's places, far fewer bytes than its texts, are the hashed side
     for i, codes in enumerate(found):
-        joined = joined.join(codes.repartition(buckets, "d", "k").withColumnRenamed("codes", f"codes{i}").hint("merge"), ["d", "k"], "left" if i or every else "inner")
+        joined = joined.join(codes.repartition(buckets, "d", "k").withColumnRenamed("codes", f"codes{i}").hint("shuffle_hash"), ["d", "k"], "left" if i or every else "inner")
     return joined.withColumn("codes", F.concat(*[F.coalesce(f"codes{i}", none) for i in range(len(found))])).drop(*[f"codes{i}" for i in range(len(found))])
 
 
