@@ -91,11 +91,11 @@ class ChunkedRun:
 KEYS = ("document_id", "chunk_id")
 
 
-def generate_for_chunks(chunks: DataFrame, generator: Generator, max_attempts: int = MAX_ATTEMPTS) -> ChunkedRun:
+def generate_for_chunks(chunks: DataFrame, generator: Generator, max_attempts: int = MAX_ATTEMPTS, keys: Sequence[str] = KEYS) -> ChunkedRun:
     """Up to ``max_attempts`` calls per chunk, a continuation after a cut-off answer, failures kept as rows.
 
     An attempt fails when a call fails, or nothing usable came back and parsing complained. All chunks advance together: one
-    attempt is one pass over those still open. Messages of failed attempts are kept with their attempt number.
+    attempt is one pass over those still open. Messages of failed attempts are kept with their attempt number. ``keys`` identify a chunk.
     """
     open_chunks = chunks
     parts: dict[str, DataFrame | None] = {"responses": None, "items": None, "errors": None}
@@ -105,46 +105,46 @@ def generate_for_chunks(chunks: DataFrame, generator: Generator, max_attempts: i
 
     failed = None
     for attempt in range(1, max_attempts + 1):
-        calls = run_generator(requests.chunk_requests(open_chunks), generator, *KEYS)
+        calls = run_generator(requests.chunk_requests(open_chunks), generator, *keys)
         first = checkpointed(calls.withColumns({"attempt": F.lit(attempt), "stage": F.lit(1)}))
-        summary = checkpointed(responses.parse_summary(first.filter("error IS NULL"), *KEYS))
+        summary = checkpointed(responses.parse_summary(first.filter("error IS NULL"), *keys))
         usable = summary.filter("valid_count > 0 OR size(parse_errors) = 0")
         first_items = responses.valid_items(
-            responses.parse_items(first.join(usable.select(*KEYS), list(KEYS), "left_semi"), *KEYS)
+            responses.parse_items(first.join(usable.select(*keys), list(keys), "left_semi"), *keys)
         )
-        cut = first.filter("finish_reason = 'length'").join(usable.filter("valid_count > 0").select(*KEYS), list(KEYS), "left_semi")
+        cut = first.filter("finish_reason = 'length'").join(usable.filter("valid_count > 0").select(*keys), list(keys), "left_semi")
         again = requests.continuation_requests(
-            open_chunks.join(cut.select(*KEYS), list(KEYS), "left_semi"),
-            first_items.join(cut.select(*KEYS), list(KEYS), "left_semi"),
-            *KEYS,
+            open_chunks.join(cut.select(*keys), list(keys), "left_semi"),
+            first_items.join(cut.select(*keys), list(keys), "left_semi"),
+            *keys,
         )
         second = checkpointed(
-            run_generator(again, generator, *KEYS).withColumns({"attempt": F.lit(attempt), "stage": F.lit(2)})
+            run_generator(again, generator, *keys).withColumns({"attempt": F.lit(attempt), "stage": F.lit(2)})
         )
-        done = usable.select(*KEYS).join(second.filter("error IS NOT NULL").select(*KEYS), list(KEYS), "left_anti")
-        more_items = responses.valid_items(responses.parse_items(second.filter("error IS NULL"), *KEYS))
+        done = usable.select(*keys).join(second.filter("error IS NOT NULL").select(*keys), list(keys), "left_anti")
+        more_items = responses.valid_items(responses.parse_items(second.filter("error IS NULL"), *keys))
         items = first_items.withColumn("stage", F.lit(1)).unionByName(more_items.withColumn("stage", F.lit(2)))
-        add("items", items.join(done, list(KEYS), "left_semi"))
+        add("items", items.join(done, list(keys), "left_semi"))
         add("responses", first.unionByName(second))
         warned = summary.withColumn("stage", F.lit(1)).unionByName(
-            responses.parse_summary(second.filter("error IS NULL"), *KEYS).withColumn("stage", F.lit(2))
+            responses.parse_summary(second.filter("error IS NULL"), *keys).withColumn("stage", F.lit(2))
         )
-        add("errors", warned.select(*KEYS, F.lit(attempt).alias("attempt"), "stage", F.explode("parse_errors").alias("message")))
-        reasons = first.unionByName(second).filter("error IS NOT NULL").select(*KEYS, F.col("error").alias("message"))
+        add("errors", warned.select(*keys, F.lit(attempt).alias("attempt"), "stage", F.explode("parse_errors").alias("message")))
+        reasons = first.unionByName(second).filter("error IS NOT NULL").select(*keys, F.col("error").alias("message"))
         complaints = summary.filter("valid_count = 0 AND size(parse_errors) > 0").select(
-            *KEYS, F.array_join("parse_errors", MESSAGE_SEPARATOR).alias("message")
+            *keys, F.array_join("parse_errors", MESSAGE_SEPARATOR).alias("message")
         )
         failed = checkpointed(reasons.unionByName(complaints))
         if failed.isEmpty():
             break
-        open_chunks = open_chunks.join(failed.select(*KEYS).distinct(), list(KEYS), "left_semi")
-    failures = failed.join(chunks.select(*KEYS, "heading"), list(KEYS)).withColumn("attempts", F.lit(max_attempts))
+        open_chunks = open_chunks.join(failed.select(*keys).distinct(), list(keys), "left_semi")
+    failures = failed.join(chunks.select(*keys, "heading"), list(keys)).withColumn("attempts", F.lit(max_attempts))
     return ChunkedRun(chunks, parts["responses"], parts["items"], failures, parts["errors"])
 
 
-def order_items(items: DataFrame, chunks: DataFrame) -> DataFrame:
+def order_items(items: DataFrame, chunks: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Give every item its position within the document: chunk, then first response, then continuation."""
-    numbered = items.join(chunks.select(*KEYS, "chunk_index"), list(KEYS))
+    numbered = items.join(chunks.select(*keys, "chunk_index"), list(keys))
     return numbered.withColumn(
         "pos", F.col("chunk_index") * 10_000_000 + F.col("stage") * 1_000_000 + F.col("item_no")
     ).drop("chunk_index", "stage", "item_no", "strategy")
@@ -155,14 +155,11 @@ def extract_records(
     generator: Generator,
     max_chars: int = 6000,
     overlap_chars: int = 240,
-    completed: DataFrame | None = None,
     created_at=None,
 ) -> tuple[DataFrame, ChunkedRun]:
-    """Documents to scored records before deduplication; chunks listed in ``completed`` are skipped."""
+    """Documents to scored records before deduplication, in one go; ``operators.resume`` does the same in batches that survive an interruption."""
     keys = ("document_id", "source_name", "file_type")
     chunks = chunk_documents(docs, *keys, max_chars=max_chars, overlap_chars=overlap_chars)
-    if completed is not None:
-        chunks = chunks.join(completed.select(*KEYS), list(KEYS), "left_anti")
     # Read by the calls, their continuations and the evidence join: cut once.
     chunks = checkpointed(chunks)
     run = generate_for_chunks(chunks, generator)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillset.operators import dedup, generation
+from quillset.operators import dedup, generation, resume
+from quillset.operators.generation import rule_based_generator
 from quillset.plans.relations import pages_text
-from quillset.session import checkpointed
+from quillset.session import checkpointed, shared_folder
 from quillset.sources.files import reject_empty, with_document_columns
 
 
@@ -23,7 +28,7 @@ def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, generation.ChunkedRun]:
     """(records before deduplication, kept records, run) for the pages table with the rule-based generator."""
     records, run = generation.extract_records(
-        page_documents(spark, sf_dir), generation.rule_based_generator, created_at=F.lit(0)
+        page_documents(spark, sf_dir), rule_based_generator, created_at=F.lit(0)
     )
     # Scored once for deduplication and totals; a long-running job would write its records table here.
     records = checkpointed(records.withColumn("document", F.col("source.document_id")))
@@ -45,3 +50,50 @@ def best_page_records(spark: SparkSession, sf_dir: str, limit: int = 20) -> Data
         F.col("quality.overall").alias("overall"),
         "task_type",
     )
+
+
+class Interrupted(Exception):
+    """Ends a run after a batch, as a lost driver would."""
+
+
+def unreliable_generator(batch: pd.DataFrame) -> list[tuple]:
+    """The rule-based stand-in, down for every request whose length is a multiple of five."""
+    answers = rule_based_generator(batch)
+    return [(None, None, None, None, "unavailable") if len(user) % 5 == 0 else answer for user, answer in zip(batch["user"], answers, strict=True)]
+
+
+def _sessions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    docs = checkpointed(page_documents(spark, sf_dir).withColumn("session_id", F.col("source_name")))
+    return docs, f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+
+
+def resumed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run cut off after its first batch and run again: the kept records, and how often each chunk was called."""
+    docs, path = _sessions(spark, sf_dir)
+
+    def cut_off(batch_id: int) -> None:
+        raise Interrupted(f"after batch {batch_id}")
+
+    try:
+        resume.run_in_batches(docs, rule_based_generator, path, batch_chunks=1000, files_per_batch=2, on_batch=cut_off)
+    except StreamingQueryException as stopped:
+        if "Interrupted" not in str(stopped):
+            raise
+    run = resume.run_in_batches(docs, rule_based_generator, path, batch_chunks=1000)
+    kept = resume.finish_run(docs, path, run, created_at=F.lit(0))
+    # Every answer ever stored, by whatever batch, not only those with a marker.
+    calls = resume.stored_calls(docs, path)
+    return kept.select("session_id", F.col("source.chunk_id").alias("chunk_id"), "id", "pos", "instruction", "output", F.col("quality.overall").alias("overall"), "fingerprint").join(
+        calls, ["session_id", "fingerprint", "chunk_id"]
+    ).drop("fingerprint")
+
+
+def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a run whose model fails on some chunks, and of the run that tries those again; runs are numbered in order."""
+    docs, path = _sessions(spark, sf_dir)
+    resume.run_in_batches(docs, unreliable_generator, path, batch_chunks=1000)
+    run = resume.run_in_batches(docs, rule_based_generator, path, batch_chunks=1000)
+    resume.finish_run(docs, path, run, created_at=F.lit(0))
+    events = resume.read_events(spark, path)
+    runs = F.when(F.col("run") == run, 2).otherwise(1)
+    return events.select(runs.alias("run_no"), "session_id", "chunk_id", "status", "attempt", "items", "message")

@@ -676,3 +676,18 @@ ORACLES["run_totals"] = f"""WITH RECURSIVE {PAGE_RECORDS},
 ORACLES["legacy_extraction"] = f"""WITH RECURSIVE {PAGE_DOCS}, {short_chunks_of('page_docs', 'page_id', 6000, 200)}, {generated('chunk', 'gen')},
   twice AS (SELECT d.document_id AS book, d.document_id, g.chunk_id, g.chunk_index AS pos, g.instruction, g.output FROM gen g JOIN page_docs d USING (page_id)),
   {pairwise_replay(0.88)} SELECT document_id, chunk_id, instruction, output FROM survivors"""
+ORACLES["resumed_run"] = f"""WITH RECURSIVE {PAGE_RECORDS}
+  SELECT source_name AS session_id, chunk_id, id, pos, instruction, output, overall, 1::BIGINT AS calls FROM kept"""
+ORACLES["run_events"] = f"""WITH RECURSIVE {PAGE_RECORDS},
+  sent AS (SELECT c.*, p.source_name FROM chunk c JOIN page_docs p USING (page_id)),
+  asked AS (SELECT source_name AS session_id, chunk_id, ({_USER_LENGTH}) % 5 = 0 AS down, EXISTS (SELECT 1 FROM gen g WHERE g.page_id = sent.page_id AND g.chunk_id = sent.chunk_id) AS answered FROM sent),
+  totals AS (SELECT session_id, coalesce(n, 0) AS n, coalesce(k, 0) AS k FROM (SELECT source_name AS session_id, count(*) AS n FROM recs GROUP BY 1)
+    LEFT JOIN (SELECT source_name AS session_id, count(*) AS k FROM kept GROUP BY 1) USING (session_id)),
+  events AS (
+    SELECT 1 AS run_no, session_id, chunk_id, 'retrying' AS status, unnest([2, 3]) AS attempt, NULL AS items, NULL AS message FROM asked WHERE down
+    UNION ALL SELECT 1, session_id, chunk_id, 'failed', 3, 0, 'unavailable' FROM asked WHERE down
+    UNION ALL SELECT 1 + down::INTEGER, session_id, chunk_id, 'completed', 1, answered::BIGINT, NULL FROM asked
+    UNION ALL SELECT 2, session_id, chunk_id, 'resumed', NULL, NULL, NULL FROM asked WHERE NOT down
+    UNION ALL SELECT 2, session_id, NULL, 'dedup', 1, n - k, NULL FROM totals
+    UNION ALL SELECT 2, session_id, NULL, 'done', 2, k, NULL FROM totals)
+  SELECT run_no, session_id, chunk_id, status, attempt::INTEGER AS attempt, items::BIGINT AS items, message FROM events"""

@@ -568,3 +568,7 @@ def deep_rounds(spark, sf_dir):
 def legacy_extraction(spark, sf_dir):
     docs = extraction.page_documents(spark, sf_dir)
     return generation.extract_items_by_paragraph(docs, generation.rule_based_generator).select("document_id", "chunk_id", "instruction", "output")
+
+
+QUERIES["resumed_run"] = extraction.resumed_run
+QUERIES["run_events"] = extraction.run_events

@@ -28,20 +28,28 @@ def build_session(master: str | None = None, app: str = "quillset", **conf: str)
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in reliable storage and drop its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; executors may be lost at any time, so
-    blocks held only by executors are never enough. A folder of our own is used only when none is configured
+    Executors may be lost at any time, so blocks held only by executors are never enough. A folder of our own is used only when none is configured
     (tests, local runs); on any other master that is an error, since executors would not see a machine-local folder.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    configured = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if configured:
+        return configured.rstrip("/")
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    own = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in reliable storage and drop its lineage."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        configured = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-        if not configured and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

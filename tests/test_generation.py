@@ -75,13 +75,6 @@ def test_retries_continuation_and_failures(spark):
     assert totals["total_before_dedup"] == 2 and totals["failed_chunks"] == 0
 
 
-def test_resume_skips_completed_chunks(spark):
-    docs = documents(spark, "# A\nalpha text\n# B\nbeta text")
-    done = docs.select("document_id", F.lit("chunk_001").alias("chunk_id"))
-    records, _ = generation.extract_records(docs, generation.rule_based_generator, completed=done, created_at=F.lit(0))
-    assert [r["source"]["chunk_id"] for r in records.collect()] == ["chunk_002"]
-
-
 def test_deep_rounds_stop_conditions(spark):
     docs = documents(spark, "alpha", "beta", "gamma", "delta").withColumn("session_id", F.col("text"))
 
