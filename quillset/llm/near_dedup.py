@@ -13,7 +13,7 @@ not one component are compared in blocks, each member with those of other compon
 choose what to compare: every link is confirmed on full sets.
 
 Defined results: fewer than five words make one shingle of all of them; null and empty texts have no set (0 shingles) and link with nothing;
-rows with one doc_id count as one vertex; a null doc_id links with nothing, has no component and is kept; no rows give no rows; further
+rows with one doc_id count as one vertex, whose links are those of all its texts; a null doc_id links with nothing, has no component and is kept; no rows give no rows; further
 columns are ignored.
 """
 
@@ -64,11 +64,11 @@ def shingle_set(text: bytes, hashes: WordHashes) -> np.ndarray:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return own_columns(docs, doc_id="doc_id", text="text").selectExpr("cast(doc_id as bigint) doc_id", "text")
+    return own_columns(docs, doc_id="doc_id", text="text").selectExpr("cast(doc_id as bigint) doc_id", "text", "xxhash64(text) h")
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, two integers that identify the set, and its minwise tokens (one per coordinate)."""
+    """doc_id, a hash of the text, n_shingles, two integers that identify the set, and its minwise tokens (one per coordinate)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -88,9 +88,9 @@ def signatures(docs: DataFrame) -> DataFrame:
                 keys = np.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], dtype="S16")
                 pair = np.frombuffer(b"".join(k.ljust(16, b"\0") for k in keys.tolist()), dtype=np.int64).reshape(-1, 2)
                 lists = pa.ListArray.from_arrays(np.arange(0, tokens.size + 1, COORDINATES, dtype=np.int32), pa.array(tokens.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(pair[:, 0]), pa.array(pair[:, 1]), lists], names=["doc_id", "n_shingles", "k1", "k2", "tokens"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(sizes), pa.array(pair[:, 0]), pa.array(pair[:, 1]), lists], names=["doc_id", "h", "n_shingles", "k1", "k2", "tokens"])
 
-    return _texts(docs).mapInArrow(work, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, tokens array<int>")
+    return _texts(docs).mapInArrow(work, "doc_id bigint, h bigint, n_shingles bigint, k1 bigint, k2 bigint, tokens array<int>")
 
 
 def _children(node: Column, tokens: Column, extra: float) -> Column:
@@ -184,12 +184,13 @@ def _compare_blocks(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("members", "others").mapInArrow(work, "a bigint, b bigint")
 
 
-def _stars(large: DataFrame, sample_size: int, percent: int, least: float) -> DataFrame:
+def _stars(large: DataFrame, reps: DataFrame, sample_size: int, percent: int, least: float) -> DataFrame:
     """node, a, b, estimate: every member of each large node with the member that agrees most with the node's most frequent tokens.
 
     The most frequent tokens come from a sample of about ``sample_size`` members dealt by hash; the agreement is taken over all members. Both
-    are aggregated before anything is joined back.
+    are aggregated before anything is joined back, the agreement by node and salt first.
     """
+    large = large.join(reps, "rep")
     chance = F.pmod(F.xxhash64("rep", "node"), F.lit(1_000_000)) * F.col("size") < F.lit(sample_size * 1_000_000)
 
     def usual(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +206,8 @@ def _stars(large: DataFrame, sample_size: int, percent: int, least: float) -> Da
     modes = samples.mapInArrow(usual, "node bigint, usual array<int>")
     agreement = F.aggregate(F.arrays_zip("tokens", "usual"), F.lit(0), lambda n, p: n + (p["tokens"] == p["usual"]).cast("int"))
     judged = large.join(modes, "node").select("node", F.struct(agreement.alias("agree"), F.col("rep").alias("id"), F.col("n"), "tokens").alias("best"))
-    centres = judged.groupBy("node").agg(F.max("best").alias("centre"))
+    salted = judged.withColumn("salt", F.pmod(F.xxhash64("best.id"), F.lit(32))).groupBy("node", "salt").agg(F.max("best").alias("best"))
+    centres = salted.groupBy("node").agg(F.max("best").alias("centre"))
     joined = large.join(centres, "node").filter(F.col("rep") != F.col("centre.id"))
     same = F.aggregate(F.arrays_zip("tokens", F.col("centre.tokens").alias("other")), F.lit(0), lambda n, p: n + (p["tokens"] == p["other"]).cast("int")) / COORDINATES
     close = 100 * F.least("n", "centre.n") >= percent * F.greatest("n", "centre.n")
@@ -213,8 +215,8 @@ def _stars(large: DataFrame, sample_size: int, percent: int, least: float) -> Da
     return pairs.filter(F.col("estimate") >= least)
 
 
-def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, n, set (64-bit hashes as bytes) of the documents named in ``ids``, one row per id and distinct set."""
+def _sets(docs: DataFrame, heads: DataFrame) -> DataFrame:
+    """id, set (64-bit hashes as bytes) of the classes in ``heads`` (rep, doc_id, h), each read from the row that heads it."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -222,11 +224,11 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 sets = [shingle_set(t or b"", hashes) for t in part.column("text").cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "set"])
+                yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "set"])
 
     # Always by shuffle: how many texts are needed grows with the corpus, so their ids have no size bound to broadcast on.
-    needed = ids.select(F.col("id").alias("doc_id")).hint("merge")
-    return _texts(docs).join(needed, "doc_id", "left_semi").mapInArrow(work, "id bigint, set binary")
+    needed = heads.select("rep", "doc_id", "h").hint("merge")
+    return _texts(docs).join(needed, ["doc_id", "h"]).select("rep", "text").mapInArrow(work, "id bigint, set binary").dropDuplicates(["id"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -262,39 +264,43 @@ def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, node_si
     store = scratch.store
     rows = store(signatures(docs), "rows")
     usable = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = store(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    mine = (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("doc_id") == F.col("rep"))
-    heads = usable.join(classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep"), mine, "left_semi")
-    reps = store(heads.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "tokens"), "reps")
+    # A class is a distinct set; ids of classes are their own, since one doc_id may head several.
+    folded = usable.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "h")).alias("head"))
+    classes = store(folded.select("k1", "k2", F.monotonically_increasing_id().alias("rep"), F.col("head.doc_id").alias("first"), F.col("head.h").alias("first_h")), "classes")
+    heads = usable.join(classes, ["k1", "k2"]).filter("doc_id = first AND h = first_h")
+    reps = store(heads.dropDuplicates(["rep"]).select("rep", "doc_id", "h", F.col("n_shingles").alias("n"), "tokens"), "reps")
+    tokens = reps.select("rep", "n", "tokens")
 
     first = F.array(*[F.xxhash64(F.lit(t), F.element_at("tokens", t * COORDINATES // trees + 1)) for t in range(trees)])
-    frontier = reps.select("rep", F.lit(None).cast("bigint").alias("parent"), F.explode(first).alias("node"))
+    frontier = tokens.select("rep", F.lit(None).cast("bigint").alias("parent"), F.explode(first).alias("node"))
     small, stars, ends = [], [], []
     for level in range(1, levels + 1):
         sizes = frontier.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
         shared = store(frontier.join(sizes, "node"), f"shared-{level}")
         fits = shared.filter(F.col("size") <= node_size).groupBy("node").agg(F.sort_array(F.collect_list("rep")).alias("ids"))
-        small.append(fits.select("ids"))
+        small.append(store(fits.select("ids"), f"small-{level}"))
         larger = shared.filter(F.col("size") > node_size)
         if larger.limit(1).count() == 0:
             break
-        large = store(larger.join(reps, "rep"), f"large-{level}")
-        star = store(_stars(large, 64, percent, least), f"stars-{level}")
-        stars.append(star)
-        done = star.filter(F.col("estimate") >= linked).groupBy("node").agg(F.count("*").alias("linked"))
-        judged = large.join(done, "node", "left")
+        stars.append(store(_stars(larger, tokens, 64, percent, least), f"stars-{level}"))
+        # Decided per node: branched on, or compared as it is.
+        linked_in = stars[-1].filter(F.col("estimate") >= linked).groupBy("node").agg(F.count("*").alias("linked"))
+        nodes = larger.groupBy("node").agg(F.first("size").alias("size"), F.first("parent").alias("parent")).join(linked_in, "node", "left")
         alike = (F.coalesce("linked", F.lit(0)) + 1 >= covered * F.col("size")) | (F.col("size") >= together * F.coalesce("parent", F.lit(2**62)))
-        whole = alike | F.lit(level == levels)
-        ends.append(store(judged.filter(whole).drop("linked"), f"ends-{level}"))
+        nodes = store(nodes.select("node", (alike | F.lit(level == levels)).alias("whole")), f"decided-{level}")
+        ends.append(store(larger.join(nodes.filter("whole"), "node", "left_semi").select("node", "size", "rep"), f"ends-{level}"))
         step = 1 / (percent / 100) - 1
-        frontier = judged.filter(~whole).select("rep", F.col("size").alias("parent"), F.explode(_children(F.col("node"), F.col("tokens"), step)).alias("node")).distinct()
+        onward = larger.join(nodes.filter("NOT whole"), "node", "left_semi").join(tokens, "rep")
+        frontier = store(onward.select("rep", F.col("size").alias("parent"), F.explode(_children(F.col("node"), F.col("tokens"), step)).alias("node")).distinct(), f"frontier-{level}")
+        scratch.forget(f"shared-{level}", f"decided-{level}", f"frontier-{level - 1}")
+        scratch.settle(1, 0.3)
 
     # The same members meet in many trees: each distinct node is compared once.
     nodes = small[0]
     for more in small[1:]:
         nodes = nodes.unionAll(more)
     nodes = store(nodes.distinct().select(F.monotonically_increasing_id().alias("nid"), "ids"), "nodes")
-    members = nodes.select("nid", F.explode("ids").alias("rep")).join(reps, "rep")
+    members = nodes.select("nid", F.explode("ids").alias("rep")).join(tokens, "rep")
     groups = members.groupBy("nid").agg(F.collect_list(F.struct(F.col("rep").alias("id"), "n", "tokens")).alias("members"))
     near = store(_compare(groups, percent, least).distinct(), "near")
 
@@ -304,35 +310,46 @@ def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, node_si
     for star in stars:
         begin = begin.unionAll(star.select("a", "b"))
     begin = store(begin.distinct(), "begin")
-    named = begin.select("a").unionAll(near.select("a")).unionAll(begin.select("b")).unionAll(near.select("b")).distinct().withColumnRenamed("a", "id")
-    sets = store(_sets(docs, named).dropDuplicates(["id"]), "sets")
+    scratch.forget("nodes", *[f"{name}-{k}" for k in range(1, levels + 1) for name in ("small", "stars", "shared", "frontier")])
+    scratch.settle(1, 0.3)
+    named = begin.select("a").unionAll(near.select("a")).unionAll(begin.select("b")).unionAll(near.select("b")).distinct().withColumnRenamed("a", "rep")
+    sets = store(_sets(docs, reps.join(named.hint("merge"), "rep", "left_semi")), "sets")
     links = store(_confirmed(begin, sets, percent), "links-1")
-    scratch.forget("nodes", *[f"stars-{k}" for k in range(1, levels + 1)], *[f"shared-{k}" for k in range(1, levels + 1)], *[f"large-{k}" for k in range(1, levels + 1)])
+    scratch.settle(1, 0.3)
 
     # Pairs whose ends are one component already need no comparison; all others get one.
-    known = components(scratch, links, "first").withColumnRenamed("vertex", "rep")
+    known = store(components(scratch, links, "first").withColumnRenamed("vertex", "rep"), "known")
     apart = _apart(near.select("a", "b").join(begin, ["a", "b"], "left_anti"), known)
     if ends:
         large = ends[0]
         for more in ends[1:]:
             large = large.unionAll(more)
-        split = large.select("node", "size", "rep", "n").join(known, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        rest = split.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("node")
-        split = store(split.join(rest, "node"), "split")
-        missing = split.select(F.col("rep").alias("id")).distinct().join(sets.select("id"), "id", "left_anti")
-        sets = sets.unionAll(store(_sets(docs, missing).dropDuplicates(["id"]), "sets-2"))
-        found = store(_blocks(split, store(_sketches(sets), "sketches"), percent), "rest")
+        split = large.join(known, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+        # Nodes of one component need nothing more, and of nodes with the same members (a large group meets in many trees) one is compared.
+        own, other = (F.sum(F.xxhash64("rep", F.lit(seed)).cast("decimal(20,0)")) for seed in (1, 2))
+        rest = split.groupBy("node").agg(F.first("size").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), own.alias("own"), other.alias("other")).filter("low < high")
+        split = store(split.join(rest.groupBy("size", "own", "other").agg(F.min("node").alias("node")).select("node"), "node", "left_semi"), "split")
+        missing = reps.join(split.select("rep").distinct().hint("merge"), "rep", "left_semi").join(sets.select(F.col("id").alias("rep")).hint("merge"), "rep", "left_anti")
+        sets = sets.unionAll(store(_sets(docs, missing), "sets-2"))
+        found = store(_blocks(split.join(reps.select("rep", "n"), "rep"), store(_sketches(sets), "sketches"), percent), "rest")
         apart = apart.unionAll(found).distinct()
+        scratch.settle(1, 0.3)
     more = store(_confirmed(apart, sets, percent), "links-2")
-    if more.limit(1).count():
-        known = components(scratch, links.select("a", "b").unionAll(more.select("a", "b")), "second").withColumnRenamed("vertex", "rep")
-    scratch.forget("sets", "sets-2", "sketches", "split", "near", "begin", "reps", *[f"ends-{k}" for k in range(1, levels + 1)])
-
-    copied = classes.filter("copies > 1").select("k1", "k2", F.col("rep").alias("first"))
-    placed = rows.select("doc_id", "n_shingles", "k1", "k2").join(copied, ["k1", "k2"], "left")
+    scratch.forget("sets", "sets-2", "sketches", "split", "near", "begin", "reps", "known", *[f"ends-{k}" for k in range(1, levels + 1)])
+    scratch.settle(1, 0.3)
+
+    # Documents are the vertices in the end: a class stands for its smallest doc_id, and a doc_id with several sets joins theirs.
+    smallest = classes.select("rep", "first")
+    pairs = links.select("a", "b").unionAll(more.select("a", "b"))
+    ends_at = pairs.join(smallest.select(F.col("rep").alias("a"), F.col("first").alias("da")), "a").join(smallest.select(F.col("rep").alias("b"), F.col("first").alias("db")), "b")
+    edges = ends_at.select(F.col("da").alias("a"), F.col("db").alias("b"))
+    placed = rows.select("doc_id", "n_shingles", "k1", "k2").join(classes.select("k1", "k2", "first"), ["k1", "k2"], "left")
+    repeated = usable.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("low"), F.max(F.struct("k1", "k2")).alias("high")).filter("low <> high").select("doc_id")
+    several = placed.filter("n_shingles > 0").join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    known = components(scratch, edges.unionAll(several), "second").withColumnRenamed("vertex", "first")
     none = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
-    placed = placed.withColumn("rep", F.when(none, F.col("doc_id")).otherwise(F.coalesce("first", "doc_id")))
-    out = placed.join(known, "rep", "left").withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("root", "rep")))
+    placed = placed.withColumn("first", F.when(none, F.col("doc_id")).otherwise(F.coalesce("first", "doc_id")))
+    out = placed.join(known, "first", "left").withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("root", "first")))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"))
 
 

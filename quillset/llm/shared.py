@@ -42,14 +42,14 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def settle(self) -> None:
+    def settle(self, rounds: int = 2, pause: float = 1) -> None:
         """Let Spark delete the shuffle files of steps that are stored: it does so once neither Python nor the JVM holds their plans.
 
         Python and the listeners give theirs up in the background and one after the other, hence the pauses.
         """
-        for _ in range(2):
+        for _ in range(rounds):
             gc.collect()
-            time.sleep(1)
+            time.sleep(pause)
             self.spark._jvm.System.gc()
 
     def forget(self, *names: str) -> None:

@@ -152,6 +152,15 @@ def test_near_duplicates_at_80_percent(spark):
     assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == set(roots)
 
 
+def test_near_duplicates_with_several_texts_of_one_id(spark):
+    words = [f"w{i}" for i in range(200)]
+    one, two = " ".join(words), " ".join(w + "x" for w in words)
+    one_changed, two_changed = one.replace("w100 ", "other "), two.replace("w50x ", "other ")
+    docs = spark.createDataFrame([(4, one), (4, two), (10, two_changed), (11, one_changed), (12, "apart from all"), (4, ""), (20, two_changed)], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == {(4, 4, True), (10, 4, False), (11, 4, False), (12, 12, True), (20, 4, False)}
+
+
 def test_near_duplicates_without_ids_or_rows(spark):
     docs = table(spark, ["a b c d e f"] * 3, [None, 4, 4])
     assert sorted((r.doc_id or -1, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect()) == [(-1, None, True), (4, 4, True), (4, 4, True)]
