@@ -331,11 +331,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, node_si
         split = store(split.join(rest.groupBy("size", "own", "other").agg(F.min("node").alias("node")).select("node"), "node", "left_semi"), "split")
         missing = reps.join(split.select("rep").distinct().hint("merge"), "rep", "left_semi").join(sets.select(F.col("id").alias("rep")).hint("merge"), "rep", "left_anti")
         sets = sets.unionAll(store(_sets(docs, missing), "sets-2"))
-        found = store(_blocks(split.join(reps.select("rep", "n"), "rep"), store(_sketches(sets), "sketches"), percent), "rest")
+        found = store(_blocks(scratch, split.join(reps.select("rep", "n"), "rep"), store(_sketches(sets), "sketches"), percent), "rest")
         apart = apart.unionAll(found).distinct()
         scratch.settle(1, 0.3)
     more = store(_confirmed(apart, sets, percent), "links-2")
-    scratch.forget("sets", "sets-2", "sketches", "split", "near", "begin", "reps", "known", *[f"ends-{k}" for k in range(1, levels + 1)])
+    scratch.forget("sets", "sets-2", "sketches", "split", "dealt", "near", "begin", "reps", "known", *[f"ends-{k}" for k in range(1, levels + 1)])
     scratch.settle(1, 0.3)
 
     # Documents are the vertices in the end: a class stands for its smallest doc_id, and a doc_id with several sets joins theirs.
@@ -361,12 +361,23 @@ def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return right.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").distinct()
 
 
-def _blocks(members: DataFrame, sketches: DataFrame, percent: int, block: int = 256) -> DataFrame:
-    """Pairs near by their sketches and apart in components in large nodes: members in blocks, every two blocks of a node compared by one task at a time."""
+def _blocks(scratch: Scratch, members: DataFrame, sketches: DataFrame, percent: int, block: int = 256) -> DataFrame:
+    """Pairs near by their sketches and apart in components in large nodes, compared block by block.
+
+    Members of a node's largest component need no comparison with each other: they and the rest are dealt to blocks of their own, and only blocks of
+    the rest are copied, to each other and to the blocks of the component. A task compares two blocks at a time.
+    """
     item = F.struct(F.col("rep").alias("id"), "root", "n", "sketch")
-    blocks = F.ceil(F.col("size") / block).cast("bigint")
-    dealt = members.join(sketches, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), blocks)).groupBy("node", "block").agg(F.collect_list(item).alias("members"))
-    to = dealt.select("node", F.col("block").alias("to"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("block"), F.col("members").alias("others"))
-    paired = dealt.join(to, ["node", "block"])
-    own = F.col("block") == F.col("to")
-    return _compare_blocks(paired.select("members", F.when(~own, F.col("others")).alias("others")), percent).distinct()
+    counts = members.groupBy("node", "root").agg(F.count("*").alias("count"))
+    largest = counts.groupBy("node").agg(F.max_by("root", F.struct("count", "root")).alias("major"), F.max("count").alias("in_major"), F.sum("count").alias("all"))
+    sized = members.join(largest, "node").withColumn("rest", F.col("root") != F.col("major"))
+    majors = F.ceil(F.col("in_major") / block).cast("bigint")
+    blocks = F.when(F.col("rest"), F.ceil((F.col("all") - F.col("in_major")) / block)).otherwise(majors).cast("bigint")
+    numbered = sized.withColumns({"block": F.pmod(F.xxhash64("rep"), blocks), "majors": majors})
+    dealt = scratch.store(numbered.join(sketches, "rep").groupBy("node", "rest", "block").agg(F.collect_list(item).alias("members"), F.first("majors").alias("majors")), "dealt")
+    outside = dealt.filter("rest")
+    to_major = outside.select("node", F.lit(False).alias("rest"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("majors") - 1)).alias("block"), F.lit(False).alias("own"), F.col("members").alias("others"))
+    to_rest = outside.select("node", F.lit(True).alias("rest"), F.col("block").alias("to"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("block"))).alias("block"), F.col("members").alias("others"))
+    to_rest = to_rest.select("node", "rest", "block", (F.col("to") == F.col("block")).alias("own"), "others")
+    paired = dealt.select("node", "rest", "block", "members").join(to_major.unionByName(to_rest), ["node", "rest", "block"])
+    return _compare_blocks(paired.select("members", F.when(~F.col("own"), F.col("others")).alias("others")), percent).distinct()
