@@ -117,9 +117,12 @@ def without_copies(docs: DataFrame, **options: int) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "copies")
     judged = exact_duplicates(docs, **options).groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
     keys = scratch.store(judged.agg(F.max("kept").alias("_kept"), F.count("*").alias("_rows")).filter("NOT _kept OR _rows > 1"), "keys")
-    marked = docs.withColumn("_of_text", F.sha2(normalised(F.col("text")).cast("binary"), 256))
-    same = lambda k: (marked["_of_text"] == k["_sha"]) & marked["doc_id"].eqNullSafe(k["_id"])
+    of_text = "_of_text"
+    while of_text in map(str.lower, docs.columns):
+        of_text += "_"
+    marked = docs.withColumn(of_text, F.sha2(normalised(F.col("text")).cast("binary"), 256))
+    same = lambda k: (marked[of_text] == k["_sha"]) & marked["doc_id"].eqNullSafe(k["_id"])
     repeated = keys.filter("_kept")
     once = marked.join(keys, same(keys), "left_anti")
-    first = marked.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "_of_text"])
+    first = marked.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", of_text])
     return once.unionAll(first).select(*docs.columns)

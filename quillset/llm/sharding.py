@@ -99,9 +99,11 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
 def shard_documents(docs: DataFrame, shards: int = 24, slots: int = 4096, map_path: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot (the row's number in its shard), grown_shard, virtual_slot, map_version.
 
-    The map is read from ``map_path``; without one it is derived from the bytes of these rows and stored as version 1.
+    The map is read from ``map_path``, and with it the number of slots; without one it is derived from the bytes of these rows and stored as version 1.
     """
     spark = docs.sparkSession
+    if map_path is not None:
+        slots = load_map(spark, map_path).count()
     rows = slotted(docs, slots)
     if map_path is None:
         map_path = Scratch(spark, "shards").path("slot-map")

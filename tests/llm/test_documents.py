@@ -317,3 +317,25 @@ def test_toxicity_learns_from_all_but_copies(spark):
     sample = spark.createDataFrame(rows, "doc_id long, toxic int, text string")
     kept = {(r.doc_id, r.toxic) for r in toxicity._distinct_contents(sample).collect()}
     assert kept == {(i, m) for i, m in enumerate(marks)} | {(3000 + i, 1 - marks[i]) for i in range(10)}
+
+
+def test_stages_keep_columns_whose_names_clash(spark):
+    import corpus_pipeline
+
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    extra = {name: F.col("doc_id") * 2 + i for i, name in enumerate(("score", "rate", "n_hits", "n_words", "_of_text", "_sha"))}
+    more = docs.withColumns(extra)
+    for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.drop_copies):
+        got = stage(spark, more, sf_dir)
+        assert got.columns == more.columns
+        assert got.filter(" OR ".join(f"`{n}` <> doc_id * 2 + {i}" for i, n in enumerate(extra))).count() == 0
+        assert sorted(r[0] for r in got.select("doc_id").collect()) == sorted(r[0] for r in stage(spark, docs, sf_dir).select("doc_id").collect())
+
+
+def test_a_stored_map_brings_its_number_of_slots(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(300)], "doc_id long, text string")
+    path = str(tmp_path / "map")
+    sharding.save_map(sharding.first_map(sharding.slot_bytes(sharding.slotted(docs, 64), 64), 5), path)
+    got = sharding.shard_documents(docs, shards=5, slots=128, map_path=path)
+    assert got.count() == 300 and got.agg(F.max("virtual_slot")).first()[0] < 64
