@@ -17,8 +17,11 @@ TOXIC_AT, NEAR_PERCENT = 0.7, 80
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below ``TOXIC_AT`` by a lexicon learned from the labels beside the corpus."""
     lexicon = toxicity.learn_lexicon(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), predicted_at=TOXIC_AT)
-    scored = toxicity.score_documents(docs, lexicon, tuple(docs.columns))
-    return scored.filter(F.col("score") < TOXIC_AT).select(*docs.columns)
+    # Columns are numbered on the way, so that none of theirs can clash with those of the score.
+    numbers = [f"c{i}" for i in range(len(docs.columns))]
+    texts = docs.toDF(*numbers).withColumn("text", F.col(numbers[docs.columns.index("text")]))
+    clean = toxicity.score_documents(texts, lexicon, tuple(numbers)).filter(F.col("score") < TOXIC_AT)
+    return clean.select(*[F.col(n).alias(c) for n, c in zip(numbers, docs.columns, strict=True)])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
