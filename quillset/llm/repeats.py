@@ -396,9 +396,9 @@ def without_repeats(docs: DataFrame, length: int = 200, slice_bytes: int = SLICE
     scratch = Scratch(docs.sparkSession, "repeats")
     texts, buckets = _dealt(docs, scratch)
     found: list[DataFrame] = []
-    scratch.settle()
+    scratch.settle(4, 1.5)
     for name, rows_of in (("phrases", _phrase_rows), ("stretches", _stretch_rows), ("suffixes", _suffix_rows)):
         found.append(_repeated(_step(_with_codes(texts, found, buckets), rows_of, length, slice_bytes), scratch, name, buckets, name == "stretches"))
-        scratch.settle()
+        scratch.settle(4, 1.5)
     scratch.forget("stretches-named")
     return _cut(_with_codes(texts, found, buckets, True), length, slice_bytes)
