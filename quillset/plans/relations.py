@@ -52,7 +52,7 @@ def conv_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Words put before derived questions so that every rule about Chinese wording is exercised on the given rows.
 HAN_PREFIXES = ("请提取", "如何设置模型", "怎样配置模型的步骤", "这个", "为什么", "列出方法", "分析影响", "请问流程是", "", "上述内容")
-HAN_ANSWERS = ("详见文档", "打开配置页填写密钥", "略", "支持导出格式和审核流程", "")
+HAN_ANSWERS = ("详见文档", "先登录后台再保存参数", "略", "可以选导出格式并逐条核对", "")
 
 
 def _pick(words: tuple[str, ...], index: Column) -> Column:
