@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
+from quillset.operators.chunking import MAX_CHARS, OVERLAP_CHARS, chunk_documents
+
 # Limits and sampling settings per request kind.
 SINGLE_TEXT_CHARS = 80_000
 SINGLE_TEMPERATURE, CHUNK_TEMPERATURE = 0.3, 0.2
@@ -81,48 +83,81 @@ def _request(system: Column, user: Column, temperature: float, max_tokens: int |
     )
 
 
-def _document_user(lead: Column) -> Column:
-    """Name, type and length of the document and its text, cut with a notice when too long for one request."""
-    text, kind = F.col("text"), file_type_name(F.col("file_type"))
-    notice = F.when(
-        F.length(text) > SINGLE_TEXT_CHARS, F.lit(f"Note: only the first {SINGLE_TEXT_CHARS} characters are shown.\n")
+def document_parts(docs: DataFrame, limit: int = SINGLE_TEXT_CHARS, max_chars: int = MAX_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
+    """Documents as what one request can hold: those of at most ``limit`` characters whole, longer ones as their chunks.
+
+    Adds ``part_no``, ``part_total`` and ``heading`` (1, 1 and null for a whole document); ``text`` becomes the part's text. Nothing
+    is cut off: the chunks of a document cover it. A null text gives one part without text.
+    """
+    columns = docs.columns
+    # Long texts only are looked into; the other branch keeps its rows as they are, so neither side shuffles.
+    long = docs.filter(F.length("text") > limit)
+    keys = [c for c in columns if c != "text"]
+    chunks = chunk_documents(long, *keys, max_chars=max_chars, overlap_chars=overlap_chars)
+    parts = chunks.select(*columns, F.col("chunk_index").alias("part_no"), F.col("chunk_total").alias("part_total"), "heading")
+    one = F.lit(1).cast("bigint")
+    whole = docs.filter(F.coalesce(F.length("text") <= limit, F.lit(True))).withColumns(
+        {"part_no": one, "part_total": one, "heading": F.lit(None).cast("string")}
+    )
+    return whole.unionByName(parts)
+
+
+def _part_user(lead: Column) -> Column:
+    """Name, type and length of the document, which part of it follows when it has several, and that part's text."""
+    part = F.when(
+        F.col("part_total") > 1,
+        F.concat(
+            F.lit("Part: "),
+            F.col("part_no").cast("string"),
+            F.lit("/"),
+            F.col("part_total").cast("string"),
+            F.lit("\nHeading: "),
+            F.coalesce(F.when(F.col("heading") != "", F.col("heading")), F.lit(NO_HEADING)),
+            F.lit("\n"),
+        ),
     ).otherwise("")
     return F.concat(
         lead,
         F.lit("Name: "),
         F.col("source_name"),
         F.lit("\nType: "),
-        kind,
+        file_type_name(F.col("file_type")),
         F.lit("\nCharacters: "),
         F.col("char_count").cast("string"),
         F.lit("\n"),
-        notice,
+        part,
         F.lit("\n<source>\n"),
-        F.substring(text, 1, SINGLE_TEXT_CHARS),
+        F.coalesce("text", F.lit("")),
         F.lit("\n</source>"),
     )
 
 
-def single_requests(docs: DataFrame, templates: DataFrame | None = None, template_id: str = "default") -> DataFrame:
-    """One request per document with the system prompt of the chosen template."""
+def single_requests(
+    docs: DataFrame, templates: DataFrame | None = None, template_id: str = "default", limit: int = SINGLE_TEXT_CHARS
+) -> DataFrame:
+    """A request per document with the system prompt of the chosen template; documents over ``limit`` characters get one per part."""
     lead = F.lit("Build the dataset from this document.\n")
+    parts = document_parts(docs, limit)
     if templates is None:
-        return docs.withColumn("request", _request(F.lit(DOCUMENT_SYSTEM), _document_user(lead), SINGLE_TEMPERATURE, None))
+        return parts.withColumn("request", _request(F.lit(DOCUMENT_SYSTEM), _part_user(lead), SINGLE_TEMPERATURE, None))
     # Exactly one template row is selected, so the broadcast side is a single row.
     chosen = F.broadcast(templates.filter(F.col("template_id") == template_id).limit(1).select("template_id", "system_prompt"))
-    joined = docs.withColumn("template_id", F.lit(template_id)).join(chosen, "template_id")
-    request = _request(F.col("system_prompt"), _document_user(lead), SINGLE_TEMPERATURE, None)
+    joined = parts.withColumn("template_id", F.lit(template_id)).join(chosen, "template_id")
+    request = _request(F.col("system_prompt"), _part_user(lead), SINGLE_TEMPERATURE, None)
     return joined.withColumn("request", request).drop("system_prompt")
 
 
-def deep_requests(docs: DataFrame, round_no: Column, existing_count: Column) -> DataFrame:
-    """Requests of a multi-round run: the first round asks for everything, later ones for what is still missing."""
+def deep_requests(parts: DataFrame, round_no: Column, existing_count: Column) -> DataFrame:
+    """Requests of a multi-round run, one per part of a document (``document_parts``).
+
+    The first round asks for everything, later ones for what is still missing.
+    """
     more = F.concat(
         F.lit("Round "), round_no.cast("string"), F.lit(": "), existing_count.cast("string"), F.lit(" items exist already; find different ones.\n")
     )
     lead = F.when(round_no <= 1, F.lit("Build the dataset from this document.\n")).otherwise(more)
     system = F.when(round_no <= 1, F.lit(DOCUMENT_SYSTEM)).otherwise(F.lit(CONTINUE_SYSTEM))
-    return docs.withColumn("request", _request(system, _document_user(lead), SINGLE_TEMPERATURE, None))
+    return parts.withColumn("request", _request(system, _part_user(lead), SINGLE_TEMPERATURE, None))
 
 
 def chunk_requests(chunks: DataFrame, temperature: float = CHUNK_TEMPERATURE) -> DataFrame:
@@ -143,15 +178,17 @@ def chunk_requests(chunks: DataFrame, temperature: float = CHUNK_TEMPERATURE) ->
     return chunks.withColumn("request", _request(F.lit(CHUNK_SYSTEM), user, temperature, CHUNK_MAX_TOKENS))
 
 
-def continuation_requests(chunks: DataFrame, items: DataFrame, *keys: str, temperature: float = CHUNK_TEMPERATURE) -> DataFrame:
-    """Requests for chunks whose answer was cut off, listing the last 80 questions already received.
+def continuation_requests(
+    chunks: DataFrame, items: DataFrame, *keys: str, temperature: float = CHUNK_TEMPERATURE, listed: int = CONTINUATION_QUESTIONS
+) -> DataFrame:
+    """Requests for chunks whose answer was cut off, listing the last ``listed`` questions already received.
 
-    ``items`` has the keys, ``item_no`` and ``instruction``; only the last 80 rows per chunk are collected.
+    ``items`` has the keys, ``item_no`` and ``instruction``; only the listed rows per chunk are collected.
     """
     from pyspark.sql import Window
 
     newest = Window.partitionBy(*keys).orderBy(F.desc("item_no"))
-    last = items.withColumn("__n", F.row_number().over(newest)).filter(F.col("__n") <= CONTINUATION_QUESTIONS)
+    last = items.withColumn("__n", F.row_number().over(newest)).filter(F.col("__n") <= listed)
     asked = last.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("item_no", "instruction"))).alias("__asked"))
     user = F.concat(
         F.lit("Document: "),

@@ -129,14 +129,21 @@ pages_text AS (SELECT page_id, {trim(sub("array_to_string(list_transform(string_
 
 DOC_TXT = "doc_txt AS (SELECT doc_id, source, n_chars, source || '/' || doc_id || '.txt' AS source_name, 'txt' AS file_type, text FROM documents)"
 
-DOC_QA = f"""{DOC_TXT}, doc_s AS (
-  SELECT *, list_filter(list_transform(regexp_split_to_array(text, '[.!?\\n]'), lambda s: {trim('s')}), lambda s: s <> '') AS s FROM doc_txt),
-doc_a AS (
-  SELECT *, coalesce(list_sort(list_transform(s[2:], lambda x, i: {{'k': -length(x), 'i': i, 's': x}}))[1].s, s[1]) AS a FROM doc_s WHERE len(s) > 0),
-doc_qa AS (
-  SELECT doc_id, 'd_' || doc_id AS document_id, source, source_name, file_type, s[1] AS instruction, '' AS input,
-    CASE doc_id % 3 WHEN 1 THEN replace(a, ' ', '  ') WHEN 2 THEN md5(a) ELSE a END AS output, text AS chunk_text
-  FROM doc_a)"""
+
+
+def qa_of(relation: str, out: str, variant: str) -> str:
+    """CTE adding question and answer to a relation with ``text``."""
+    return f"""{out}_s AS (
+  SELECT *, list_filter(list_transform(regexp_split_to_array(text, '[.!?\\n]'), lambda s: {trim('s')}), lambda s: s <> '') AS s FROM {relation}),
+{out}_a AS (
+  SELECT *, coalesce(list_sort(list_transform(s[2:], lambda x, i: {{'k': -length(x), 'i': i, 's': x}}))[1].s, s[1]) AS a FROM {out}_s WHERE len(s) > 0),
+{out} AS (
+  SELECT * EXCLUDE (s, a, text), s[1] AS instruction, '' AS input,
+    CASE {variant} % 3 WHEN 1 THEN replace(a, ' ', '  ') WHEN 2 THEN md5(a) ELSE a END AS output, text AS chunk_text
+  FROM {out}_a)"""
+
+
+DOC_QA = f"""{DOC_TXT}, {qa_of("(SELECT *, 'd_' || doc_id AS document_id FROM doc_txt)", 'doc_qa', 'doc_id')}"""
 
 
 def evidence_of(relation: str, out: str = "located") -> str:
@@ -484,14 +491,21 @@ def fingerprint(max_chars: int = 6000) -> str:
     return f"sha256(text || '{{\"fileType\":\"txt\",\"maxCharsPerChunk\":{max_chars},\"chunkOverlap\":240,\"schemaVersion\":1}}')"
 
 
-def document_user(lead: str) -> str:
+def part_user(lead: str) -> str:
     return (
-        f"{lead} || 'Name: ' || source_name || {lit(chr(10))} || 'Type: ' || {lit(rq.FILE_TYPE_NAMES['txt'])} || {lit(chr(10))} || 'Characters: ' || length(text) || {lit(chr(10))} "
-        f"|| CASE WHEN length(text) > 80000 THEN {lit('Note: only the first 80000 characters are shown.' + chr(10))} ELSE '' END "
-        f"|| {lit(chr(10) + '<source>' + chr(10))} || substr(text, 1, 80000) || {lit(chr(10) + '</source>')}"
+        f"{lead} || 'Name: ' || source_name || {lit(chr(10))} || 'Type: ' || {lit(rq.FILE_TYPE_NAMES['txt'])} || {lit(chr(10))} || 'Characters: ' || char_count || {lit(chr(10))} "
+        f"|| CASE WHEN part_total > 1 THEN 'Part: ' || part_no || '/' || part_total || chr(10) || 'Heading: ' || coalesce(nullif(heading, ''), '(none)') || chr(10) ELSE '' END "
+        f"|| {lit(chr(10) + '<source>' + chr(10))} || text || {lit(chr(10) + '</source>')}"
     )
 
 
+def parts_of(relation: str, key: str, limit: int) -> str:
+    """CTE ``part``: rows of a relation with ``text``, whole up to ``limit`` characters, else as their chunks."""
+    return f"""long_docs AS (SELECT * FROM {relation} WHERE length(text) > {limit}), {sections_of('long_docs', key)}, {chunks_of(key, 6000, 240)},
+part AS (SELECT d.* EXCLUDE (text), length(d.text) AS char_count, 1::BIGINT AS part_no, 1::BIGINT AS part_total, NULL AS heading, d.text FROM {relation} d WHERE length(d.text) <= {limit}
+  UNION ALL SELECT d.* EXCLUDE (text), length(d.text), c.chunk_index, c.chunk_total, c.heading, c.text FROM long_docs d JOIN chunk c USING ({key}))"""
+
+
 FILE_STATES = """states AS (
   SELECT file_name, CASE WHEN min(conv_id) // 16 % 5 = 0 THEN 'error' ELSE 'done' END AS status FROM recs GROUP BY 1),
 breakdown AS (
@@ -527,9 +541,8 @@ ORACLES: dict[str, str] = {
         SELECT doc_id AS document_id, chunk_id, chunk_index, chunk_total, length(text) % 5 AS new_items,
           (sum(length(text) % 5) OVER (PARTITION BY doc_id ORDER BY chunk_index))::BIGINT AS total_items, chunk_index AS done FROM chunk""",
     "evidence_spans": f"WITH {DOC_QA}, {evidence_of('doc_qa')} SELECT doc_id, e_text AS evidence_text, e_start AS start_offset, e_end AS end_offset, e_ok AS available FROM located",
-    "evidence_binding": f"""WITH RECURSIVE {DOC_QA}, {sections_of('doc_txt', 'doc_id')}, {chunks_of('doc_id', 1500, 240)},
-        pairs AS (SELECT q.document_id, q.source_name, q.output, c.chunk_id, c.start_offset, c.text AS chunk_text FROM doc_qa q JOIN chunk c ON c.doc_id = q.doc_id AND c.chunk_id = 'chunk_001'),
-        {evidence_of('pairs')}
+    "evidence_binding": f"""WITH RECURSIVE {DOC_SEC}, {chunks_of('doc_id', 1500, 240)}, {qa_of('chunk', 'chunk_qa', 'chunk_index')},
+        pairs AS (SELECT 'd_' || doc_id AS document_id, d.source_name, q.* FROM chunk_qa q JOIN doc_txt d USING (doc_id)), {evidence_of('pairs')}
         SELECT document_id, chunk_id, source_name AS file_name, start_offset + e_start AS start_offset, start_offset + e_end AS end_offset, e_text AS evidence_text, e_ok AS available FROM located""",
     "quality_scores": f"WITH {DOC_RECORDS} SELECT doc_id, {SCORES}, array_to_string(flags, '|') AS flags FROM drecs",
     "quality_without_evidence": f"WITH {conv_records()} SELECT conv_id, turn, {SCORES}, array_to_string(flags, '|') AS flags FROM recs",
@@ -597,16 +610,18 @@ ORACLES: dict[str, str] = {
     "chunk_requests": f"""WITH RECURSIVE {DOC_SEC}, {chunks_of('doc_id', 6000, 240)} SELECT c.doc_id, c.chunk_id, {lit(rq.CHUNK_SYSTEM)} AS system,
           'Document: ' || d.source_name || chr(10) || 'Part: ' || chunk_index || '/' || chunk_total || chr(10) || 'Heading: ' || coalesce(nullif(heading, ''), '(none)') || {lit(chr(10) * 2 + '<source>' + chr(10))} || c.text || {lit(chr(10) + '</source>')} AS user,
           16384::BIGINT AS max_tokens FROM chunk c JOIN doc_txt d USING (doc_id)""",
-    "continuations": f"""WITH RECURSIVE {DOC_QA}, {sections_of('doc_txt', 'doc_id')}, {chunks_of('doc_id', 6000, 240)},
-        asked AS (SELECT doc_id, regexp_split_to_array(chunk_text, '[.!?\\n]') AS a FROM doc_qa)
+    "continuations": f"""WITH RECURSIVE {DOC_SEC}, {chunks_of('doc_id', 6000, 240)},
+        asked AS (SELECT *, regexp_split_to_array(text, '[.!?\\n]') AS a FROM chunk)
         SELECT c.doc_id, c.chunk_id, {lit(rq.CONTINUE_SYSTEM)} AS system,
           'Document: ' || d.source_name || chr(10) || 'Heading: ' || coalesce(nullif(heading, ''), '(none)') || chr(10) || 'Questions so far:' || chr(10) ||
           array_to_string(a[greatest(1, len(a) - 79):], chr(10)) || {lit(chr(10) * 2 + '<source>' + chr(10))} || c.text || {lit(chr(10) + '</source>')} AS user,
-          8192::BIGINT AS max_tokens FROM chunk c JOIN doc_txt d USING (doc_id) JOIN asked USING (doc_id) WHERE chunk_id = 'chunk_001'""",
-    "single_requests": f"WITH {DOC_TXT} SELECT doc_id, {lit(rq.SUMMARY_SYSTEM)} AS system, {document_user(lit('Build the dataset from this document.' + chr(10)))} AS user, NULL::BIGINT AS max_tokens FROM doc_txt",
-    "deep_requests": f"""WITH {DOC_TXT} SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN {lit(rq.DOCUMENT_SYSTEM)} ELSE {lit(rq.CONTINUE_SYSTEM)} END AS system,
-          {document_user("(CASE WHEN doc_id % 3 = 0 THEN " + lit('Build the dataset from this document.' + chr(10)) + " ELSE 'Round ' || (doc_id % 3 + 1) || ': ' || (doc_id % 17) || " + lit(' items exist already; find different ones.' + chr(10)) + " END)")} AS user,
-          NULL::BIGINT AS max_tokens FROM doc_txt""",
+          8192::BIGINT AS max_tokens FROM asked c JOIN doc_txt d USING (doc_id)""",
+    "single_requests": f"""WITH RECURSIVE {DOC_TXT}, {parts_of('doc_txt', 'doc_id', 6000)}
+        SELECT doc_id, part_no, part_total, {lit(rq.SUMMARY_SYSTEM)} AS system, {part_user(lit('Build the dataset from this document.' + chr(10)))} AS user, NULL::BIGINT AS max_tokens FROM part""",
+    "deep_requests": f"""WITH RECURSIVE {DOC_TXT}, {parts_of('doc_txt', 'doc_id', 6000)}
+        SELECT doc_id, part_no, part_total, CASE WHEN doc_id % 3 = 0 THEN {lit(rq.DOCUMENT_SYSTEM)} ELSE {lit(rq.CONTINUE_SYSTEM)} END AS system,
+          {part_user("(CASE WHEN doc_id % 3 = 0 THEN " + lit('Build the dataset from this document.' + chr(10)) + " ELSE 'Round ' || (doc_id % 3 + 1) || ': ' || (doc_id % 17) || " + lit(' items exist already; find different ones.' + chr(10)) + " END)")} AS user,
+          NULL::BIGINT AS max_tokens FROM part""",
     "legacy_requests": f"""WITH RECURSIVE {DOC_TXT}, {short_chunks_of('doc_txt', 'doc_id', 6000, 200)} SELECT c.doc_id, c.chunk_id, {lit(rq.EXHAUSTIVE_SYSTEM)} AS system,
           'Document: ' || d.source_name || chr(10) || 'Type: ' || {lit(rq.FILE_TYPE_NAMES['txt'])} || chr(10) || 'Characters: ' || length(d.text) || chr(10) || 'Part: ' || chunk_index || '/' || chunk_total ||
           CASE WHEN coalesce(heading, '') <> '' THEN chr(10) || 'Heading: ' || heading ELSE '' END || {lit(chr(10) * 2 + '<source>' + chr(10))} || c.text || {lit(chr(10) + '</source>')} AS user,

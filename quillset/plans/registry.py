@@ -133,8 +133,7 @@ def evidence_binding(spark, sf_dir):
     docs = r.doc_txt(spark, sf_dir).withColumn("document_id", F.concat(F.lit("d_"), F.col("doc_id").cast("string")))
     keys = ("document_id", "source_name", "file_type")
     parts = chunk_documents(docs, *keys, max_chars=1500)
-    items = r.doc_qa(spark, sf_dir).select("document_id", F.lit("chunk_001").alias("chunk_id"), "instruction", "output")
-    bound = bind_to_chunks(items, parts, "document_id", "chunk_id")
+    bound = bind_to_chunks(r.chunk_qa(parts, "document_id"), parts, "document_id", "chunk_id")
     return bound.select(
         "document_id",
         "chunk_id",
@@ -446,21 +445,25 @@ def chunk_requests(spark, sf_dir):
 @query
 def continuations(spark, sf_dir):
     parts = _document_chunks(spark, sf_dir)
-    asked = r.doc_qa(spark, sf_dir).select("doc_id", F.posexplode(F.split("chunk_text", "[.!?\\n]")).alias("item_no", "instruction"))
-    first = asked.withColumn("chunk_id", F.lit("chunk_001"))
-    return _flat_request(requests.continuation_requests(parts, first, "doc_id", "chunk_id"), "doc_id", "chunk_id")
+    asked = parts.select("doc_id", "chunk_id", F.posexplode(F.split("text", "[.!?\\n]")).alias("item_no", "instruction"))
+    return _flat_request(requests.continuation_requests(parts, asked, "doc_id", "chunk_id"), "doc_id", "chunk_id")
+
+
+# Longer documents go out in parts; a limit below that of one request lets many of the given rows do so.
+PARTS_FROM = 6000
 
 
 @query
 def single_requests(spark, sf_dir):
     docs = r.doc_txt(spark, sf_dir).withColumn("char_count", F.length("text").cast("bigint"))
-    return _flat_request(requests.single_requests(docs, requests.all_templates(spark), "summary"), "doc_id")
+    return _flat_request(requests.single_requests(docs, requests.all_templates(spark), "summary", PARTS_FROM), "doc_id", "part_no", "part_total")
 
 
 @query
 def deep_requests(spark, sf_dir):
     docs = r.doc_txt(spark, sf_dir).withColumn("char_count", F.length("text").cast("bigint"))
-    return _flat_request(requests.deep_requests(docs, F.col("doc_id") % 3 + 1, F.col("doc_id") % 17), "doc_id")
+    parts = requests.document_parts(docs, PARTS_FROM)
+    return _flat_request(requests.deep_requests(parts, F.col("doc_id") % 3 + 1, F.col("doc_id") % 17), "doc_id", "part_no", "part_total")
 
 
 @query

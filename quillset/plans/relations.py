@@ -72,32 +72,45 @@ def han_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def doc_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One pair per document: first sentence as question, longest other sentence as answer.
+def _question_and_answer(texts: DataFrame, variant: Column) -> DataFrame:
+    """Add instruction (first sentence of ``text``), input and output (longest other sentence); rows without a sentence go.
 
-    Every third answer is spaced out so it no longer occurs verbatim, every third is unrelated to the text.
+    Answers of variant 1 are spaced out so they no longer occur verbatim, those of variant 2 are unrelated to the text.
     """
     sentences = F.filter(F.transform(F.split("text", "[.!?\\n]", -1), js_trim), lambda s: s != "")
-    docs = doc_txt(spark, sf_dir).withColumn("__s", sentences).filter(F.size("__s") > 0)
+    cut = texts.withColumn("__s", sentences).filter(F.size("__s") > 0)
     others = F.slice("__s", 2, F.greatest(F.size("__s"), F.lit(1)))
     longest = F.array_sort(F.transform(others, lambda s, i: F.struct((-F.length(s)).alias("k"), i.alias("i"), s.alias("s"))))
     answer = F.coalesce(F.try_element_at(longest, F.lit(1))["s"], F.element_at("__s", 1))
-    return docs.withColumn("__answer", answer).select(
+    return cut.withColumn("__answer", answer).withColumns(
+        {
+            "instruction": F.element_at("__s", 1),
+            "input": F.lit(""),
+            "output": F.when(variant == 1, F.regexp_replace("__answer", " ", "  ")).when(variant == 2, F.md5("__answer")).otherwise(F.col("__answer")),
+        }
+    ).drop("__s", "__answer")
+
+
+def doc_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pair per document: every third answer is spaced out, every third unrelated."""
+    return _question_and_answer(doc_txt(spark, sf_dir), F.col("doc_id") % 3).select(
         "doc_id",
         F.concat(F.lit("d_"), F.col("doc_id").cast("string")).alias("document_id"),
         "source",
         "source_name",
         "file_type",
-        F.element_at("__s", 1).alias("instruction"),
-        F.lit("").alias("input"),
-        F.when(F.col("doc_id") % 3 == 1, F.regexp_replace("__answer", " ", "  "))
-        .when(F.col("doc_id") % 3 == 2, F.md5("__answer"))
-        .otherwise(F.col("__answer"))
-        .alias("output"),
+        "instruction",
+        "input",
+        "output",
         F.col("text").alias("chunk_text"),
     )
 
 
+def chunk_qa(chunks: DataFrame, *keys: str) -> DataFrame:
+    """One pair per chunk, from the chunk's own text; the variant of the answer follows the chunk's number."""
+    return _question_and_answer(chunks, F.col("chunk_index") % 3).select(*keys, "chunk_id", "instruction", "input", "output")
+
+
 def status_from_labels(quality: Column, toxic: Column) -> Column:
     return (
         F.when(toxic == 1, "rejected").when(quality == 1, "accepted").when(quality == 0, "needs_revision").otherwise("pending")
