@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -190,6 +190,17 @@ def run_totals(run: ChunkedRun, records: DataFrame, kept: DataFrame) -> DataFram
     return filled.withColumn("dedup_removed", F.col("total_before_dedup") - F.col("total_after_dedup"))
 
 
+def _session_answers(calls: DataFrame) -> DataFrame:
+    """The calls of each session's round as one answer: failed when any failed, finished when all parts are, tokens added up."""
+    finished = F.coalesce("finish_reason", F.lit("")) == "stop"
+    return calls.groupBy("session_id").agg(
+        F.min("error").alias("error"),
+        F.when(F.bool_and(finished), F.lit("stop")).otherwise(F.min(F.when(~finished, F.col("finish_reason")))).alias("finish_reason"),
+        F.sum("prompt_tokens").alias("prompt_tokens"),
+        F.sum("completion_tokens").alias("completion_tokens"),
+    )
+
+
 def deep_rounds(
     docs: DataFrame,
     generator: Generator,
@@ -197,13 +208,21 @@ def deep_rounds(
     threshold: float = dedup.ROUND_THRESHOLD,
     history: DataFrame | None = None,
     compare_with: str = "previous",
+    limit: int = requests.SINGLE_TEXT_CHARS,
 ) -> tuple[DataFrame, DataFrame]:
     """Repeat generation per session until it is exhausted; all active sessions share each round's job.
 
-    ``docs`` has session_id and the document columns; ``history`` resumes from (session_id, round, item_no, instruction, input, output).
-    A session stops when a round adds nothing, when the generator says it is finished, when a round from the second on
-    is on average more similar than ``threshold`` to the previous one (``compare_with="self"`` compares it with itself
-    when the previous round was not loaded from history), or after ``max_rounds``. Returns (items, rounds).
+    ``docs`` has a unique session_id and the document columns; ``history`` resumes from (session_id, round, item_no, instruction, input, output).
+    A document over ``limit`` characters is asked about part by part in every round. Returns (items, rounds); ``rounds`` says in ``stop_reason``
+    why a session ended with that round, null where it went on:
+
+    * ``failed``: a call failed, ``error`` holds its message. Nothing of that round is kept, and the session stays open: a later run
+      with the items so far as ``history`` begins with the same round.
+    * ``exhausted``: the round added nothing.
+    * ``finished``: the generator said so for every part.
+    * ``repeated``: a round from the second on is on average more similar than ``threshold`` to the previous one
+      (``compare_with="self"`` compares it with itself when the previous round was not loaded from history).
+    * ``round_limit``: it was round ``max_rounds``.
     """
     columns = ["session_id", "round", "item_no", "instruction", "input", "output"]
     items = docs.select("session_id").limit(0).selectExpr(
@@ -212,41 +231,60 @@ def deep_rounds(
     if history is not None:
         items = items.unionByName(history.select(*columns))
     items = checkpointed(items)
-    past = checkpointed(items.groupBy("session_id").agg(F.max("round").alias("last"), F.count("*").alias("n")))
+    past = items.groupBy("session_id").agg(F.max("round").alias("last"), F.count("*").alias("n"))
+    # Texts are cut into parts once; from round to round only (session, round, number of items) changes.
+    parts = checkpointed(requests.document_parts(docs, limit))
     active = checkpointed(
-        docs.join(past, "session_id", "left")
-        .withColumns({"round": F.coalesce("last", F.lit(0)) + 1, "n": F.coalesce("n", F.lit(0))})
-        .drop("last")
+        docs.select("session_id")
+        .join(past, "session_id", "left")
+        .select("session_id", (F.coalesce("last", F.lit(0)) + 1).alias("round"), F.coalesce("n", F.lit(0)).alias("n"))
         .filter(F.col("round") <= max_rounds)
     )
     resumed = items
     rounds = None
+    in_answer = Window.partitionBy("session_id", "round").orderBy("part_no", "item_no")
     while not active.isEmpty():
-        asked = requests.deep_requests(active, F.col("round"), F.col("n"))
-        answered = checkpointed(run_generator(asked, generator, "session_id", "round"))
-        found = responses.valid_items(responses.parse_items(answered, "session_id", "round")).drop("strategy")
-        new = checkpointed(dedup.drop_known(found, items, "session_id", threshold=threshold))
-        log = active.select("session_id", "round").join(
-            new.groupBy("session_id").agg(F.count("*").alias("valid_count")), "session_id", "left"
-        ).withColumn("valid_count", F.coalesce("valid_count", F.lit(0)))
-        log = log.join(answered.select("session_id", "finish_reason", "prompt_tokens", "completion_tokens"), "session_id")
+        asked = requests.deep_requests(parts.join(active, "session_id"), F.col("round"), F.col("n"))
+        calls = checkpointed(run_generator(asked, generator, "session_id", "round", "part_no"))
+        answered = checkpointed(_session_answers(calls))
+        whole = calls.join(answered.filter("error IS NOT NULL").select("session_id"), "session_id", "left_anti")
+        found = responses.valid_items(responses.parse_items(whole, "session_id", "round", "part_no")).drop("strategy")
+        numbered = found.withColumn("item_no", F.row_number().over(in_answer).cast("bigint")).drop("part_no")
+        new = checkpointed(dedup.drop_known(numbered, items, "session_id", threshold=threshold))
+        log = active.join(new.groupBy("session_id").agg(F.count("*").alias("valid_count")), "session_id", "left").join(answered, "session_id", "left")
+        log = log.withColumn("valid_count", F.coalesce("valid_count", F.lit(0)))
         before = active.select("session_id", (F.col("round") - 1).alias("round"))
         previous = (resumed if compare_with == "self" else items).join(before, ["session_id", "round"])
         if compare_with == "self":
             own = new.join(previous.select("session_id").distinct(), "session_id", "left_anti")
             previous = previous.select(*columns).unionByName(own.select(*columns))
         similar = dedup.average_similarity(new, previous, "session_id")
-        log = checkpointed(log.join(similar, "session_id", "left"))
+        repeated = (F.col("round") > 1) & (F.coalesce("avg_similarity", F.lit(0.0)) > threshold)
+        reason = (
+            F.when(F.col("error").isNotNull(), "failed")
+            .when(F.col("valid_count") == 0, "exhausted")
+            .when(F.col("finish_reason") == "stop", "finished")
+            .when(repeated, "repeated")
+            .when(F.col("round") >= max_rounds, "round_limit")
+        )
+        log = checkpointed(
+            log.join(similar, "session_id", "left").select(
+                "session_id",
+                "round",
+                "valid_count",
+                (F.col("n") + F.col("valid_count")).alias("total_items"),
+                F.when(F.col("error").isNull(), F.col("finish_reason")).alias("finish_reason"),
+                "prompt_tokens",
+                "completion_tokens",
+                "avg_similarity",
+                "error",
+                reason.alias("stop_reason"),
+            )
+        )
         rounds = log if rounds is None else rounds.unionByName(log)
         items = checkpointed(items.unionByName(new.select(*columns)))
-        repeated = (F.col("round") > 1) & (F.coalesce("avg_similarity", F.lit(0.0)) > threshold)
-        goes_on = (F.col("valid_count") > 0) & (F.coalesce("finish_reason", F.lit("")) != "stop") & ~repeated
-        goes_on = goes_on & (F.col("round") < max_rounds)
-        keep = log.filter(goes_on).select("session_id", "valid_count")
         active = checkpointed(
-            active.join(keep, "session_id")
-            .withColumns({"round": F.col("round") + 1, "n": F.col("n") + F.col("valid_count")})
-            .drop("valid_count")
+            log.filter("stop_reason IS NULL").select("session_id", (F.col("round") + 1).alias("round"), F.col("total_items").alias("n"))
         )
     return items, rounds
 

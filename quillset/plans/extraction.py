@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
 import uuid
 
 import pandas as pd
@@ -52,6 +55,36 @@ def best_page_records(spark: SparkSession, sf_dir: str, limit: int = 20) -> Data
     )
 
 
+# Every page longer than this is asked about in parts.
+DEEP_PARTS_FROM = 600
+
+
+def moody_generator(batch: pd.DataFrame) -> list[tuple]:
+    """A stand-in that ends its sessions in every way there is, by the page's number modulo 5.
+
+    0: finished at once. 1: asks the same again. 2: two new questions in each round. 3: down in the second round. 4: one new question per part.
+    """
+    rows = []
+    for user in batch["user"]:
+        source = user.split("<source>\n", 1)[1].rsplit("\n</source>", 1)[0]
+        mood = int(re.search(r"Name: page_(\d+)", user).group(1)) % 5
+        number = int(user.split(":")[0].split()[1]) if user.startswith("Round ") else 1
+        if mood == 3 and number == 2:
+            rows.append((None, None, None, None, "unavailable"))
+            continue
+        seeds = [source] if mood == 1 else [f"{source}|{number}|{i}" for i in range(1, 3 if mood == 2 else 2)]
+        asked = [hashlib.md5(seed.encode()).hexdigest() for seed in seeds]
+        raw = json.dumps({"items": [{"instruction": q, "input": "", "output": f"answer to {q}"} for q in asked]})
+        rows.append((raw, "stop" if mood == 0 else "length", 1, len(asked), None))
+    return rows
+
+
+def moody_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounds of a deep run over the pages with ``moody_generator``."""
+    docs = page_documents(spark, sf_dir).withColumn("session_id", F.col("source_name"))
+    return generation.deep_rounds(docs, moody_generator, compare_with="self", limit=DEEP_PARTS_FROM)[1]
+
+
 class Interrupted(Exception):
     """Ends a run after a batch, as a lost driver would."""
 

@@ -673,7 +673,32 @@ ORACLES["best_page_records"] = f"""WITH RECURSIVE {PAGE_RECORDS}
   SELECT id, instruction, output, source_name AS file_name, heading, start_offset + e_start AS start_offset, start_offset + e_end AS end_offset, overall, task_type
   FROM kept ORDER BY overall DESC, id, pos LIMIT 20"""
 ORACLES["deep_rounds"] = f"""WITH {PAGE_DOCS}, {generated('page_docs', 'gen')}
-  SELECT source_name AS session_id, 1 AS round, 1::BIGINT AS valid_count, 'stop' AS finish_reason, 0.0::DOUBLE AS avg_similarity FROM gen"""
+  SELECT source_name AS session_id, 1 AS round, 1::BIGINT AS valid_count, 'stop' AS finish_reason, 'finished' AS stop_reason, 0.0::DOUBLE AS avg_similarity FROM gen"""
+# What the rounds of the stand-in with five moods must give: its questions are hashes of the part's text, so no two of them resemble each other.
+_MOODY = f"""{PAGE_DOCS}, {parts_of('page_docs', 'page_id', 600)},
+asked AS (SELECT page_id % 5 AS mood, source_name AS session_id, part_no, text, r::INTEGER AS round FROM part, range(1, 6) t(r)),
+item AS (SELECT session_id, round, md5(CASE WHEN mood = 1 THEN text ELSE text || '|' || round || '|' || i END) AS q
+  FROM asked, range(1, 3) u(i) WHERE (i = 1 OR mood = 2) AND NOT (round = 2 AND mood IN (1, 3))),
+grammed AS MATERIALIZED (SELECT session_id, round, q, {grams('q', 3)} AS g FROM item),
+alike AS (SELECT session_id, round, avg(CASE WHEN a.q = b.q THEN 1.0::DOUBLE ELSE {jaccard('a.g', 'b.g')} END) AS m FROM grammed a JOIN grammed b USING (session_id, round) GROUP BY 1, 2),
+called AS (SELECT session_id, round, mood, count(*) AS parts FROM asked GROUP BY 1, 2, 3),
+counted AS (
+  SELECT c.*, coalesce(n, 0) AS valid_count, m FROM called c LEFT JOIN (SELECT session_id, round, count(*) AS n FROM item GROUP BY 1, 2) USING (session_id, round) LEFT JOIN alike USING (session_id, round)),
+judged AS (
+  SELECT *, CASE WHEN mood = 3 AND round = 2 THEN 'failed' WHEN valid_count = 0 THEN 'exhausted' WHEN mood = 0 THEN 'finished' WHEN round > 1 AND m > 0.9 THEN 'repeated'
+    WHEN round = 5 THEN 'round_limit' END AS stop_reason FROM counted),
+logged AS (
+  SELECT session_id, round, valid_count, (sum(valid_count) OVER (PARTITION BY session_id ORDER BY round))::BIGINT AS total_items,
+    CASE WHEN stop_reason IS NULL OR stop_reason <> 'failed' THEN CASE mood WHEN 0 THEN 'stop' ELSE 'length' END END AS finish_reason,
+    CASE stop_reason WHEN 'failed' THEN 'unavailable' END AS error, stop_reason, round(m, 6) AS avg_similarity,
+    CASE WHEN stop_reason IS NULL OR stop_reason <> 'failed' THEN parts END AS prompt_tokens,
+    CASE WHEN stop_reason IS NULL OR stop_reason <> 'failed' THEN parts * CASE mood WHEN 2 THEN 2 ELSE 1 END END AS completion_tokens
+  FROM judged QUALIFY round <= min(CASE WHEN stop_reason IS NOT NULL THEN round END) OVER (PARTITION BY session_id))"""
+ORACLES["deep_stop_reasons"] = f"WITH RECURSIVE {_MOODY} SELECT * FROM logged"
+ORACLES["round_events"] = f"""WITH RECURSIVE {_MOODY}
+  SELECT 'round' AS type, session_id AS run_id, (2 * round - 1)::BIGINT AS seq, round::BIGINT AS round, valid_count AS new_items, total_items, finish_reason,
+    CASE stop_reason WHEN 'failed' THEN 'failed' ELSE 'completed' END AS status, error AS message FROM logged
+  UNION ALL SELECT 'done', session_id, (2 * round)::BIGINT, round::BIGINT, valid_count, total_items, finish_reason, stop_reason, NULL FROM logged WHERE stop_reason <> 'failed'"""
 
 _ESCAPED = lambda e: f"length(replace(replace({e}, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)))"
 _USER_LENGTH = (

@@ -564,7 +564,19 @@ def run_totals(spark, sf_dir):
 def deep_rounds(spark, sf_dir):
     docs = extraction.page_documents(spark, sf_dir).withColumn("session_id", F.col("source_name"))
     _, rounds = generation.deep_rounds(docs, generation.rule_based_generator)
-    return rounds.select("session_id", "round", "valid_count", "finish_reason", F.round("avg_similarity", 6).alias("avg_similarity"))
+    return rounds.select("session_id", "round", "valid_count", "finish_reason", "stop_reason", F.round("avg_similarity", 6).alias("avg_similarity"))
+
+
+@query
+def deep_stop_reasons(spark, sf_dir):
+    rounds = extraction.moody_rounds(spark, sf_dir)
+    counts = ("valid_count", "total_items", "prompt_tokens", "completion_tokens")
+    return rounds.select("session_id", "round", *counts, "finish_reason", "error", "stop_reason", F.round("avg_similarity", 6).alias("avg_similarity"))
+
+
+@query
+def round_events(spark, sf_dir):
+    return progress.round_events(extraction.moody_rounds(spark, sf_dir))
 
 
 @query

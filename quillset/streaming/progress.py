@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 CHUNK_EVENT = "type string, run_id string, seq bigint, chunk_id string, done bigint, total bigint, new_items bigint, total_items bigint, status string, message string"
-ROUND_EVENT = "type string, run_id string, seq bigint, round bigint, new_items bigint, total_items bigint, finish_reason string"
+ROUND_EVENT = "type string, run_id string, seq bigint, round bigint, new_items bigint, total_items bigint, finish_reason string, status string, message string"
 
 
 def chunk_events(progress: DataFrame) -> DataFrame:
@@ -27,15 +27,28 @@ def chunk_events(progress: DataFrame) -> DataFrame:
 
 
 def round_events(rounds: DataFrame) -> DataFrame:
-    """One event row per deep round."""
-    return rounds.select(
-        F.lit("round").alias("type"),
+    """Events of the rounds of ``deep_rounds``: one per round, ``completed`` or ``failed`` with its message, and a ``done`` after the last.
+
+    A session whose round failed stays open, so it has no ``done``. ``seq`` orders the events of a session, resumed runs included.
+    """
+    event = lambda type_, step, status, message: F.struct(
+        F.lit(type_).alias("type"), F.lit(step).alias("step"), status.alias("status"), message.alias("message")
+    )
+    failed = F.col("stop_reason") == "failed"
+    none = F.lit(None).cast("string")
+    of_round = event("round", 0, F.when(failed, "failed").otherwise("completed"), F.col("error"))
+    closing = F.when(F.col("stop_reason").isNotNull() & ~failed, event("done", 1, F.col("stop_reason"), none))
+    listed = rounds.withColumn("__e", F.explode(F.array_compact(F.array(of_round, closing))))
+    return listed.select(
+        F.col("__e.type").alias("type"),
         F.col("session_id").cast("string").alias("run_id"),
-        F.col("round").cast("bigint").alias("seq"),
+        (2 * F.col("round") - 1 + F.col("__e.step")).cast("bigint").alias("seq"),
         F.col("round").cast("bigint").alias("round"),
         F.col("valid_count").alias("new_items"),
         "total_items",
         "finish_reason",
+        F.col("__e.status").alias("status"),
+        F.col("__e.message").alias("message"),
     )
 
 

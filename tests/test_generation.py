@@ -3,8 +3,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quillset.operators import dedup, generation, responses
+from quillset.operators import dedup, generation, requests, responses
 from quillset.sources.files import with_document_columns
+from quillset.streaming import progress
 
 
 def documents(spark, *texts):
@@ -103,6 +104,53 @@ def test_deep_rounds_stop_conditions(spark):
     assert more.count() == 1 and resumed.count() == 6
 
 
+def test_deep_rounds_keep_failures_and_ask_about_every_part(spark):
+    long = "\n".join(f"# H{i}\nfact number {i} is {'abcdefgh'[i] * 12}" for i in range(8))
+    docs = documents(spark, long, "short", "down").withColumn("session_id", F.col("source_name"))
+
+    def generator(batch, broken=True):
+        rows = []
+        for user in batch["user"]:
+            source = user.split("<source>\n", 1)[1].rsplit("\n</source>", 1)[0]
+            number = int(user.split(":")[0].split()[1]) if user.startswith("Round") else 1
+            if source == "down" and number == 2 and broken:
+                rows.append((None, None, None, None, "timeout"))
+            else:
+                rows.append((answer((f"{source} {number * 7919} {'xyzuvw'[number] * 9}", source)), "stop" if source == "short" or "H3" in source else "length", 1, 1, None))
+        return rows
+
+    items, rounds = generation.deep_rounds(docs, generator, max_rounds=2, limit=60)
+    told = {(r["session_id"], r["round"]): r for r in rounds.collect()}
+    assert {k: r["stop_reason"] for k, r in told.items()} == {
+        ("d0.md", 1): None, ("d0.md", 2): "round_limit", ("d1.md", 1): "finished", ("d2.md", 1): None, ("d2.md", 2): "failed",
+    }
+    assert told["d0.md", 1]["valid_count"] == 8 and told["d0.md", 1]["prompt_tokens"] == 8 and told["d0.md", 2]["total_items"] == 16
+    assert told["d0.md", 1]["finish_reason"] == "length" and told["d2.md", 2]["error"] == "timeout" and told["d2.md", 2]["valid_count"] == 0
+    first = items.filter("session_id = 'd0.md' AND round = 1").orderBy("item_no").collect()
+    assert [r["item_no"] for r in first] == list(range(1, 9)) and ["".join(r["output"]) for r in first] == long.replace("\n#", "\n\0#").split("\0")
+    # The session that failed is open: the next run begins with its failed round.
+    again, more = generation.deep_rounds(docs.filter("source_name = 'd2.md'"), lambda b: generator(b, False), max_rounds=2, history=items)
+    assert [(r["round"], r["total_items"], r["stop_reason"]) for r in more.collect()] == [(2, 2, "round_limit")]
+    assert again.filter("session_id = 'd2.md'").count() == 2
+    events = progress.round_events(rounds).filter("run_id IN ('d1.md', 'd2.md')").orderBy("run_id", "seq").collect()
+    assert [(e["run_id"], e["type"], e["seq"], e["status"], e["message"]) for e in events] == [
+        ("d1.md", "round", 1, "completed", None), ("d1.md", "done", 2, "finished", None),
+        ("d2.md", "round", 1, "completed", None), ("d2.md", "round", 3, "failed", "timeout"),
+    ]
+
+
+def test_requests_lose_nothing_of_a_long_document(spark):
+    text = "".join(f"sentence {i} of this text。" for i in range(400))
+    docs = spark.createDataFrame(
+        [(1, "a.txt", "txt", text), (2, "b.txt", "txt", "x" * 50), (3, "c.txt", "txt", None), (4, "d.txt", "txt", "")], "doc_id long, source_name string, file_type string, text string"
+    ).withColumn("char_count", F.coalesce(F.length("text"), F.lit(0)).cast("bigint"))
+    got = requests.single_requests(docs, limit=50).orderBy("doc_id", "part_no").collect()
+    assert [(r["doc_id"], r["part_no"], r["part_total"]) for r in got] == [(1, 1, 2), (1, 2, 2), (2, 1, 1), (3, 1, 1), (4, 1, 1)]
+    sent = [r["request"]["messages"][1]["content"].split("<source>\n", 1)[1].rsplit("\n</source>", 1)[0] for r in got]
+    assert text.startswith(sent[0]) and text.endswith(sent[1]) and len(sent[0]) + len(sent[1]) >= len(text) and sent[2:] == ["x" * 50, "", ""]
+    assert "Part: 1/2" in got[0]["request"]["messages"][1]["content"] and "Part:" not in got[2]["request"]["messages"][1]["content"]
+
+
 def test_older_run_fails_as_a_whole(spark):
     docs = documents(spark, "# A\nalpha text\n# B\nbeta text is longer")
     got = generation.extract_items_by_paragraph(docs, generation.rule_based_generator).collect()
