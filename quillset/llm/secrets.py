@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillset.llm.shared import own_columns
+from quillset.llm.shared import outside, own_columns
 
 # The patterns asked for and the order of kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -58,8 +58,8 @@ def random_spans(text: str, base: list[tuple[int, int, int]], encode) -> list[tu
     found = []
     for m in CANDIDATE.finditer(text):
         spans = [m.span()] if fails(m[0]) else [] if known_identifier(m[0]) else _random_parts(m[0], m.start(), fails)
-        found += [(start, 3, end) for start, end in spans if not any(s <= start and end <= e for s, _, e in base)]
-    return found
+        found += spans
+    return [(start, 3, end) for start, end in outside(found, [(s, e) for s, _, e in base])]
 
 
 def _random_parts(value: str, at: int, fails) -> list[tuple[int, int]]:

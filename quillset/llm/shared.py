@@ -107,3 +107,16 @@ def components(scratch: Scratch, edges: DataFrame, label: str, most_rounds: int
         raise RuntimeError(f"components did not settle within {most_rounds} rounds")
     roots = now.select(F.col("b").alias("vertex"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("vertex"), F.col("b").alias("root")).unionAll(roots)
+
+
+def outside(spans: list[tuple], covers: list[tuple[int, int]]) -> set[tuple]:
+    """Those of ``spans`` (start, end, ...) that lie inside none of ``covers`` (start, end). Both are walked once, in order of their starts:
+    of the covers begun so far only the one that reaches furthest matters."""
+    begun, reach, kept = 0, -1, set()
+    ahead = sorted(covers)
+    for span in sorted(spans):
+        while begun < len(ahead) and ahead[begun][0] <= span[0]:
+            reach, begun = max(reach, ahead[begun][1]), begun + 1
+        if span[1] > reach:
+            kept.add(span)
+    return kept

@@ -23,14 +23,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillset.llm.near_dedup import near_duplicates
-from quillset.llm.shared import Scratch, own_columns
+from quillset.llm.shared import Scratch, outside, own_columns
 
 # Letters of other scripts that look like Latin ones, and digits and signs written for letters. As 1 stands for i and for l,
 # l itself folds to i.
-HOMOGLYPHS = dict(zip("аеорсухіѕјкмтвнԁԛԝαεορτυικνχ", "aeopcyxisjkmtbhdqwaeoptuikvx", strict=True)) | {"l": "i"}
+HOMOGLYPHS = dict(zip("аеорсухіѕјкмтвнԁԛԝαεορτυικνχ", "aeopcyxisjkmtbhdqwaeoptuikvx", strict=True)) | dict(zip("һӏѵɡıɑօսհ", "hivgiaouh", strict=True)) | {"l": "i"}
 LOOKALIKES = dict(zip("0134578@$|", "oieastbasi", strict=True))
 FOLD, IN_WORD = str.maketrans(HOMOGLYPHS), str.maketrans(LOOKALIKES)
 SUBSTITUTE, WORD = re.compile(r"[0134578@$|]"), re.compile(r"[^\W\d_]+")
+# Characters that are not drawn, and accents of Latin, Greek and Cyrillic letters: neither may part or change a word.
+UNSEEN = re.compile("[\u00ad\u0300-\u036f\u061c\u115f\u1160\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0]")
 AROUND = ".,;:!?\"'()[]{}<>*#&%-_/\\"
 PREFIXES, MIN_WORD, EXTRA_WORDS, LEAST_RATIO = range(4, 9), 3, 20, 5
 TABLE_TOKENS, TABLE_TOKEN_CHARS = 150_000, 64
@@ -52,6 +54,8 @@ class FoldTable(dict):
 
     @staticmethod
     def _folded(token: str) -> str:
+        if not token.isascii():
+            token = UNSEEN.sub("", unicodedata.normalize("NFKD", token))
         text = unicodedata.normalize("NFKC", token).casefold().strip(AROUND)
         if SUBSTITUTE.search(text) and WORD.search(text):
             text = text.translate(IN_WORD)
@@ -107,7 +111,8 @@ def matches(text: str, automaton) -> tuple[list[tuple[int, float]], int]:
             hits[end - size + 1] = (end, weight)  # of entries that begin one word the longest counts: it ends last
         else:
             covered.append((end - size + 1, end))
-    return [(s, w) for s, (e, w) in hits.items() if not any(a <= s and e <= b for a, b in covered)], words
+    free = outside([(s, e) for s, (e, _) in hits.items()], covered)
+    return [(s, w) for s, (e, w) in hits.items() if (s, e) in free], words
 
 
 def held_out(doc_id: str) -> Column:

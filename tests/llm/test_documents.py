@@ -2,12 +2,14 @@
 
 import hashlib
 import random
+import time
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillset.llm import exact_dedup, line_dedup, near_dedup, packing, pieces, secrets, sharding, toxicity
+from quillset.llm.shared import outside
 
 SCHEMA = "doc_id long, text string, source string, block string, name string, node string, n long, rid long"
 
@@ -305,6 +307,111 @@ def test_exception_phrases_cancel():
     assert (find("the trash can is full"), find("you trash"), find("Tr4sh, trash can")) == (0, 1, 1)
 
 
+def test_matches_equal_a_naive_matcher():
+    rng = random.Random(5)
+    lexicon = toxicity.Lexicon({" ab ": 1.0, " abc": 2.0, " ab": 0.5, " ca ": 4.0, " bb ": 8.0}, (" ab ca ", " ca bb ab ", " bb "))
+    for _ in range(300):
+        text = " ".join("".join(rng.choices("abc", k=rng.randint(1, 4))) for _ in range(rng.randint(0, 40)))
+        folded, _ = toxicity.fold(text)
+        places = lambda e: [(i, i + len(e)) for i in range(len(folded)) if folded.startswith(e, i)]  # noqa: E731, B023
+        covered = [p for e in lexicon.exceptions for p in places(e)]
+        longest = {}
+        for entry, weight in sorted(lexicon.weights.items(), key=lambda e: len(e[0])):
+            # An entry that is an exception too counts as the exception.
+            longest |= {} if entry in lexicon.exceptions else {s: (e, weight) for s, e in places(entry)}
+        want = sorted((s, w) for s, (e, w) in longest.items() if not any(a <= s and e <= b for a, b in covered))
+        assert sorted(toxicity.matches(text, lexicon.automaton())[0]) == want
+
+
+def test_unseen_characters_and_accents_do_not_hide_words():
+    assert {toxicity.fold(t)[0] for t in ("trash", "tr\u200bash", "tr\u00ada\u2060sh", "trásh", "tr\u0430sh", "TRA\u0301SH", "tr4sh")} == {" trash "}
+    assert toxicity.fold("각 학교")[0] == " 각 학교 "
+
+
+def test_spans_inside_others():
+    rng = random.Random(6)
+    for _ in range(300):
+        spans, covers = ([(s, s + rng.randint(1, 9)) for s in (rng.randint(0, 30) for _ in range(rng.randint(0, 9)))] for _ in "ab")
+        assert outside(spans, covers) == {(s, e) for s, e in spans if not any(a <= s and e <= b for a, b in covers)}
+
+
+def test_very_long_texts_of_spans_take_linear_time():
+    lexicon = toxicity.Lexicon({" trash ": 2.0}, (toxicity.fold("trash can")[0],))
+    start = time.monotonic()
+    assert toxicity.matches("trash can " * 100_000 + "trash", lexicon.automaton())[0] == [(1_000_000, 2.0)]
+    text = "token=abcdef0123456789abcdef0 " * 100_000
+    assert secrets.random_spans(text, secrets.base_spans(text), lambda v: list(v)) == []
+    assert time.monotonic() - start < 60
+
+
+def test_spans_equal_a_naive_scanner(spark):
+    """Base spans found character by character; random ones must be runs of key letters of enough length that fail the ratio on their own."""
+    rng = random.Random(7)
+    key = lambda k: "".join(rng.choices("abcdefghjkmnpqrstuvwxyzABCDEFGHJKMNPQRSTUVWXYZ23456789", k=k))
+    words = ["token", "PASSWORD", "api_key", "apikey", '"secret"', ":", "=", " = ", "'", "AKIA", "B" * 17, "deadbeef" * 3, "f" * 23, "x", "/", "-", " ", "the plain words", "é", "\n"]
+    texts = ["".join(rng.choice(words) if rng.random() < 0.8 else key(rng.randint(18, 30)) for _ in range(rng.randint(0, 25))) for _ in range(400)]
+    encode = secrets._encoder(None)
+
+    def runs(text, letters, start=0):
+        i = start
+        while i < len(text):
+            j = i
+            while j < len(text) and text[j] in letters:
+                j += 1
+            if j > i:
+                yield i, j
+            i = max(j, i + 1)
+
+    digits, upper = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    value_letters = digits + upper + upper.lower() + "+/_.=-"
+
+    def assignment(text, at):
+        low = text.lower()
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if low.startswith(name, at):
+                i = at + len(name) + (text[at + len(name) : at + len(name) + 1] in ("'", '"'))
+                while text[i : i + 1] == " ":
+                    i += 1
+                if text[i : i + 1] not in (":", "="):
+                    return None
+                i += 1
+                while text[i : i + 1] == " ":
+                    i += 1
+                i += text[i : i + 1] in ("'", '"')
+                end = next((e for s, e in runs(text, value_letters, i) if s == i), None)
+                return end and (end, end - i)
+        return None
+
+    def naive(text):
+        spans, i = [], 0
+        while i < len(text):
+            got = assignment(text, i)
+            if got and got[1] >= 6:
+                spans.append((i, 0, got[0]))
+            i = got[0] if got else i + 1
+        i = text.find("AKIA")
+        while i >= 0:
+            j = i + 4
+            while j < len(text) and text[j] in digits + upper:
+                j += 1
+            spans += [(i, 1, j)] if j - i >= 20 and j > i + 4 else []
+            i = text.find("AKIA", j if j > i + 4 else i + 1)
+        return sorted(spans + [(s, 2, e) for s, e in runs(text, digits + "abcdef") if e - s >= 24])
+
+    for text in texts:
+        base = naive(text)
+        assert secrets.base_spans(text) == base
+        for start, kind, end in secrets.random_spans(text, base, encode):
+            value = text[start:end]
+            assert kind == 3 and end - start >= secrets.MIN_CHARS and set(value) <= set(value_letters) and len(value) < secrets.RATIO * len(encode(value))
+            assert not any(s <= start and end <= e for s, _, e in base)
+    got = {r.doc_id: r for r in secrets.scan_digests(table(spark, texts)).collect()}
+    for i, text in enumerate(texts):
+        by_start = ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in naive(text))
+        assert got[i].base_sha256 == hashlib.sha256(by_start.encode()).hexdigest()
+        assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [sum(k == kind for _, k, _ in naive(text)) for kind in range(3)]
+
+
 def test_toxicity_learns_from_all_but_copies(spark):
     rng = random.Random(11)
     vocabulary = ["".join(rng.choices("bcdfghjkmnprstuvwxyz", k=5)) for _ in range(60)]  # few words: all texts share most of them
