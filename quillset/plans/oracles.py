@@ -124,8 +124,9 @@ for _pattern, _by in (
     (r"\n{3,}", "\n\n"),
 ):
     PAGES_TEXT_EXPR = sub(PAGES_TEXT_EXPR, _pattern, _by)
+CLEAN_T = trim(sub("array_to_string(list_transform(string_split(t, chr(10)), lambda s: " + trim("s") + "), chr(10))", r"{NL}{3,}".replace("{NL}", chr(92) + "n"), chr(10) * 2))
 PAGES_TEXT = f"""pages_raw AS (SELECT page_id, {trim(PAGES_TEXT_EXPR)} AS t FROM pages),
-pages_text AS (SELECT page_id, {trim(sub("array_to_string(list_transform(string_split(t, chr(10)), lambda s: " + trim("s") + "), chr(10))", r"{NL}{3,}".replace("{NL}", chr(92) + "n"), chr(10) * 2))} AS text FROM pages_raw)"""
+pages_text AS (SELECT page_id, {CLEAN_T} AS text FROM pages_raw)"""
 
 DOC_TXT = "doc_txt AS (SELECT doc_id, source, n_chars, source || '/' || doc_id || '.txt' AS source_name, 'txt' AS file_type, text FROM documents)"
 
@@ -525,6 +526,13 @@ PARAGRAPHS = f"len(list_filter(regexp_split_to_array(text, '\\n{W}*\\n'), lambda
 ORACLES: dict[str, str] = {
     "file_type_inferred": f"WITH {NAMES} SELECT file_name, {FILE_TYPE} AS file_type FROM names",
     "upload_gate": f"WITH {NAMES} SELECT *, {FILE_TYPE} AS file_type, CASE WHEN file_size > 10485760 THEN 'too_large' WHEN {FILE_TYPE} IS NULL THEN 'unsupported_type' END AS reject_reason FROM names",
+    "upload_outcomes": f"""WITH named AS (SELECT source || '_' || doc_id || {pick(rel.NAME_SUFFIXES, 'doc_id')} AS file_name, n_chars * 1000 AS file_size, text AS html FROM documents),
+        typed AS (SELECT *, {FILE_TYPE} AS file_type FROM named),
+        stripped AS (SELECT *, CASE WHEN file_type = 'html' THEN {trim(PAGES_TEXT_EXPR)} ELSE html END AS t FROM typed),
+        cleaned AS (SELECT *, {CLEAN_T} AS text FROM stripped),
+        judged AS (SELECT *, CASE WHEN file_size > 10485760 THEN 'too_large' WHEN file_type IS NULL THEN 'unsupported_type' WHEN file_type IN ('pdf', 'docx') THEN 'needs_converter'
+            WHEN file_type = 'pptx' THEN 'unreadable' WHEN text = '' THEN 'empty' END AS reject_reason FROM cleaned)
+        SELECT file_name AS source_name, file_type, reject_reason, CASE WHEN reject_reason IS NULL THEN text END AS text, CASE WHEN reject_reason IS NULL THEN length(text) END AS char_count FROM judged""",
     "html_to_text": f"WITH {PAGES_TEXT} SELECT page_id, text FROM pages_text",
     "page_assembly": f"""WITH b AS (SELECT doc_id // 8 AS book_id, count(*) AS page_count,
         string_agg('=== 第 ' || (doc_id % 8 + 1) || ' 页 ===' || chr(10) || text, chr(10) || chr(10) ORDER BY doc_id % 8) AS text FROM documents GROUP BY 1)
@@ -632,6 +640,8 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, chunk_id FROM parts p WHERE NOT EXISTS (SELECT 1 FROM parts x WHERE x.doc_id = p.doc_id AND x.fp = p.fp AND x.chunk_id = p.chunk_id AND (x.doc_id + x.chunk_index) % 2 = 0)""",
     "checkpoint_match": "SELECT doc_id AS session_id, 1::BIGINT AS schema_version FROM documents WHERE doc_id % 3 = 1",
     "valid_round_prefix": f"WITH {ROUND_LINES} SELECT session_id, line_no, (line::JSON->>'round')::BIGINT AS round, json_array_length(line::JSON, '$.items')::BIGINT AS item_count, truncated FROM good",
+    "appended_rounds": f"""WITH {CONV_QA} SELECT conv_id::VARCHAR AS session_id, floor(turn / 2 + 1)::BIGINT AS round, 1::BIGINT AS item_no, instruction, input, output,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS line_no, CASE WHEN turn % 4 < 2 THEN 'length' ELSE 'stop' END AS finish_reason, false AS truncated FROM conv_qa""",
     "session_progress": f"WITH {ROUND_LINES} SELECT session_id, count(*) AS total_rounds, sum(json_array_length(line::JSON, '$.items'))::BIGINT AS total_items, arg_max(line::JSON->>'finishReason', (line::JSON->>'round')::BIGINT) AS last_finish_reason FROM good GROUP BY 1",
     "session_items": f"WITH {ROUND_LINES} SELECT session_id, (line::JSON->>'round')::BIGINT AS round, 1::BIGINT AS item_no, line::JSON->'items'->0->>'instruction' AS instruction, line::JSON->'items'->0->>'input' AS input, line::JSON->'items'->0->>'output' AS output FROM good",
     "history_latest": f"WITH {RUNS} SELECT run_id, file_name, created_at, item_count FROM runs ORDER BY created_at DESC, run_id DESC LIMIT 50",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from quillset.operators import checkpoints, dedup, export, generation, history,
 from quillset.operators.chunking import chunk_documents, chunk_documents_by_paragraph, sections_of
 from quillset.operators.evidence import bind_to_chunks, with_evidence
 from quillset.plans import extraction, relations as r
+from quillset.session import shared_folder
 from quillset.sources import files, pages, sessions
 from quillset.streaming import progress
 
@@ -45,6 +47,11 @@ def upload_gate(spark, sf_dir):
     return files.gate_uploads(r.upload_names(spark, sf_dir)).select("file_name", "file_size", "file_type", "reject_reason")
 
 
+@query
+def upload_outcomes(spark, sf_dir):
+    return files.documents_from_files(r.upload_files(spark, sf_dir)).select("source_name", "file_type", "reject_reason", "text", "char_count")
+
+
 @query
 def html_to_text(spark, sf_dir):
     return r.pages_text(spark, sf_dir)
@@ -514,6 +521,17 @@ def valid_round_prefix(spark, sf_dir):
     return sessions.valid_rounds(r.round_lines(spark, sf_dir)).select("session_id", "line_no", "round", "item_count", "truncated")
 
 
+@query
+def appended_rounds(spark, sf_dir):
+    """Rounds appended in two calls and read back as the valid rounds' items."""
+    rounds, log = r.rounds(spark, sf_dir), f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    sessions.append_rounds(rounds.filter("round <= 2"), log)
+    sessions.append_rounds(rounds.filter("round > 2"), log)
+    back = sessions.valid_rounds(sessions.read_appended(spark, log))
+    lines = back.select("session_id", "round", "line_no", "finish_reason", "truncated")
+    return sessions.round_items(back).join(lines, ["session_id", "round"])
+
+
 @query
 def session_progress(spark, sf_dir):
     return history.session_progress(sessions.valid_rounds(r.round_lines(spark, sf_dir)))

@@ -130,6 +130,13 @@ def upload_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def upload_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of ``upload_names`` with the document's text as their bytes; what is named a slide archive is none."""
+    docs = text_table(spark, sf_dir, "documents")
+    name = F.concat("source", F.lit("_"), F.col("doc_id").cast("string"), _pick(NAME_SUFFIXES, F.col("doc_id")))
+    return docs.select(F.concat(F.lit("uploads/"), name).alias("path"), (F.col("n_chars") * 1000).alias("length"), F.encode("text", "UTF-8").alias("content"))
+
+
 CONVERSATIONS_PER_FILE = 16
 
 
@@ -226,6 +233,18 @@ def round_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A round of one item per conversation pair, whole texts."""
+    item = F.struct("instruction", "input", "output")
+    return conv_qa(spark, sf_dir).select(
+        F.col("conv_id").cast("string").alias("session_id"),
+        F.floor(F.col("turn") / 2 + 1).cast("bigint").alias("round"),
+        F.array(item).alias("items"),
+        F.lit(1).cast("bigint").alias("valid_count"),
+        F.when(F.col("turn") % 4 < 2, "length").otherwise("stop").alias("finish_reason"),
+    )
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run per document: creation and update times and a status."""
     docs = table(spark, sf_dir, "documents")

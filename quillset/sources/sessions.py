@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
@@ -96,9 +96,34 @@ def round_items(rounds: DataFrame) -> DataFrame:
     return items.select("session_id", "round", (F.col("pos") + 1).cast("bigint").alias("item_no"), "item.*")
 
 
+# Names that the columns of a round have in its line.
+LINE_NAMES = {"valid_count": "validCount", "finish_reason": "finishReason", "token_usage": "tokenUsage"}
+
+
 def append_rounds(rounds: DataFrame, path: str) -> None:
-    """Append rounds (session_id, round, items, validCount, finishReason, ...) as JSON lines, one folder per session."""
-    rounds.write.mode("append").partitionBy("session_id").json(path)
+    """Append rounds (session_id, round, items, valid_count, finish_reason, ...) to the log under ``path``, a JSON line each.
+
+    Every call is one folder ``at=<number of the call>``, so an append touches no earlier file, and a session's lines stay in order without a
+    folder per session. Read back with ``read_appended``. A log has one writer at a time.
+    """
+    hadoop = rounds.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(rounds.sparkSession._jsc.hadoopConfiguration())
+    done = [f.getPath().getName() for f in fs.listStatus(hadoop)] if fs.exists(hadoop) else []
+    number = max([int(name.removeprefix("at=")) for name in done if name.startswith("at=")], default=0) + 1
+    named = rounds.withColumnsRenamed({k: v for k, v in LINE_NAMES.items() if k in rounds.columns})
+    line = F.to_json(F.struct(*[F.col(c) for c in named.columns if c != "session_id"]))
+    named.select(F.col("session_id").cast("string"), F.col("round").cast("bigint"), line.alias("line")).write.parquet(f"{path}/at={number:08d}")
+
+
+def read_appended(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a log of ``append_rounds`` as (session_id, line_no, line), in the order of the calls, then of the rounds.
+
+    A session's log is a handful of rounds, so numbering it is one small window per session; folders of calls that did not end are left out.
+    """
+    schema = "session_id string, round bigint, line string, at bigint"
+    files = spark.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path)
+    order = Window.partitionBy("session_id").orderBy("at", "round", "line")
+    return files.select("session_id", (F.row_number().over(order) - 1).cast("bigint").alias("line_no"), "line")
 
 
 def promote_stored(items: DataFrame, position: Column) -> DataFrame:

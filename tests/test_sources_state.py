@@ -50,6 +50,25 @@ def test_documents_from_files(spark, tmp_path):
     assert got["f.pptx"]["text"] == files.NO_SLIDES
 
 
+def test_every_upload_has_an_outcome(spark, tmp_path):
+    for name, body in {"a.txt": b"text", "b.pdf": b"%PDF", "c.DOCX": b"PK", "d.csv": b"1", "e.ppt": b"\xd0\xcf\x11\xe0", "f.md": b" \n "}.items():
+        (tmp_path / name).write_bytes(body)
+    with zipfile.ZipFile(tmp_path / "g.pptx", "w", zipfile.ZIP_DEFLATED) as deck:
+        deck.writestr("ppt/slides/slide1.xml", "<a:p><a:t>one</a:t></a:p>" * 500)
+    whole = (tmp_path / "g.pptx").read_bytes()
+    (tmp_path / "h.pptx").write_bytes(whole[:60] + b"\xff" * 20 + whole[80:])
+    (tmp_path / "i.pptx").write_bytes(whole[:200])
+    (tmp_path / "j.html").write_bytes(b"x" * (files.MAX_FILE_BYTES + 1))
+    got = {r["source_name"]: r for r in files.read_uploads(spark, str(tmp_path)).collect()}
+    assert {k: r["reject_reason"] for k, r in got.items()} == {
+        "a.txt": None, "b.pdf": "needs_converter", "c.DOCX": "needs_converter", "d.csv": "unsupported_type", "e.ppt": "unreadable",
+        "f.md": "empty", "g.pptx": None, "h.pptx": "unreadable", "i.pptx": "unreadable", "j.html": "too_large",
+    }
+    assert all((r["reject_reason"] == "unreadable") == (r["message"] is not None) for r in got.values())
+    assert all((r["reject_reason"] is None) == (r["document_id"] is not None) for r in got.values()) and got["a.txt"]["char_count"] == 4
+    assert {r["source_name"] for r in files.read_documents(spark, str(tmp_path)).collect()} == {"a.txt", "g.pptx"}
+
+
 def test_size_limit_is_strict(spark):
     df = spark.createDataFrame([("a.txt", 10 * 1024 * 1024), ("b.txt", 10 * 1024 * 1024 + 1), ("c", 1)], "file_name string, file_size long")
     assert [r["reject_reason"] for r in files.gate_uploads(df).collect()] == [None, "too_large", "unsupported_type"]
@@ -79,7 +98,12 @@ def test_append_rounds_and_sessions(spark, tmp_path):
     df = spark.createDataFrame([("s1", 1, [("q", "", "a")])], "session_id string, round int, items array<struct<instruction:string,input:string,output:string>>")
     sessions.append_rounds(df, f"{tmp_path}/log")
     sessions.append_rounds(df.withColumn("round", F.lit(2)), f"{tmp_path}/log")
-    assert spark.read.json(f"{tmp_path}/log").count() == 2
+    odd = df.withColumns({"round": F.lit(3), "session_id": F.lit("a:b/c %41"), "items": F.array(F.struct(F.lit('say "é"\n').alias("instruction"), F.lit("").alias("input"), F.lit("\\").alias("output")))})
+    sessions.append_rounds(odd, f"{tmp_path}/log")
+    back = sessions.read_appended(spark, f"{tmp_path}/log").orderBy("session_id", "line_no").collect()
+    assert [(r["session_id"], r["line_no"]) for r in back] == [("a:b/c %41", 0), ("s1", 0), ("s1", 1)]
+    items = sessions.round_items(sessions.valid_rounds(sessions.read_appended(spark, f"{tmp_path}/log"))).orderBy("session_id", "round").collect()
+    assert [(r["round"], r["instruction"], r["output"]) for r in items] == [(3, 'say "é"\n', "\\"), (1, "q", "a"), (2, "q", "a")]
     for name, body in {"a": '{"sessionId":"a","status":"running","updatedAt":5}', "b": '{"sessionId":"b","status":"completed","updatedAt":9}', "c": "{broken"}.items():
         (tmp_path / "meta" / name).mkdir(parents=True)
         (tmp_path / "meta" / name / "meta.json").write_text(body)
