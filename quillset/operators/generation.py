@@ -289,14 +289,20 @@ def deep_rounds(
     return items, rounds
 
 
-def extract_items_by_paragraph(docs: DataFrame, generator: Generator, max_chars: int = 6000, overlap_chars: int = 200, threshold: float = dedup.ITEM_THRESHOLD) -> DataFrame:
-    """The older run: paragraph chunks, one call each, any failed call fails the run, longer answers win."""
+def extract_items_by_paragraph(
+    docs: DataFrame, generator: Generator, max_chars: int = 6000, overlap_chars: int = 200, threshold: float = dedup.ITEM_THRESHOLD
+) -> tuple[DataFrame, DataFrame]:
+    """The older run: paragraph chunks, one call each, longer answers win. Returns (items, failures).
+
+    A failed call fails its whole document, which then has no items but a row (document_id, failed_calls, error) in ``failures``, with the smallest
+    of its messages; other documents go on.
+    """
     keys = ("document_id", "source_name", "file_type", "char_count")
     chunks = checkpointed(chunk_documents_by_paragraph(docs, *keys, max_chars=max_chars, overlap_chars=overlap_chars))
     answered = checkpointed(run_generator(requests.paragraph_chunk_requests(chunks), generator, *KEYS))
-    broken = answered.filter("error IS NOT NULL").select("error").first()
-    if broken:
-        raise RuntimeError(broken["error"])
-    items = responses.valid_items(responses.parse_items(answered, *KEYS)).filter(~is_blank(F.col("instruction")))
+    broken = answered.filter("error IS NOT NULL")
+    failures = broken.groupBy("document_id").agg(F.count("*").alias("failed_calls"), F.min("error").alias("error"))
+    whole = answered.join(broken.select("document_id").distinct(), "document_id", "left_anti")
+    items = responses.valid_items(responses.parse_items(whole, *KEYS)).filter(~is_blank(F.col("instruction")))
     placed = order_items(items.withColumn("stage", F.lit(1)), chunks)
-    return dedup.longer_answer_wins(placed, "document_id", threshold=threshold)
+    return dedup.longer_answer_wins(placed, "document_id", threshold=threshold), failures

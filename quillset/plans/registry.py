@@ -600,7 +600,8 @@ def round_events(spark, sf_dir):
 @query
 def legacy_extraction(spark, sf_dir):
     docs = extraction.page_documents(spark, sf_dir)
-    return generation.extract_items_by_paragraph(docs, generation.rule_based_generator).select("document_id", "chunk_id", "instruction", "output")
+    items, _ = generation.extract_items_by_paragraph(docs, generation.rule_based_generator)
+    return items.select("document_id", "chunk_id", "instruction", "output")
 
 
 QUERIES["resumed_run"] = extraction.resumed_run

@@ -1,6 +1,5 @@
 import json
 
-import pytest
 from pyspark.sql import functions as F
 
 from quillset.operators import dedup, generation, requests, responses
@@ -151,9 +150,14 @@ def test_requests_lose_nothing_of_a_long_document(spark):
     assert "Part: 1/2" in got[0]["request"]["messages"][1]["content"] and "Part:" not in got[2]["request"]["messages"][1]["content"]
 
 
-def test_older_run_fails_as_a_whole(spark):
-    docs = documents(spark, "# A\nalpha text\n# B\nbeta text is longer")
-    got = generation.extract_items_by_paragraph(docs, generation.rule_based_generator).collect()
-    assert sorted(r["instruction"] for r in got) == ["A", "B"]
-    with pytest.raises(RuntimeError, match="down"):
-        generation.extract_items_by_paragraph(docs, lambda batch: [(None, None, None, None, "down")] * len(batch))
+def test_older_run_fails_per_document(spark):
+    docs = documents(spark, "# A\nalpha text\n# B\nbeta text is longer", "# C\ngamma\n# D\ndelta", "# E\nepsilon")
+
+    def generator(batch):
+        answers = generation.rule_based_generator(batch)
+        return [(None, None, None, None, "down") if "gamma" in user else a for user, a in zip(batch["user"], answers)]
+
+    items, failures = generation.extract_items_by_paragraph(docs, generator)
+    assert sorted(r["instruction"] for r in items.collect()) == ["A", "B", "E"]
+    failed = docs.filter("source_name = 'd1.md'").first()["document_id"]
+    assert [tuple(r) for r in failures.collect()] == [(failed, 1, "down")]
