@@ -161,3 +161,11 @@ def test_older_run_fails_per_document(spark):
     assert sorted(r["instruction"] for r in items.collect()) == ["A", "B", "E"]
     failed = docs.filter("source_name = 'd1.md'").first()["document_id"]
     assert [tuple(r) for r in failures.collect()] == [(failed, 1, "down")]
+
+
+def test_deep_rounds_without_a_limit_ask_once_about_a_long_page(spark, tmp_path):
+    from quillset.plans.registry import deep_rounds
+
+    body = "".join(f"<p>Sentence number {i} of a long page.</p>" for i in range(3000))
+    spark.createDataFrame([(7, "u", f"<h1>Long</h1>{body}")], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert [(r["session_id"], r["valid_count"], r["stop_reason"]) for r in deep_rounds(spark, str(tmp_path)).collect()] == [("page_7.html", 1, "finished")]
