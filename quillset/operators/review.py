@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,31 +69,35 @@ def batch_summary(breakdown: DataFrame) -> DataFrame:
     return totals.withColumn("success_rate", percent(F.col("success_files"), F.col("total_files")))
 
 
-def last_updates(updates: DataFrame, sequence: str = "sequence") -> DataFrame:
-    """The last row per id: by ``sequence`` where updates carry that column, in input order otherwise."""
+def last_updates(updates: DataFrame, sequence: str = "sequence", keys: Sequence[str] = ("id",)) -> DataFrame:
+    """The last row per ``keys``: by ``sequence`` where updates carry that column, in input order otherwise."""
     at = F.col(sequence) if sequence in updates.columns else F.monotonically_increasing_id()
-    names = [c for c in updates.columns if c not in ("id", sequence)]
-    return updates.select("id", at.alias("__at"), *names).groupBy("id").agg(F.max_by(F.struct(*names), "__at").alias("__last")).select("id", "__last.*")
+    names = [c for c in updates.columns if c not in (*keys, sequence)]
+    return updates.select(*keys, at.alias("__at"), *names).groupBy(*keys).agg(F.max_by(F.struct(*names), "__at").alias("__last")).select(*keys, "__last.*")
+
 
+def set_status(records: DataFrame, updates: DataFrame, sequence: str = "sequence", keys: Sequence[str] = ("id",)) -> DataFrame:
+    """Apply (id, review_status) updates by id, the last one if there are several; records without one keep theirs.
 
-def set_status(records: DataFrame, updates: DataFrame, sequence: str = "sequence") -> DataFrame:
-    """Apply (id, review_status) updates by id, the last one if there are several; records without one keep theirs."""
-    changed = last_updates(updates, sequence).select("id", F.col("review_status").alias("__status"))
-    joined = records.join(changed, "id", "left")
+    An id has 32 bits, so among many records two may share one: name further columns of both sides in ``keys`` to tell them apart.
+    """
+    changed = last_updates(updates, sequence, keys).select(*keys, F.col("review_status").alias("__status"))
+    joined = records.join(changed, list(keys), "left")
     return joined.withColumn("review_status", F.coalesce("__status", "review_status")).select(*records.columns)
 
 
-def apply_edits(records: DataFrame, edits: DataFrame, sequence: str = "sequence") -> DataFrame:
+def apply_edits(records: DataFrame, edits: DataFrame, sequence: str = "sequence", keys: Sequence[str] = ("id",)) -> DataFrame:
     """Replace fields given in (id, instruction, input, output, review_status) and score edited records again.
 
     Null means unchanged; of several edits of one record the last counts. Only edited rows are rescored; id and task type never change.
+    ``keys`` as in :func:`set_status`.
     """
     fields = ("instruction", "input", "output", "review_status")
-    edits = last_updates(edits, sequence)
-    changes = edits.select("id", *[F.col(f).alias(f"__{f}") for f in fields])
+    edits = last_updates(edits, sequence, keys)
+    changes = edits.select(*keys, *[F.col(f).alias(f"__{f}") for f in fields])
     trimmed = lambda f: js_trim(F.col(f"__{f}")) if f != "review_status" else F.col(f"__{f}")
-    edited = records.join(changes, "id").withColumns({f: F.coalesce(trimmed(f), F.col(f)) for f in fields})
-    untouched = records.join(edits.select("id"), "id", "left_anti")
+    edited = records.join(changes, list(keys)).withColumns({f: F.coalesce(trimmed(f), F.col(f)) for f in fields})
+    untouched = records.join(edits.select(*keys), list(keys), "left_anti")
     return untouched.select(*records.columns).unionByName(rescore(edited.select(*records.columns)))
 
 
