@@ -169,3 +169,30 @@ def test_deep_rounds_without_a_limit_ask_once_about_a_long_page(spark, tmp_path)
     body = "".join(f"<p>Sentence number {i} of a long page.</p>" for i in range(3000))
     spark.createDataFrame([(7, "u", f"<h1>Long</h1>{body}")], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert [(r["session_id"], r["valid_count"], r["stop_reason"]) for r in deep_rounds(spark, str(tmp_path)).collect()] == [("page_7.html", 1, "finished")]
+
+
+def sharing_an_id(spark):
+    docs = documents(spark, "# A\nalpha text\n# B\nbeta text is longer", "# C\ngamma\n# D\ndelta is here")
+    return docs.withColumn("document_id", F.lit("doc_same"))
+
+
+def test_documents_that_share_an_id_keep_their_own_records(spark):
+    records, run = generation.extract_records(sharing_an_id(spark), generation.rule_based_generator, created_at=F.lit(0))
+    got = sorted((r["source"]["file_name"], r["instruction"], r["place"]) for r in records.collect())
+    assert [(f, q) for f, q, _ in got] == [("d0.md", "A"), ("d0.md", "B"), ("d1.md", "C"), ("d1.md", "D")]
+    assert sorted(place for _, _, place in got) == [1, 2, 3, 4]
+    kept, _ = dedup.deduplicate_records(records.withColumn("document", F.col("source.document_id")), "document", position="place")
+    totals = generation.run_totals(run, records, kept).first()
+    assert (totals["total_chunks"], totals["total_before_dedup"], totals["total_after_dedup"]) == (4, 4, kept.count())
+
+
+def test_older_run_tells_documents_apart_that_share_an_id(spark):
+    def generator(batch):
+        answers = generation.rule_based_generator(batch)
+        return [(None, None, None, None, "down") if "gamma" in user else a for user, a in zip(batch["user"], answers)]
+
+    items, failures = generation.extract_items_by_paragraph(sharing_an_id(spark), generation.rule_based_generator)
+    assert sorted(r["instruction"] for r in items.collect()) == ["A", "B", "C", "D"]
+    items, failures = generation.extract_items_by_paragraph(sharing_an_id(spark), generator)
+    assert sorted(r["instruction"] for r in items.collect()) == ["A", "B"]
+    assert [(r["failed_calls"], r["error"]) for r in failures.collect()] == [(1, "down")]
