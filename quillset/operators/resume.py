@@ -29,6 +29,8 @@ from quillset.operators.quality import build_records
 from quillset.session import checkpointed
 
 DOCUMENT = ("session_id", "fingerprint", "document_id", "source_name", "file_type")
+# A micro-batch has a cost of its own, whatever it holds: a run has at most so many, taking more files each once it needs to.
+MOST_BATCHES = 12
 EVENT = "run string, seq bigint, session_id string, chunk_id string, status string, attempt int, items bigint, message string"
 
 
@@ -95,7 +97,8 @@ def run_in_batches(
 ) -> str:
     """Call the generator for every chunk of ``docs`` that has no marker under ``path`` yet; returns the run's name.
 
-    A micro-batch takes ``files_per_batch`` request files of at most ``batch_chunks`` chunks. ``on_batch`` hears of every stored batch; an exception
+    A micro-batch takes ``files_per_batch`` request files of at most ``batch_chunks`` chunks, or as many as end the run in ``MOST_BATCHES`` batches
+    if that is more. ``on_batch`` hears of every stored batch; an exception
     there, or a lost driver, ends the run after that batch.
     """
     spark = docs.sparkSession
@@ -122,7 +125,9 @@ def run_in_batches(
         if on_batch is not None:
             on_batch(batch_id)
 
-    stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", files_per_batch).parquet(requests)
+    files = len(spark.read.schema(chunks.schema).parquet(requests).inputFiles())
+    taken = max(files_per_batch, -(-files // MOST_BATCHES))
+    stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", taken).parquet(requests)
     query = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/streams/{run}").trigger(availableNow=True).start()
     try:
         query.awaitTermination()

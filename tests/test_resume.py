@@ -118,3 +118,13 @@ def test_no_documents_and_repeated_ones(spark, tmp_path):
         resume.stored_run(docs, str(tmp_path / "nothing"))
     resume.run_in_batches(docs.filter("false"), counting(str(calls)), str(tmp_path / "none"), max_chars=1000)
     assert len(asked(calls)) == 3
+
+
+def test_a_run_has_a_bounded_number_of_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(resume, "MOST_BATCHES", 2)
+    batches = []
+    docs = documents(spark, 6, parts=1)
+    resume.run_in_batches(docs, generation.rule_based_generator, f"{tmp_path}/runs", batch_chunks=1, files_per_batch=1, on_batch=batches.append)
+    assert len(batches) == 2
+    stored = resume.stored_calls(docs, f"{tmp_path}/runs").collect()
+    assert len(stored) == 6 and all(r["calls"] == 1 for r in stored)
