@@ -26,7 +26,7 @@ from quillset.operators.chunking import chunk_documents
 from quillset.operators.evidence import bind_to_chunks
 from quillset.operators.generation import MAX_ATTEMPTS, ChunkedRun, Generator, generate_for_chunks, order_items
 from quillset.operators.quality import build_records
-from quillset.session import checkpointed
+from quillset.session import checkpointed, small_batches
 
 DOCUMENT = ("session_id", "fingerprint", "document_id", "source_name", "file_type")
 # A micro-batch has a cost of its own, whatever it holds: a run has at most so many, taking more files each once it needs to.
@@ -110,13 +110,15 @@ def run_in_batches(
         _store_events(_events(known.join(chunks.select(*CHUNK_KEY), CHUNK_KEY, "left_semi"), run, "resumed"), path, run, 0)
         chunks = pending_chunks(chunks, known)
     requests = f"{path}/requests/{run}"
-    chunks.write.option("maxRecordsPerFile", batch_chunks).parquet(requests)
+    with small_batches(spark):
+        chunks.write.option("maxRecordsPerFile", batch_chunks).parquet(requests)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         name = f"{run}-{batch_id + 1:06d}"
         done = generate_for_chunks(batch, generator, max_attempts, CHUNK_KEY)
         for table, rows in (("items", done.items), ("responses", done.responses), ("failures", done.failures), ("messages", done.parse_errors)):
-            rows.write.mode("overwrite").parquet(f"{path}/{table}/batch={name}")
+            with small_batches(batch.sparkSession):
+                rows.write.mode("overwrite").parquet(f"{path}/{table}/batch={name}")
         failures = batch.sparkSession.read.parquet(f"{path}/failures/batch={name}")
         finished = batch.select(*CHUNK_KEY).join(failures, CHUNK_KEY, "left_anti")
         _store_events(_batch_events(run, batch, done, finished), path, run, batch_id + 1)

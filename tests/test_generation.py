@@ -196,3 +196,19 @@ def test_older_run_tells_documents_apart_that_share_an_id(spark):
     items, failures = generation.extract_items_by_paragraph(sharing_an_id(spark), generator)
     assert sorted(r["instruction"] for r in items.collect()) == ["A", "B"]
     assert [(r["failed_calls"], r["error"]) for r in failures.collect()] == [(1, "down")]
+
+
+def test_calls_reach_a_generator_in_small_batches(spark):
+    from quillset.session import BATCH_ROWS, checkpointed
+
+    chunk = "struct(array(struct('s' AS content), struct(cast(id AS string) AS content)) AS messages, 0.5D AS temperature, 10 AS max_tokens) AS request"
+    asked = spark.range(0, 3 * BATCH_ROWS, 1, 1).selectExpr("id", chunk)
+
+    def generator(batch):
+        return [("[]", "stop", len(batch), 1, None)] * len(batch)
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    calls = checkpointed(generation.run_generator(asked, generator, "id"))
+    assert calls.count() == 3 * BATCH_ROWS
+    assert calls.agg(F.max("prompt_tokens")).first()[0] == BATCH_ROWS
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
