@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillset.llm import exact_dedup, near_dedup, packing, secrets, toxicity
 from quillset.llm.shared import Scratch
+from quillset.session import set_small_batches, small_batches
 
 TOXIC_AT, NEAR_PERCENT = 0.7, 80
 
@@ -17,6 +18,7 @@ TOXIC_AT, NEAR_PERCENT = 0.7, 80
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below ``TOXIC_AT`` by a lexicon learned from the labels beside the corpus."""
     lexicon = toxicity.learn_lexicon(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), predicted_at=TOXIC_AT)
+    set_small_batches(spark)  # not only here: the caller writes what is returned
     # Columns are numbered on the way, so that none of theirs can clash with those of the score.
     numbers = [f"c{i}" for i in range(len(docs.columns))]
     texts = docs.toDF(*numbers).withColumn("text", F.col(numbers[docs.columns.index("text")]))
@@ -37,6 +39,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts replaced by a mark."""
+    set_small_batches(spark)  # not only here: the caller writes what is returned
     return secrets.redact_documents(docs)
 
 
@@ -55,9 +58,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     scratch = Scratch(spark, "pipeline")
     docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
-    for k, (_, stage) in enumerate(STAGES):
-        docs = scratch.store(stage(spark, docs, sf_dir), f"stage-{k}")
-        if last is not None:
-            scratch.forget(last)
-        last = f"stage-{k}"
+    with small_batches(spark):
+        for k, (_, stage) in enumerate(STAGES):
+            docs = scratch.store(stage(spark, docs, sf_dir), f"stage-{k}")
+            if last is not None:
+                scratch.forget(last)
+            last = f"stage-{k}"
     return docs

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillset.llm.shared import Scratch, components, own_columns
+from quillset.session import BATCH_ROWS
 
 WORDS, COORDINATES, TABLE_WORDS, SKETCH = 5, 64, 300_000, 1024
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -260,7 +261,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, node_si
     deviation = (percent / 100 * (1 - percent / 100) / COORDINATES) ** 0.5
     least = percent / 100 - 4 * deviation if least is None else least
     linked = percent / 100 - 2.25 * deviation if linked is None else linked
-    scratch = Scratch(docs.sparkSession, "near")
+    scratch = Scratch(docs.sparkSession, "near", BATCH_ROWS)
     store = scratch.store
     rows = store(signatures(docs), "rows")
     usable = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")

@@ -6,11 +6,14 @@ import gc
 import tempfile
 import time
 import uuid
+from contextlib import nullcontext
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillset.session import small_batches
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a local one of our own only when it is unset and the master is local."""
@@ -28,18 +31,20 @@ class Scratch:
     """Tables written once to the shared folder, so that lost executors cost nothing but the running tasks.
 
     Reading a stored table again prunes columns and pushes filters, which an RDD checkpoint cannot. ``forget`` deletes a
-    table that no later step reads; what the returned rows still read stays for the cluster to clear.
+    table that no later step reads; what the returned rows still read stays for the cluster to clear. ``batch_rows`` bounds the rows that go to
+    Python at once while a table is stored.
     """
 
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, label: str, batch_rows: int | None = None):
+        self.spark, self.batch_rows = spark, batch_rows
         self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def store(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+        with small_batches(self.spark, self.batch_rows) if self.batch_rows else nullcontext():
+            df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def settle(self, rounds: int = 2, pause: float = 1) -> None:

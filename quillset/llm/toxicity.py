@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from quillset.llm.near_dedup import near_duplicates
 from quillset.llm.shared import Scratch, outside, own_columns
+from quillset.session import BATCH_ROWS
 
 # Letters of other scripts that look like Latin ones, and digits and signs written for letters. As 1 stands for i and for l,
 # l itself folds to i.
@@ -249,7 +250,7 @@ def best_cut(rates: list[tuple[int, float]]) -> tuple[float, float]:
 
 def learn_lexicon(docs: DataFrame, labels: DataFrame, per_label: int = 6000, predicted_at: float = 0.7, exceptions: tuple[str, ...] = ()) -> Lexicon:
     """Fit on labelled rows that are not held out; ``exceptions`` adds phrases of your own to the learned ones."""
-    scratch = Scratch(docs.sparkSession, "toxicity")
+    scratch = Scratch(docs.sparkSession, "toxicity", BATCH_ROWS)
     sample = scratch.store(_distinct_contents(scratch.store(_sample(docs, labels, per_label), "sample")), "distinct")
     size = dict(sample.groupBy("toxic").count().collect())
     toxic, clean = size.get(1, 0), size.get(0, 0)

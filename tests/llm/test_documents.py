@@ -446,3 +446,25 @@ def test_a_stored_map_brings_its_number_of_slots(spark, tmp_path):
     sharding.save_map(sharding.first_map(sharding.slot_bytes(sharding.slotted(docs, 64), 64), 5), path)
     got = sharding.shard_documents(docs, shards=5, slots=128, map_path=path)
     assert got.count() == 300 and got.agg(F.max("virtual_slot")).first()[0] < 64
+
+
+def test_texts_reach_python_in_small_batches(spark):
+    import pyarrow as pa
+
+    import corpus_pipeline
+    from quillset.llm.shared import Scratch
+    from quillset.session import ARROW_ROWS, BATCH_ROWS
+
+    sf_dir, before = "/root/testdata/sf0.001", spark.conf.get(ARROW_ROWS)
+    most = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches)
+    taken = spark.range(0, 3 * BATCH_ROWS, 1, 1).mapInArrow(most, "n long")
+    assert Scratch(spark, "test", BATCH_ROWS).store(taken, "taken").agg(F.max("n")).first()[0] == BATCH_ROWS
+    assert spark.conf.get(ARROW_ROWS) == before
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    try:
+        for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.mask_secrets):
+            spark.conf.set(ARROW_ROWS, 10_000)
+            stage(spark, docs, sf_dir)
+            assert taken.agg(F.max("n")).first()[0] == BATCH_ROWS
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
