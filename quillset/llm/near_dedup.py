@@ -289,9 +289,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, node_si
         nodes = larger.groupBy("node").agg(F.first("size").alias("size"), F.first("parent").alias("parent")).join(linked_in, "node", "left")
         alike = (F.coalesce("linked", F.lit(0)) + 1 >= covered * F.col("size")) | (F.col("size") >= together * F.coalesce("parent", F.lit(2**62)))
         nodes = store(nodes.select("node", (alike | F.lit(level == levels)).alias("whole")), f"decided-{level}")
-        ends.append(store(larger.join(nodes.filter("whole"), "node", "left_semi").select("node", "size", "rep"), f"ends-{level}"))
+        # One join for both: what stays as it is and what goes on.
+        told = store(larger.join(nodes, "node").select("node", "size", "rep", "whole"), f"ends-{level}")
+        ends.append(told.filter("whole").drop("whole"))
         step = 1 / (percent / 100) - 1
-        onward = larger.join(nodes.filter("NOT whole"), "node", "left_semi").join(tokens, "rep")
+        onward = told.filter("NOT whole").join(tokens, "rep")
         frontier = store(onward.select("rep", F.col("size").alias("parent"), F.explode(_children(F.col("node"), F.col("tokens"), step)).alias("node")).distinct(), f"frontier-{level}")
         scratch.forget(f"shared-{level}", f"decided-{level}", f"frontier-{level - 1}")
         scratch.settle(1, 0.3)

@@ -468,3 +468,27 @@ def test_texts_reach_python_in_small_batches(spark):
             assert taken.agg(F.max("n")).first()[0] == BATCH_ROWS
     finally:
         spark.conf.set(ARROW_ROWS, before)
+
+
+def test_rows_joined_by_node_grow_with_a_near_group_not_its_square(spark, monkeypatch):
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    told, store = {}, near_dedup.Scratch.store
+
+    def counted(self, df, name):
+        out = store(self, df, name)
+        if name.startswith("ends-"):
+            told[name] = out.groupBy("whole").count().collect()
+        return out
+
+    monkeypatch.setattr(near_dedup.Scratch, "store", counted)
+
+    def joined(n):
+        told.clear()
+        texts = [" ".join(base[: i % 190] + [f"x{i}"] + base[i % 190 :]) for i in range(n)]
+        assert near_dedup.near_duplicates(table(spark, texts)).filter("kept").count() == 1
+        return sum(r["count"] for rows in told.values() for r in rows)
+
+    few, many = joined(80), joined(160)
+    print("rows joined by node:", few, many)
+    assert 0 < few and many <= 3 * few
