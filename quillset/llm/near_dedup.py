@@ -189,7 +189,7 @@ def _stars(large: DataFrame, reps: DataFrame, sample_size: int, percent: int, le
     """node, a, b, estimate: every member of each large node with the member that agrees most with the node's most frequent tokens.
 
     The most frequent tokens come from a sample of about ``sample_size`` members dealt by hash; the agreement is taken over all members. Both
-    are aggregated before anything is joined back, the agreement by node and salt first.
+    are aggregated before anything is joined back; of the agreement each task sends one row per node.
     """
     large = large.join(reps, "rep")
     chance = F.pmod(F.xxhash64("rep", "node"), F.lit(1_000_000)) * F.col("size") < F.lit(sample_size * 1_000_000)
@@ -207,8 +207,7 @@ def _stars(large: DataFrame, reps: DataFrame, sample_size: int, percent: int, le
     modes = samples.mapInArrow(usual, "node bigint, usual array<int>")
     agreement = F.aggregate(F.arrays_zip("tokens", "usual"), F.lit(0), lambda n, p: n + (p["tokens"] == p["usual"]).cast("int"))
     judged = large.join(modes, "node").select("node", F.struct(agreement.alias("agree"), F.col("rep").alias("id"), F.col("n"), "tokens").alias("best"))
-    salted = judged.withColumn("salt", F.pmod(F.xxhash64("best.id"), F.lit(32))).groupBy("node", "salt").agg(F.max("best").alias("best"))
-    centres = salted.groupBy("node").agg(F.max("best").alias("centre"))
+    centres = judged.groupBy("node").agg(F.max("best").alias("centre"))
     joined = large.join(centres, "node").filter(F.col("rep") != F.col("centre.id"))
     same = F.aggregate(F.arrays_zip("tokens", F.col("centre.tokens").alias("other")), F.lit(0), lambda n, p: n + (p["tokens"] == p["other"]).cast("int")) / COORDINATES
     close = 100 * F.least("n", "centre.n") >= percent * F.greatest("n", "centre.n")
@@ -229,11 +228,13 @@ def _sets(docs: DataFrame, heads: DataFrame) -> DataFrame:
 
     # Always by shuffle: how many texts are needed grows with the corpus, so their ids have no size bound to broadcast on.
     needed = heads.select("rep", "doc_id", "h").hint("merge")
-    return _texts(docs).join(needed, ["doc_id", "h"]).select("rep", "text").mapInArrow(work, "id bigint, set binary").dropDuplicates(["id"])
+    # Repeated rows go while the join has them in one place: that takes no shuffle of the sets.
+    once = _texts(docs).join(needed, ["doc_id", "h"]).dropDuplicates(["doc_id", "h", "rep"])
+    return once.select("rep", "text").mapInArrow(work, "id bigint, set binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union on full sets."""
+    """The pairs (a, b), each given once, with 100 * intersection >= percent * union on full sets."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,7 +249,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
     left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    return pairs.select("a", "b").join(right, "b").join(left, "a").mapInArrow(work, "a bigint, b bigint").distinct()
+    return pairs.select("a", "b").join(right, "b").join(left, "a").mapInArrow(work, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, node_size: int = 20, levels: int = 6, least: float | None = None, linked: float | None = None, covered: float = 0.9, together: float = 0.8) -> DataFrame:
@@ -266,36 +267,37 @@ def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, node_si
     rows = store(signatures(docs), "rows")
     usable = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     # A class is a distinct set; ids of classes are their own, since one doc_id may head several.
-    folded = usable.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "h")).alias("head"))
-    classes = store(folded.select("k1", "k2", F.monotonically_increasing_id().alias("rep"), F.col("head.doc_id").alias("first"), F.col("head.h").alias("first_h")), "classes")
-    heads = usable.join(classes, ["k1", "k2"]).filter("doc_id = first AND h = first_h")
-    reps = store(heads.dropDuplicates(["rep"]).select("rep", "doc_id", "h", F.col("n_shingles").alias("n"), "tokens"), "reps")
+    folded = usable.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "h", F.col("n_shingles").alias("n"), "tokens")).alias("head"))
+    classes = store(folded.select("k1", "k2", F.monotonically_increasing_id().alias("rep"), F.col("head.doc_id").alias("first"), "head.h", "head.n", "head.tokens"), "classes")
+    reps = classes.select("rep", F.col("first").alias("doc_id"), "h", "n", "tokens")
     tokens = reps.select("rep", "n", "tokens")
 
     first = F.array(*[F.xxhash64(F.lit(t), F.element_at("tokens", t * COORDINATES // trees + 1)) for t in range(trees)])
     frontier = tokens.select("rep", F.lit(None).cast("bigint").alias("parent"), F.explode(first).alias("node"))
     small, stars, ends = [], [], []
     for level in range(1, levels + 1):
-        sizes = frontier.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-        shared = store(frontier.join(sizes, "node"), f"shared-{level}")
-        fits = shared.filter(F.col("size") <= node_size).groupBy("node").agg(F.sort_array(F.collect_list("rep")).alias("ids"))
+        # Every step is a shuffle of all partitions, however small its rows: a node's size and parent are taken with its count, and nodes to be
+        # compared as they are and larger ones are told apart before members are joined.
+        met = frontier.groupBy("node").agg(F.count("*").alias("size"), F.first("parent").alias("parent")).filter("size > 1")
+        sizes = store(met, f"sizes-{level}")
+        fits = frontier.join(sizes.filter(F.col("size") <= node_size).select("node"), "node").groupBy("node").agg(F.sort_array(F.collect_list("rep")).alias("ids"))
         small.append(store(fits.select("ids"), f"small-{level}"))
-        larger = shared.filter(F.col("size") > node_size)
-        if larger.limit(1).count() == 0:
+        big = store(sizes.filter(F.col("size") > node_size), f"big-{level}")
+        if big.limit(1).count() == 0:
             break
+        larger = store(frontier.select("node", "rep").join(big.select("node", "size"), "node"), f"larger-{level}")
         stars.append(store(_stars(larger, tokens, 64, percent, least), f"stars-{level}"))
         # Decided per node: branched on, or compared as it is.
         linked_in = stars[-1].filter(F.col("estimate") >= linked).groupBy("node").agg(F.count("*").alias("linked"))
-        nodes = larger.groupBy("node").agg(F.first("size").alias("size"), F.first("parent").alias("parent")).join(linked_in, "node", "left")
         alike = (F.coalesce("linked", F.lit(0)) + 1 >= covered * F.col("size")) | (F.col("size") >= together * F.coalesce("parent", F.lit(2**62)))
-        nodes = store(nodes.select("node", (alike | F.lit(level == levels)).alias("whole")), f"decided-{level}")
+        nodes = store(big.join(linked_in, "node", "left").select("node", (alike | F.lit(level == levels)).alias("whole")), f"decided-{level}")
         # One join for both: what stays as it is and what goes on.
         told = store(larger.join(nodes, "node").select("node", "size", "rep", "whole"), f"ends-{level}")
         ends.append(told.filter("whole").drop("whole"))
         step = 1 / (percent / 100) - 1
         onward = told.filter("NOT whole").join(tokens, "rep")
-        frontier = store(onward.select("rep", F.col("size").alias("parent"), F.explode(_children(F.col("node"), F.col("tokens"), step)).alias("node")).distinct(), f"frontier-{level}")
-        scratch.forget(f"shared-{level}", f"decided-{level}", f"frontier-{level - 1}")
+        frontier = store(onward.select("rep", F.col("size").alias("parent"), F.explode(_children(F.col("node"), F.col("tokens"), step)).alias("node")), f"frontier-{level}")
+        scratch.forget(*[f"{name}-{level}" for name in ("sizes", "big", "larger", "decided")], f"frontier-{level - 1}")
         scratch.settle(1, 0.3)
 
     # The same members meet in many trees: each distinct node is compared once.
@@ -313,7 +315,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, node_si
     for star in stars:
         begin = begin.unionAll(star.select("a", "b"))
     begin = store(begin.distinct(), "begin")
-    scratch.forget("nodes", *[f"{name}-{k}" for k in range(1, levels + 1) for name in ("small", "stars", "shared", "frontier")])
+    scratch.forget("nodes", *[f"{name}-{k}" for k in range(1, levels + 1) for name in ("small", "stars", "sizes", "big", "frontier")])
     scratch.settle(1, 0.3)
     named = begin.select("a").unionAll(near.select("a")).unionAll(begin.select("b")).unionAll(near.select("b")).distinct().withColumnRenamed("a", "rep")
     sets = store(_sets(docs, reps.join(named.hint("merge"), "rep", "left_semi")), "sets")
@@ -321,7 +323,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, node_si
     scratch.settle(1, 0.3)
 
     # Pairs whose ends are one component already need no comparison; all others get one.
-    known = store(components(scratch, links, "first").withColumnRenamed("vertex", "rep"), "known")
+    known = components(scratch, links, "first", roots=False).withColumnRenamed("vertex", "rep")
     apart = _apart(near.select("a", "b").join(begin, ["a", "b"], "left_anti"), known)
     if ends:
         large = ends[0]
@@ -338,7 +340,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, node_si
         apart = apart.unionAll(found).distinct()
         scratch.settle(1, 0.3)
     more = store(_confirmed(apart, sets, percent), "links-2")
-    scratch.forget("sets", "sets-2", "sketches", "split", "dealt", "near", "begin", "reps", "known", *[f"ends-{k}" for k in range(1, levels + 1)])
+    scratch.forget("sets", "sets-2", "sketches", "split", "dealt", "near", "begin", *[f"ends-{k}" for k in range(1, levels + 1)])
     scratch.settle(1, 0.3)
 
     # Documents are the vertices in the end: a class stands for its smallest doc_id, and a doc_id with several sets joins theirs.
@@ -349,7 +351,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, node_si
     placed = rows.select("doc_id", "n_shingles", "k1", "k2").join(classes.select("k1", "k2", "first"), ["k1", "k2"], "left")
     repeated = usable.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("low"), F.max(F.struct("k1", "k2")).alias("high")).filter("low <> high").select("doc_id")
     several = placed.filter("n_shingles > 0").join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    known = components(scratch, edges.unionAll(several), "second").withColumnRenamed("vertex", "first")
+    known = components(scratch, edges.unionAll(several), "second", roots=False).withColumnRenamed("vertex", "first")
     none = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
     placed = placed.withColumn("first", F.when(none, F.col("doc_id")).otherwise(F.coalesce("first", "doc_id")))
     out = placed.join(known, "first", "left").withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("root", "first")))
@@ -357,15 +359,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, node_si
 
 
 def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs whose ends are not known to be one component."""
+    """Pairs whose ends are not known to be one component; ends that ``known`` lacks are roots."""
     roots = known.select("rep", "root")
     left = pairs.join(roots.select(F.col("rep").alias("a"), F.col("root").alias("ra")), "a", "left")
     right = left.join(roots.select(F.col("rep").alias("b"), F.col("root").alias("rb")), "b", "left")
-    return right.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").distinct()
+    return right.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
 def _blocks(scratch: Scratch, members: DataFrame, sketches: DataFrame, percent: int, block: int = 256) -> DataFrame:
-    """Pairs near by their sketches and apart in components in large nodes, compared block by block.
+    """Pairs near by their sketches and apart in components in large nodes, compared block by block; a pair that meets in several comes as often.
 
     Members of a node's largest component need no comparison with each other: they and the rest are dealt to blocks of their own, and only blocks of
     the rest are copied, to each other and to the blocks of the component. A task compares two blocks at a time.
@@ -383,4 +385,4 @@ def _blocks(scratch: Scratch, members: DataFrame, sketches: DataFrame, percent:
     to_rest = outside.select("node", F.lit(True).alias("rest"), F.col("block").alias("to"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("block"))).alias("block"), F.col("members").alias("others"))
     to_rest = to_rest.select("node", "rest", "block", (F.col("to") == F.col("block")).alias("own"), "others")
     paired = dealt.select("node", "rest", "block", "members").join(to_major.unionByName(to_rest), ["node", "rest", "block"])
-    return _compare_blocks(paired.select("members", F.when(~F.col("own"), F.col("others")).alias("others")), percent).distinct()
+    return _compare_blocks(paired.select("members", F.when(~F.col("own"), F.col("others")).alias("others")), percent)

@@ -84,8 +84,9 @@ def gapless(df: DataFrame, group: str, part: str, order: list[str], into: str) -
     return joined.withColumn(into, (F.col("_before") + F.col("_inside")).cast("bigint")).drop("_before", "_inside")
 
 
-def components(scratch: Scratch, edges: DataFrame, label: str, most_rounds: int = 60) -> DataFrame:
-    """Smallest vertex reachable from every vertex of ``edges`` (a, b BIGINT); vertices without an edge are absent.
+def components(scratch: Scratch, edges: DataFrame, label: str, most_rounds: int = 60, roots: bool = True) -> DataFrame:
+    """Smallest vertex reachable from every vertex of ``edges`` (a, b BIGINT); vertices without an edge are absent, and without ``roots``
+    those that are the smallest themselves.
 
     Alternates the large-star and small-star steps (Kiveris et al., 2014): every step is a minimum per vertex followed by a
     join back, so a vertex with very many neighbours is pre-aggregated and its join can be split. Each round is stored, the
@@ -97,7 +98,8 @@ def components(scratch: Scratch, edges: DataFrame, label: str, most_rounds: int
     for step in range(1, most_rounds + 1):
         both = now.select("a", "b").unionAll(now.select(b.alias("a"), a.alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.filter(b > a).join(least, "a").select(b.alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
+        # Rows that repeat, never more than the edges, are left to the one distinct below.
+        large = both.filter(b > a).join(least, "a").select(b.alias("a"), F.col("m").alias("b")).filter("a != b")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         linked = large.join(low, "a").select(b.alias("a"), F.col("m").alias("b"))
         small = linked.unionAll(low.select("a", F.col("m").alias("b"))).filter("a != b")
@@ -110,8 +112,8 @@ def components(scratch: Scratch, edges: DataFrame, label: str, most_rounds: int
         state, previous = tuple(found), f"{label}-{step - 1}"
     else:
         raise RuntimeError(f"components did not settle within {most_rounds} rounds")
-    roots = now.select(F.col("b").alias("vertex"), F.col("b").alias("root")).distinct()
-    return now.select(F.col("a").alias("vertex"), F.col("b").alias("root")).unionAll(roots)
+    others = now.select(F.col("a").alias("vertex"), F.col("b").alias("root"))
+    return others.unionAll(now.select(F.col("b").alias("vertex"), F.col("b").alias("root")).distinct()) if roots else others
 
 
 def outside(spans: list[tuple], covers: list[tuple[int, int]]) -> set[tuple]:

@@ -492,3 +492,24 @@ def test_rows_joined_by_node_grow_with_a_near_group_not_its_square(spark, monkey
     few, many = joined(80), joined(160)
     print("rows joined by node:", few, many)
     assert 0 < few and many <= 3 * few
+
+
+def test_near_duplicates_take_few_shuffles(spark, monkeypatch):
+    rng = random.Random(22)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    texts = [" ".join(base[: i % 190] + [f"x{i}"] + base[i % 190 :]) for i in range(80)]
+    monkeypatch.setattr(near_dedup.Scratch, "settle", lambda self, *_: None)
+    context, group, held = spark.sparkContext, "few shuffles", "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(held, "true")
+    spark.conf.set(held, "false")
+    context.setJobGroup(group, group)
+    try:
+        assert near_dedup.near_duplicates(table(spark, texts)).filter("kept").count() == 1
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set(held, before)
+    status = context.statusTracker()
+    stages = {s for job in status.getJobIdsForGroup(group) for s in status.getJobInfo(job).stageIds}
+    full = sum(1 for s in stages if (info := status.getStageInfo(s)) and info.numCompletedTasks >= int(spark.conf.get("spark.sql.shuffle.partitions")))
+    print("stages over all shuffle partitions:", full)
+    assert full <= 114
