@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as spec
+from quillset.sources import files
 
 SF_DIR = "/root/testdata/sf0.001"
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -35,3 +36,13 @@ def assert_equals_sql(spark, name, folder):
 
 def test_facets_over_documents_without_a_sentence(spark, folder):
     assert_equals_sql(spark, "facet_filter", folder)
+
+
+def test_guard_rejects_every_fifth_document_only(spark, folder):
+    assert_equals_sql(spark, "empty_document_guard", folder)
+
+
+def test_guard_itself_rejects_all_blank_texts(spark):
+    docs = spark.createDataFrame([(i, text) for i, text in enumerate(TEXTS)], "doc_id bigint, text string")
+    kept, refused = files.reject_empty(docs)
+    assert {r["doc_id"] for r in refused.collect()} == {0, 1, 2} and kept.count() == len(TEXTS) - 3
