@@ -101,12 +101,16 @@ def apply_edits(records: DataFrame, edits: DataFrame, sequence: str = "sequence"
     return untouched.select(*records.columns).unionByName(rescore(edited.select(*records.columns)))
 
 
-def restore_duplicates(kept: DataFrame, captured_records: DataFrame, captured: DataFrame, restore: DataFrame) -> tuple[DataFrame, DataFrame]:
+def restore_duplicates(
+    kept: DataFrame, captured_records: DataFrame, captured: DataFrame, restore: DataFrame, keys: Sequence[str] = ("id",)
+) -> tuple[DataFrame, DataFrame]:
     """Bring absorbed records back as pending ones.
 
-    ``captured`` is the audit child table and ``restore`` names (id) of absorbed records; returns the new record
-    set and the child table without them.
+    ``captured`` is the audit child table and ``restore`` names absorbed records by ``keys``; returns the new record
+    set and the child table without them. Copies within one chunk share their id, as any two of many records may: name the position (and the
+    scope it belongs to) in ``keys`` to restore one of them.
     """
-    back = captured_records.join(restore.select("id"), "id", "left_semi").withColumn("review_status", F.lit("pending"))
-    remaining = captured.join(restore.select(F.col("id").alias("duplicate_id")), "duplicate_id", "left_anti")
+    back = captured_records.join(restore.select(*keys), list(keys), "left_semi").withColumn("review_status", F.lit("pending"))
+    named = restore.withColumnRenamed("id", "duplicate_id").select(*["duplicate_id" if k == "id" else k for k in keys])
+    remaining = captured.join(named, named.columns, "left_anti")
     return kept.unionByName(back.select(*kept.columns)), remaining

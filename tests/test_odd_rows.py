@@ -1,5 +1,6 @@
 """Registered queries against their SQL on rows that the given tables lack."""
 
+import os
 from collections import Counter
 
 import duckdb
@@ -26,8 +27,8 @@ def folder(spark, tmp_path):
 
 def assert_equals_sql(spark, name, folder):
     db = duckdb.connect()
-    for table in ("documents", "labels"):
-        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+    for table in os.listdir(folder):
+        db.execute(f"CREATE VIEW {table.removesuffix('.parquet')} AS SELECT * FROM '{folder}/{table}/*.parquet'")
     df = spec.queries()[name](spark, folder)
     columns = sorted(df.columns)
     expected = db.sql(spec.oracle_sql()[name]).select(*[duckdb.ColumnExpression(c) for c in columns]).fetchall()
@@ -46,3 +47,10 @@ def test_guard_itself_rejects_all_blank_texts(spark):
     docs = spark.createDataFrame([(i, text) for i, text in enumerate(TEXTS)], "doc_id bigint, text string")
     kept, refused = files.reject_empty(docs)
     assert {r["doc_id"] for r in refused.collect()} == {0, 1, 2} and kept.count() == len(TEXTS) - 3
+
+
+def test_one_of_several_copies_is_restored(spark, tmp_path):
+    # Copies within one conversation share their id; of those absorbed (2, 4, 6) only position 6 is asked for.
+    turns = [(0, turn, ("user", "assistant")[turn % 2], ("how is it set?", "by the dial")[turn % 2]) for turn in range(8)]
+    spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert_equals_sql(spark, "restore_duplicate", str(tmp_path))
